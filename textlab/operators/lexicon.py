@@ -30,11 +30,18 @@ def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
+def let(value: Column, fn) -> Column:
+    """Bind ``value`` once per row and use it in ``fn``.  Inside a lambda an
+    outer *expression* is re-evaluated for every array element; a lambda
+    variable is not, so this keeps per-token rules linear in the text."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def lexicon_hits(tokens, lexicon: dict = LEXICON) -> Column:
     """struct(n_hits, sum_valence) of the tokens found in the lexicon."""
     m = map_literal({k: float(v) for k, v in lexicon.items()})
     vals = F.filter(F.transform(_c(tokens), lambda t: F.try_element_at(m, t)), lambda v: v.isNotNull())
-    return F.struct(F.size(vals).cast("bigint").alias("n_hits"), _sum(vals).alias("sum_valence"))
+    return let(vals, lambda v: F.struct(F.size(v).cast("bigint").alias("n_hits"), _sum(v).alias("sum_valence")))
 
 
 def mean_valence(tokens, lexicon: dict = LEXICON) -> Column:
@@ -54,9 +61,11 @@ def lexicon_polarity(tokens, lexicon: dict = LEXICON, scale: float = 0.25,
     lex = map_literal({k: float(v) * scale for k, v in lexicon.items()})
     inten = map_literal({k: float(v) for k, v in intensifiers.items()})
     neg = F.array(*[F.lit(w) for w in sorted(set(negations))])
-    toks = _c(tokens)
+    def per_row(toks):
+        vals = F.filter(F.transform(toks, lambda t, i: score(toks, t, i)), lambda v: v.isNotNull())
+        return let(vals, lambda v: F.coalesce(F.try_divide(_sum(v), F.size(v)), F.lit(0.0)))
 
-    def score(t, i):
+    def score(toks, t, i):
         v = F.try_element_at(lex, t)
         p1, p2 = F.get(toks, i - 1), F.get(toks, i - 2)
         f1 = F.try_element_at(inten, p1)
@@ -64,8 +73,7 @@ def lexicon_polarity(tokens, lexicon: dict = LEXICON, scale: float = 0.25,
             f1.isNotNull() & F.coalesce(F.array_contains(neg, p2), F.lit(False)))
         return v * F.coalesce(f1, F.lit(1.0)) * F.when(negated, F.lit(-0.5)).otherwise(F.lit(1.0))
 
-    vals = F.filter(F.transform(toks, score), lambda v: v.isNotNull())
-    avg = F.coalesce(F.try_divide(_sum(vals), F.size(vals)), F.lit(0.0))
+    avg = let(_c(tokens), per_row)
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), avg))
 
 
@@ -93,8 +101,6 @@ def lexicon_compound(text, lexicon: dict = LEXICON, negations=NEGATIONS,
     before count half and hits after one and a half.  The sum gets "!" and "?"
     emphasis and is normalised by s / sqrt(s^2 + 15)."""
     raw = _c(text)
-    toks = compound_tokens(raw)
-    low = F.transform(toks, lambda t: F.lower(t))
     lex = map_literal({k: float(v) for k, v in lexicon.items()})
     boost = map_literal({k: float(v) for k, v in boosters.items()})
     neg = F.array(*[F.lit(w) for w in sorted(set(negations))])
@@ -102,18 +108,21 @@ def lexicon_compound(text, lexicon: dict = LEXICON, negations=NEGATIONS,
     def is_caps(t):
         return (F.upper(t) == t) & (F.lower(t) != t)
 
-    n_caps = F.size(F.filter(toks, is_caps))
-    cap_diff = (n_caps > 0) & (n_caps < F.size(toks))
-    but_pos = F.array_position(low, F.lit("but"))  # 1-based, 0 if absent
+    def with_scalars(toks):
+        n_caps = F.size(F.filter(toks, is_caps))
+        low = F.transform(toks, lambda t: F.lower(t))
+        return F.struct(toks.alias("toks"), low.alias("low"),
+                        ((n_caps > 0) & (n_caps < F.size(toks))).alias("cap_diff"),
+                        F.array_position(low, F.lit("but")).alias("but_pos"))  # 1-based, 0 if absent
 
-    def score(t, i):
-        lt = F.lower(t)
-        v0 = F.try_element_at(lex, lt)
+    def score(r, t, i):
+        toks, low, cap_diff, but_pos = r["toks"], r["low"], r["cap_diff"], r["but_pos"]
+        v0 = F.try_element_at(lex, F.get(low, i))
         sign = F.when(v0 >= 0, F.lit(1.0)).otherwise(F.lit(-1.0))
         v = v0 + F.when(cap_diff & is_caps(t), sign * CAPS_INCR).otherwise(F.lit(0.0))
         for k, scale in BOOST_DISTANCE.items():
             prev = F.get(toks, i - k)
-            b = F.try_element_at(boost, F.lower(prev))
+            b = F.try_element_at(boost, F.get(low, i - k))
             inc = (b * BOOST_INCR + F.when(cap_diff & is_caps(prev), F.lit(CAPS_INCR)).otherwise(F.lit(0.0))) * sign
             v = v + F.coalesce(inc * scale, F.lit(0.0))
         for k in BOOST_DISTANCE:
@@ -125,15 +134,19 @@ def lexicon_compound(text, lexicon: dict = LEXICON, negations=NEGATIONS,
                 .otherwise(F.lit(1.0)))
         return v * but
 
-    vals = F.filter(F.transform(toks, score), lambda v: v.isNotNull())
-    s = _sum(vals)
+    def per_row(r):
+        vals = F.filter(F.transform(r["toks"], lambda t, i: score(r, t, i)), lambda v: v.isNotNull())
+        return let(vals, lambda v: F.struct(F.size(v).alias("n"), _sum(v).alias("s")))
+
+    agg = let(let(compound_tokens(raw), with_scalars), per_row)
+    s = agg["s"]
     n_ex = F.least(_count_char(raw, "!"), F.lit(EXCLAIM_MAX)) * EXCLAIM_INCR
     n_q = _count_char(raw, "?")
     q = F.when(n_q <= 1, F.lit(0.0)).when(n_q <= 3, n_q * QUESTION_INCR).otherwise(F.lit(QUESTION_MAX))
     emph = n_ex + q
     s = F.when(s > 0, s + emph).when(s < 0, s - emph).otherwise(s)
     comp = s / F.sqrt(s * s + F.lit(ALPHA))
-    return F.when(F.size(vals) == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), comp)))
+    return F.when(agg["n"] == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), comp)))
 
 
 def score_to_class(score, pos: float = 0.05, neg: float = -0.05) -> Column:

@@ -7,6 +7,8 @@ import importlib
 
 PLAN_MODULES = [
     "textlab.plans.social",
+    "textlab.plans.text",
+    "textlab.plans.evaluation",
 ]
 
 
