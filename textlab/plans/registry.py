@@ -9,6 +9,7 @@ PLAN_MODULES = [
     "textlab.plans.social",
     "textlab.plans.text",
     "textlab.plans.evaluation",
+    "textlab.plans.ingest",
 ]
 
 
