@@ -10,6 +10,7 @@ PLAN_MODULES = [
     "textlab.plans.text",
     "textlab.plans.evaluation",
     "textlab.plans.ingest",
+    "textlab.plans.vocab",
 ]
 
 
