@@ -73,13 +73,23 @@ def clean_post(col, n: int = 512) -> Column:
     return truncate_chars(collapse_ws(col), n)
 
 
+def _guarded(c: Column, needles: tuple[str, ...], pattern: str) -> Column:
+    """``regexp_replace`` only on texts that can match: a plain substring test
+    skips the regex engine for most rows; the result is the same."""
+    cond = None
+    for n in needles:
+        t = c.contains(n)
+        cond = t if cond is None else cond & t
+    return F.when(cond, F.regexp_replace(c, pattern, "")).otherwise(c)
+
+
 def remove_noise(col) -> Column:
     """LDA chain (F4, F5, F6, F7, F8) in the reference's order."""
-    c = F.regexp_replace(_c(col), EMAIL_LIKE, "")
+    c = _guarded(_c(col), ("@",), EMAIL_LIKE)
     c = F.regexp_replace(c, f"[{WS}]+", " ")
     c = F.replace(c, F.lit("'"), F.lit(""))
-    c = F.regexp_replace(c, URL_HTTP, "")
-    return F.regexp_replace(c, COMPLEX_NUMBER, "")
+    c = _guarded(c, ("http",), URL_HTTP)
+    return _guarded(c, ("+", "j"), COMPLEX_NUMBER)
 
 
 def clean_tweet(col, n: int = 512) -> Column:
@@ -112,9 +122,9 @@ def split_ws(col) -> Column:
 
 def remove_words(tokens, words) -> Column:
     """J4 as an array filter: keeps duplicates and order (``array_except`` would not).
-    ``words`` is a small fixed list, inlined as a literal array."""
-    lit = F.array(*[F.lit(w) for w in sorted(set(words))])
-    return F.filter(_c(tokens), lambda t: ~F.array_contains(lit, t))
+    ``words`` is a fixed list; ``isin`` is planned as a hashed set (InSet)."""
+    words = sorted(set(words))
+    return F.filter(_c(tokens), lambda t: ~t.isin(words))
 
 
 def keep_longer_than(tokens, n: int = 3) -> Column:

@@ -60,7 +60,8 @@ def lexicon_polarity(tokens, lexicon: dict = LEXICON, scale: float = 0.25,
     by -0.5.  No hit gives 0.0.  ``scale`` maps lexicon valences to [-1, 1]."""
     lex = map_literal({k: float(v) * scale for k, v in lexicon.items()})
     inten = map_literal({k: float(v) for k, v in intensifiers.items()})
-    neg = F.array(*[F.lit(w) for w in sorted(set(negations))])
+    neg = sorted(set(negations))
+
     def per_row(toks):
         vals = F.filter(F.transform(toks, lambda t, i: score(toks, t, i)), lambda v: v.isNotNull())
         return let(vals, lambda v: F.coalesce(F.try_divide(_sum(v), F.size(v)), F.lit(0.0)))
@@ -69,8 +70,8 @@ def lexicon_polarity(tokens, lexicon: dict = LEXICON, scale: float = 0.25,
         v = F.try_element_at(lex, t)
         p1, p2 = F.get(toks, i - 1), F.get(toks, i - 2)
         f1 = F.try_element_at(inten, p1)
-        negated = F.coalesce(F.array_contains(neg, p1), F.lit(False)) | (
-            f1.isNotNull() & F.coalesce(F.array_contains(neg, p2), F.lit(False)))
+        negated = F.coalesce(p1.isin(neg), F.lit(False)) | (
+            f1.isNotNull() & F.coalesce(p2.isin(neg), F.lit(False)))
         return v * F.coalesce(f1, F.lit(1.0)) * F.when(negated, F.lit(-0.5)).otherwise(F.lit(1.0))
 
     avg = let(_c(tokens), per_row)
@@ -103,7 +104,7 @@ def lexicon_compound(text, lexicon: dict = LEXICON, negations=NEGATIONS,
     raw = _c(text)
     lex = map_literal({k: float(v) for k, v in lexicon.items()})
     boost = map_literal({k: float(v) for k, v in boosters.items()})
-    neg = F.array(*[F.lit(w) for w in sorted(set(negations))])
+    neg = sorted(set(negations))
 
     def is_caps(t):
         return (F.upper(t) == t) & (F.lower(t) != t)
@@ -127,7 +128,7 @@ def lexicon_compound(text, lexicon: dict = LEXICON, negations=NEGATIONS,
             v = v + F.coalesce(inc * scale, F.lit(0.0))
         for k in BOOST_DISTANCE:
             prev = F.get(low, i - k)
-            v = v * F.when(F.coalesce(F.array_contains(neg, prev), F.lit(False)), F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0))
+            v = v * F.when(F.coalesce(prev.isin(neg), F.lit(False)), F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0))
         but = (F.when(but_pos == 0, F.lit(1.0))
                 .when(i + 1 < but_pos, F.lit(BUT_BEFORE))
                 .when(i + 1 > but_pos, F.lit(BUT_AFTER))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlab.operators.joins import broadcast_if_small
 
 
 def classification_metrics(df: DataFrame, label: str, pred: str, by: list[str] | None = None) -> DataFrame:
@@ -55,7 +54,7 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, k: int, seed: int =
     w_off = Window.partitionBy(label).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(label, "__bucket",
                            F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__offset"))
-    d = d.join(broadcast_if_small(offsets, 1_000_000), [label, "__bucket"])
+    d = d.join(offsets, [label, "__bucket"])  # offsets: #classes x 16**bucket_chars rows
     w = Window.partitionBy(label, "__bucket").orderBy("__key", id_col)
     rank = F.col("__offset") + F.row_number().over(w) - 1
     return d.withColumn("fold", (rank % k).cast("int")).drop("__key", "__bucket", "__offset")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from textlab.functions.clean import _c, map_literal
 from textlab.functions.wordlists import ALLOWED_POS, LEMMAS
-from textlab.operators.joins import broadcast_if_small
 from textlab.operators.lexicon import let
 
 DELIM = "_"
@@ -63,9 +62,9 @@ def phrase_learn(df: DataFrame, tokens: str, min_count: int = 5, threshold: floa
     bi = bigram_counts(df, tokens)
     vocab_size = uni.count() + bi.count()
     cand = bi.where(F.col("n") > min_count)
-    small_uni = broadcast_if_small(uni)
-    a = small_uni.select(F.col("w").alias("w1"), F.col("c").alias("n1"))
-    b = small_uni.select(F.col("w").alias("w2"), F.col("c").alias("n2"))
+    # uni is an aggregate: AQE picks broadcast or shuffle from its real size.
+    a = uni.select(F.col("w").alias("w1"), F.col("c").alias("n1"))
+    b = uni.select(F.col("w").alias("w2"), F.col("c").alias("n2"))
     scored = cand.join(a, "w1").join(b, "w2").withColumn(
         "score", (F.col("n") - min_count).cast("double") / F.col("n1") / F.col("n2") * F.lit(float(vocab_size)))
     return (scored.where(F.col("score") > threshold)

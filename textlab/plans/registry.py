@@ -11,6 +11,7 @@ PLAN_MODULES = [
     "textlab.plans.evaluation",
     "textlab.plans.ingest",
     "textlab.plans.vocab",
+    "textlab.plans.topics",
 ]
 
 
