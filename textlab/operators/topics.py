@@ -31,7 +31,11 @@ def ctfidf(df: DataFrame, topic: str, tokens: str, truncate_mean: bool = True) -
     f(t) the frequency of t over all classes and A the mean number of tokens
     per class (truncated to an integer, as the topic library does; pass
     ``truncate_mean=False`` for the exact mean).  Returns (topic, word, tf, weight)."""
-    tf = term_counts(df, topic, tokens)
+    return ctfidf_from_counts(term_counts(df, topic, tokens), topic, truncate_mean)
+
+
+def ctfidf_from_counts(tf: DataFrame, topic: str, truncate_mean: bool = True) -> DataFrame:
+    """B5 from a (topic, word, tf) table (used again after topics merge)."""
     totals = tf.groupBy(topic).agg(F.sum("tf").alias("class_total"))
     mean = F.avg("class_total").over(Window.partitionBy())
     totals = totals.withColumn("avg_tokens", F.floor(mean) if truncate_mean else mean)

@@ -12,6 +12,7 @@ PLAN_MODULES = [
     "textlab.plans.ingest",
     "textlab.plans.vocab",
     "textlab.plans.topics",
+    "textlab.plans.models",
 ]
 
 
