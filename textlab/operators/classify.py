@@ -38,6 +38,20 @@ def text_pipeline(tokens: str = "toks", label: str = "label", binary: bool = Fal
     ])
 
 
+def _fit(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
+    """Fit and drop the logistic model's training summary (a copy of the
+    stage carries none): the summary holds the session, which cannot be
+    serialised into the prediction closure once the session has used an
+    ``Observation``."""
+    model = pipeline.fit(df)
+    jvm = df.sparkSession._jvm
+    for st in model.stages:
+        java = getattr(st, "_java_obj", None)
+        if java is not None and hasattr(st, "hasSummary") and st.hasSummary:
+            java.setSummary(jvm.scala.Option.apply(None))
+    return model
+
+
 def cross_validate(df: DataFrame, id_col: str, label: str, k: int, pipeline: Pipeline,
                    seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """M7: stratified k-fold fits.  Returns ``(predictions, per_fold)`` where
@@ -47,7 +61,7 @@ def cross_validate(df: DataFrame, id_col: str, label: str, k: int, pipeline: Pip
     folded = stratified_folds(df, label, id_col, k, seed).persist()
     parts = []
     for f in range(k):
-        model = pipeline.fit(folded.where(F.col("fold") != f))
+        model = _fit(pipeline, folded.where(F.col("fold") != f))
         pred = model.transform(folded.where(F.col("fold") == f))
         parts.append(pred.select("fold", id_col, label, F.col("prediction").cast("int").alias("prediction")))
     preds = parts[0]
@@ -60,7 +74,7 @@ def cross_validate(df: DataFrame, id_col: str, label: str, k: int, pipeline: Pip
 def fit_all(df: DataFrame, pipeline: Pipeline) -> PipelineModel:
     """The model to keep is refitted on all rows (the reference kept the last
     fold's model)."""
-    return pipeline.fit(df)
+    return _fit(pipeline, df)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -90,11 +90,13 @@ def read_crawl(spark: SparkSession, path: str, schema: T.StructType = CRAWL_RECO
           .option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", CORRUPT)
           .json(path))
-    # Spark refuses queries that reference only the corrupt column of a raw
-    # scan; caching is the documented way round it, but filtering on it together
-    # with another column works as well and keeps the scan lazy.
+    # Spark refuses queries whose scan needs only the corrupt column; the bad
+    # side's filter also reads one parsed field (same rows: a malformed line
+    # always has the corrupt text set), which keeps the scan lazy (no cache).
+    first = schema.fields[0].name
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    is_bad = F.col(CORRUPT).isNotNull() & F.coalesce(F.col(CORRUPT), F.col(first).cast("string")).isNotNull()
+    bad = df.where(is_bad).select(CORRUPT)
     return good, bad
 
 
