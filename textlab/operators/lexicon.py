@@ -40,7 +40,10 @@ def let(value: Column, fn) -> Column:
 def lexicon_hits(tokens, lexicon: dict = LEXICON) -> Column:
     """struct(n_hits, sum_valence) of the tokens found in the lexicon."""
     m = map_literal({k: float(v) for k, v in lexicon.items()})
-    vals = F.filter(F.transform(_c(tokens), lambda t: F.try_element_at(m, t)), lambda v: v.isNotNull())
+    keys = sorted(lexicon)
+    # A literal map is searched linearly; the hashed key set finds the hits
+    # first, so only hits pay for the value lookup.
+    vals = F.transform(F.filter(_c(tokens), lambda t: t.isin(keys)), lambda t: F.try_element_at(m, t))
     return let(vals, lambda v: F.struct(F.size(v).cast("bigint").alias("n_hits"), _sum(v).alias("sum_valence")))
 
 
@@ -62,8 +65,11 @@ def lexicon_polarity(tokens, lexicon: dict = LEXICON, scale: float = 0.25,
     inten = map_literal({k: float(v) for k, v in intensifiers.items()})
     neg = sorted(set(negations))
 
+    keys = sorted(lexicon)
+
     def per_row(toks):
-        vals = F.filter(F.transform(toks, lambda t, i: score(toks, t, i)), lambda v: v.isNotNull())
+        hits = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: F.get(toks, i).isin(keys))
+        vals = F.transform(hits, lambda i: score(toks, F.get(toks, i), i))
         return let(vals, lambda v: F.coalesce(F.try_divide(_sum(v), F.size(v)), F.lit(0.0)))
 
     def score(toks, t, i):
@@ -135,8 +141,11 @@ def lexicon_compound(text, lexicon: dict = LEXICON, negations=NEGATIONS,
                 .otherwise(F.lit(1.0)))
         return v * but
 
+    keys = sorted(lexicon)
+
     def per_row(r):
-        vals = F.filter(F.transform(r["toks"], lambda t, i: score(r, t, i)), lambda v: v.isNotNull())
+        hits = F.filter(F.sequence(F.lit(0), F.size(r["toks"]) - 1), lambda i: F.get(r["low"], i).isin(keys))
+        vals = F.transform(hits, lambda i: score(r, F.get(r["toks"], i), i))
         return let(vals, lambda v: F.struct(F.size(v).alias("n"), _sum(v).alias("s")))
 
     agg = let(let(compound_tokens(raw), with_scalars), per_row)

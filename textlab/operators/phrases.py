@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from textlab.functions.clean import _c, map_literal
 from textlab.functions.wordlists import ALLOWED_POS, LEMMAS
 from textlab.operators.lexicon import let
+from textlab.session import cut_lineage
 
 DELIM = "_"
 # Phrase sets up to this size travel inside the plan as a hashed literal set;
@@ -51,20 +52,34 @@ def bigram_counts(df: DataFrame, tokens: str) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("n")))
 
 
+def ngram_counts(df: DataFrame, tokens: str) -> DataFrame:
+    """Unigram (w1, null) and bigram (w1, w2) counts in one pass and one shuffle."""
+    def items(t):
+        uni = F.transform(t, lambda w: F.struct(w.alias("w1"), F.lit(None).cast("string").alias("w2")))
+        bi = F.filter(F.zip_with(t, F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
+                                 lambda a, b: F.struct(a.alias("w1"), b.alias("w2"))),
+                      lambda p: p["w2"].isNotNull())
+        return F.concat(uni, bi)
+    return (df.select(F.explode(let(F.col(tokens), items)).alias("g"))
+              .groupBy(F.col("g.w1").alias("w1"), F.col("g.w2").alias("w2"))
+              .agg(F.count(F.lit(1)).alias("n")))
+
+
 def phrase_learn(df: DataFrame, tokens: str, min_count: int = 5, threshold: float = 100.0) -> DataFrame:
     """Bigrams scored ``(n_ab - min_count) / n_a / n_b * V`` with V the
     number of distinct unigrams plus distinct bigrams; a phrase scores above
     ``threshold``.  Returns (w1, w2, n, score, phrase).
 
-    V is a corpus-wide scalar; it is taken with two count jobs on the
-    aggregated tables rather than a join of every bigram with a one-row table."""
-    uni = unigram_counts(df, tokens)
-    bi = bigram_counts(df, tokens)
-    vocab_size = uni.count() + bi.count()
-    cand = bi.where(F.col("n") > min_count)
+    Unigram and bigram counts come from one pass over the tokens and are
+    written once to the checkpoint folder; V (a corpus-wide scalar) is the row
+    count of that table, and the scoring joins read it back."""
+    counts = cut_lineage(ngram_counts(df, tokens))
+    vocab_size = counts.count()
+    uni = counts.where(F.col("w2").isNull()).select("w1", F.col("n").alias("c"))
+    cand = counts.where(F.col("w2").isNotNull() & (F.col("n") > min_count))
     # uni is an aggregate: AQE picks broadcast or shuffle from its real size.
-    a = uni.select(F.col("w").alias("w1"), F.col("c").alias("n1"))
-    b = uni.select(F.col("w").alias("w2"), F.col("c").alias("n2"))
+    a = uni.select("w1", F.col("c").alias("n1"))
+    b = uni.select(F.col("w1").alias("w2"), F.col("c").alias("n2"))
     scored = cand.join(a, "w1").join(b, "w2").withColumn(
         "score", (F.col("n") - min_count).cast("double") / F.col("n1") / F.col("n2") * F.lit(float(vocab_size)))
     return (scored.where(F.col("score") > threshold)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.operators.lexicon import let
+from textlab.session import cut_lineage
 
 # Topic-level tables (centroids, topic x topic matrices) may be collected to
 # the driver up to this many topics.
@@ -26,12 +27,19 @@ def term_counts(df: DataFrame, topic: str, tokens: str) -> DataFrame:
               .groupBy(topic, "word").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def ctfidf(df: DataFrame, topic: str, tokens: str, truncate_mean: bool = True) -> DataFrame:
+def ctfidf(df: DataFrame, topic: str, tokens: str, truncate_mean: bool = True,
+           materialize: bool = True) -> DataFrame:
     """Class-based TF-IDF, ``tf(t,c) / sum tf(., c) * ln(1 + A / f(t))`` with
     f(t) the frequency of t over all classes and A the mean number of tokens
     per class (truncated to an integer, as the topic library does; pass
     ``truncate_mean=False`` for the exact mean).  Returns (topic, word, tf, weight)."""
-    return ctfidf_from_counts(term_counts(df, topic, tokens), topic, truncate_mean)
+    tf = term_counts(df, topic, tokens)
+    if materialize:
+        # The counts feed three branches (rows, class totals, word totals);
+        # writing the small (topic, word, tf) table once keeps the documents
+        # from being scanned and tokenized three times.
+        tf = cut_lineage(tf)
+    return ctfidf_from_counts(tf, topic, truncate_mean)
 
 
 def ctfidf_from_counts(tf: DataFrame, topic: str, truncate_mean: bool = True) -> DataFrame:
