@@ -139,10 +139,18 @@ def map_literal(mapping: dict) -> Column:
     return F.create_map(*items)
 
 
+def lookup(mapping: dict, key: Column, default: Column | None = None) -> Column:
+    """Value of ``key`` in a fixed table.  A literal map is searched linearly,
+    so the hashed key set (InSet) answers the common miss first."""
+    hit = key.isin(sorted(mapping))
+    val = F.when(hit, F.try_element_at(map_literal(mapping), key))
+    return val if default is None else F.coalesce(val, default)
+
+
 def lemmatize_tokens(tokens, lemmas=LEMMAS) -> Column:
     """F15 (form only): replace a token by its lemma when the table has one."""
-    m = map_literal({w: lem for w, lem, _ in lemmas})
-    return F.transform(_c(tokens), lambda t: F.coalesce(F.try_element_at(m, t), t))
+    m = {w: lem for w, lem, _ in lemmas}
+    return F.transform(_c(tokens), lambda t: lookup(m, t, t))
 
 
 def clean_lda(col) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textlab.functions.clean import _c, map_literal, split_ws
+from textlab.functions.clean import _c, lookup, split_ws
 from textlab.functions.wordlists import slang_pairs
 
 
@@ -24,7 +24,7 @@ def expand_slang(col, mode: str = "substring", table=None) -> Column:
             c = F.replace(c, F.lit(key), F.lit(value))
         return c
     if mode == "token":
-        m = map_literal(dict(pairs))
-        toks = F.transform(split_ws(col), lambda t: F.coalesce(F.try_element_at(m, t), t))
+        m = dict(pairs)
+        toks = F.transform(split_ws(col), lambda t: lookup(m, t, t))
         return F.array_join(toks, " ")
     raise ValueError(f"unknown mode {mode!r}")

@@ -50,8 +50,8 @@ def lexicon_hits(tokens, lexicon: dict = LEXICON) -> Column:
 def mean_valence(tokens, lexicon: dict = LEXICON) -> Column:
     """Mean valence of the matched tokens, 0.0 without a match (the simplest
     scorer; the minimum slice uses it)."""
-    h = lexicon_hits(tokens, lexicon)
-    return F.coalesce(F.try_divide(h["sum_valence"], h["n_hits"]), F.lit(0.0))
+    return let(lexicon_hits(tokens, lexicon),
+               lambda h: F.coalesce(F.try_divide(h["sum_valence"], h["n_hits"]), F.lit(0.0)))
 
 
 def lexicon_polarity(tokens, lexicon: dict = LEXICON, scale: float = 0.25,
@@ -80,8 +80,7 @@ def lexicon_polarity(tokens, lexicon: dict = LEXICON, scale: float = 0.25,
             f1.isNotNull() & F.coalesce(p2.isin(neg), F.lit(False)))
         return v * F.coalesce(f1, F.lit(1.0)) * F.when(negated, F.lit(-0.5)).otherwise(F.lit(1.0))
 
-    avg = let(_c(tokens), per_row)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), avg))
+    return let(let(_c(tokens), per_row), lambda avg: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), avg)))
 
 
 def compound_tokens(text) -> Column:
@@ -148,15 +147,22 @@ def lexicon_compound(text, lexicon: dict = LEXICON, negations=NEGATIONS,
         vals = F.transform(hits, lambda i: score(r, F.get(r["toks"], i), i))
         return let(vals, lambda v: F.struct(F.size(v).alias("n"), _sum(v).alias("s")))
 
-    agg = let(let(compound_tokens(raw), with_scalars), per_row)
-    s = agg["s"]
-    n_ex = F.least(_count_char(raw, "!"), F.lit(EXCLAIM_MAX)) * EXCLAIM_INCR
-    n_q = _count_char(raw, "?")
-    q = F.when(n_q <= 1, F.lit(0.0)).when(n_q <= 3, n_q * QUESTION_INCR).otherwise(F.lit(QUESTION_MAX))
-    emph = n_ex + q
-    s = F.when(s > 0, s + emph).when(s < 0, s - emph).otherwise(s)
-    comp = s / F.sqrt(s * s + F.lit(ALPHA))
-    return F.when(agg["n"] == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), comp)))
+    def finish(a):
+        # a: struct(n, s, emph) bound once; s is read several times below.
+        s = a["s"]
+        s2 = F.when(s > 0, s + a["emph"]).when(s < 0, s - a["emph"]).otherwise(s)
+        return let(s2, lambda v: F.when(a["n"] == 0, F.lit(0.0)).otherwise(
+            F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v / F.sqrt(v * v + F.lit(ALPHA))))))
+
+    def body(raw):
+        agg = let(let(compound_tokens(raw), with_scalars), per_row)
+        n_ex = F.least(_count_char(raw, "!"), F.lit(EXCLAIM_MAX)) * EXCLAIM_INCR
+        q = let(_count_char(raw, "?"), lambda n_q: F.when(n_q <= 1, F.lit(0.0))
+                .when(n_q <= 3, n_q * QUESTION_INCR).otherwise(F.lit(QUESTION_MAX)))
+        return let(agg, lambda g: let(F.struct(g["n"].alias("n"), g["s"].alias("s"), (n_ex + q).alias("emph")),
+                                      finish))
+
+    return let(raw, body)
 
 
 def score_to_class(score, pos: float = 0.05, neg: float = -0.05) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlab.functions.clean import _c, map_literal
+from textlab.functions.clean import _c, lookup
 from textlab.functions.wordlists import ALLOWED_POS, LEMMAS
 from textlab.operators.lexicon import let
 from textlab.session import cut_lineage
@@ -154,10 +154,9 @@ def apply_phrases_df(df: DataFrame, id_col: str, tokens: str, phrases: DataFrame
 def lemmatize_pos(tokens, lemmas=LEMMAS, allowed=ALLOWED_POS, default_pos: str = "NOUN") -> Column:
     """F15 re-aimed: lemma and part of speech from a word table; words not in
     the table keep their form and count as ``default_pos``; keep ``allowed``."""
-    lem = map_literal({w: l for w, l, _ in lemmas})
-    pos = map_literal({w: p for w, _, p in lemmas})
+    lem = {w: l for w, l, _ in lemmas}
+    pos = {w: p for w, _, p in lemmas}
     tagged = F.transform(_c(tokens), lambda t: F.struct(
-        F.coalesce(F.try_element_at(lem, t), t).alias("lemma"),
-        F.coalesce(F.try_element_at(pos, t), F.lit(default_pos)).alias("pos")))
+        lookup(lem, t, t).alias("lemma"), lookup(pos, t, F.lit(default_pos)).alias("pos")))
     kept = F.filter(tagged, lambda s: s["pos"].isin(list(allowed)))
     return F.transform(kept, lambda s: s["lemma"])

@@ -65,9 +65,8 @@ def q_slang_expand(spark, sf):
 
 def q_lexicon_hits(spark, sf):
     d = _docs(spark, sf).select("doc_id", C.tokenize("text").alias("toks"))
-    h = L.lexicon_hits("toks", LEXICON)
-    return d.select("doc_id", F.size("toks").cast("bigint").alias("n_tokens"),
-                    h["n_hits"].alias("n_hits"), r6(h["sum_valence"]).alias("sum_valence"))
+    d = d.select("doc_id", F.size("toks").cast("bigint").alias("n_tokens"), L.lexicon_hits("toks", LEXICON).alias("h"))
+    return d.select("doc_id", "n_tokens", F.col("h.n_hits").alias("n_hits"), r6(F.col("h.sum_valence")).alias("sum_valence"))
 
 
 def q_lexicon_polarity(spark, sf):
