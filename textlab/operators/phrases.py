@@ -30,10 +30,24 @@ def adjacent_pairs(tokens) -> Column:
         lambda p: p["w2"].isNotNull()))
 
 
+def bag_of_words(tokens) -> Column:
+    """A14 per row: ``array<struct<token, n>>`` of the distinct tokens and their
+    counts, by sorting a copy of the array and run-length encoding it
+    (n log n in the document, no shuffle)."""
+    def per_doc(s):
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1),
+                          lambda i: F.get(s, i).isNotNull() & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+        return let(starts, lambda st: F.transform(st, lambda i, j: F.struct(
+            F.get(s, i).alias("token"),
+            (F.coalesce(F.get(st, j + 1), F.size(s)) - i).cast("bigint").alias("n"))))
+    return let(F.array_sort(_c(tokens)), per_doc)
+
+
 def doc_bow(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
-    """(id, token, n) -- the document-term counts."""
-    return (df.select(id_col, F.explode(tokens).alias("token"))
-              .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n")))
+    """(id, token, n) -- the document-term counts, computed inside each
+    row (a document's tokens are already together), so no shuffle."""
+    return (df.select(id_col, F.explode(bag_of_words(tokens)).alias("b"))
+              .select(id_col, F.col("b.token").alias("token"), F.col("b.n").alias("n")))
 
 
 def vocabulary(bow: DataFrame) -> DataFrame:

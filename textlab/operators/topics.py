@@ -22,9 +22,11 @@ MAX_TOPICS = 2000
 
 
 def term_counts(df: DataFrame, topic: str, tokens: str) -> DataFrame:
-    """(topic, word, tf): token counts per topic."""
-    return (df.select(topic, F.explode(tokens).alias("word"))
-              .groupBy(topic, "word").agg(F.count(F.lit(1)).alias("tf")))
+    """(topic, word, tf): token counts per topic; each document contributes
+    its own bag of words, so only (document, distinct word) rows are shuffled."""
+    from textlab.operators.phrases import bag_of_words
+    return (df.select(topic, F.explode(bag_of_words(tokens)).alias("b"))
+              .groupBy(F.col(topic), F.col("b.token").alias("word")).agg(F.sum("b.n").alias("tf")))
 
 
 def ctfidf(df: DataFrame, topic: str, tokens: str, truncate_mean: bool = True,
