@@ -105,14 +105,17 @@ def deaccent(col) -> Column:
     return F.translate(_c(col), ACCENTED, PLAIN)
 
 
-def tokenize(col, min_len: int = 2, max_len: int = 15) -> Column:
+def tokenize(col, min_len: int = 2, max_len: int = 15, drop=None) -> Column:
     """lower-case, strip accents, alphabetic runs, length filter, no
-    leading underscore.  Returns ``array<string>``."""
+    leading underscore; ``drop`` (stop words) is applied in the same pass over
+    the array.  Returns ``array<string>``."""
     runs = F.regexp_extract_all(deaccent(F.lower(_c(col))), F.lit(ALPHA_RUN), 0)
-    return F.filter(
-        runs,
-        lambda t: (F.length(t) >= min_len) & (F.length(t) <= max_len) & ~t.startswith("_"),
-    )
+    stop = sorted(set(drop)) if drop else None
+
+    def keep(t):
+        k = (F.length(t) >= min_len) & (F.length(t) <= max_len) & ~t.startswith("_")
+        return k & ~t.isin(stop) if stop else k
+    return F.filter(runs, keep)
 
 
 def split_ws(col) -> Column:
@@ -160,14 +163,15 @@ def clean_lda(col) -> Column:
 
 def lda_tokens(col) -> Column:
     """LDA chain tokens: noise removal, tokenizing, stop words (+5 extras)."""
-    return remove_words(tokenize(remove_noise(col)), ENGLISH_STOP_WORDS + LDA_EXTRA_STOP_WORDS)
+    return tokenize(remove_noise(col), drop=ENGLISH_STOP_WORDS + LDA_EXTRA_STOP_WORDS)
 
 
 def clean_bertopic(col, lemmas=LEMMAS) -> Column:
     """Lower, drop punctuation, split, drop stop words,
     lemmatize, re-join with single spaces."""
     c = F.regexp_replace(F.lower(_c(col)), PUNCT_ALL, "")
-    toks = remove_words(split_ws(c), ENGLISH_STOP_WORDS)
+    stop = sorted(set(ENGLISH_STOP_WORDS))
+    toks = F.filter(F.split(c, f"[{WS}]+"), lambda t: (t != "") & ~t.isin(stop))
     return F.array_join(lemmatize_tokens(toks, lemmas), " ")
 
 
@@ -175,7 +179,7 @@ def template_tokens(col) -> Column:
     """Crawl-template chain: drop ``, . ! ?``, lower, tokenize, drop stop words,
     keep tokens longer than 3 characters."""
     c = F.lower(F.regexp_replace(_c(col), PUNCT_BASIC, ""))
-    return keep_longer_than(remove_words(tokenize(c), ENGLISH_STOP_WORDS), 3)
+    return tokenize(c, min_len=4, drop=ENGLISH_STOP_WORDS)  # length 2..15 and > 3
 
 
 def strip_normal(col) -> Column:
