@@ -32,8 +32,10 @@ def q_clean_tweet(spark, sf):
 
 
 def q_clean_lda(spark, sf):
-    d = _docs(spark, sf).select("doc_id", C.clean_lda("text").alias("text_clean"),
-                                C.lda_tokens("text").alias("toks"))
+    from textlab.functions.wordlists import ENGLISH_STOP_WORDS as SW, LDA_EXTRA_STOP_WORDS as EX
+    d = _docs(spark, sf).select("doc_id", C.clean_lda("text").alias("text_clean"))
+    # tokens from the cleaned column: the noise regexes run once per post
+    d = d.select("doc_id", "text_clean", C.tokenize("text_clean", drop=SW + EX).alias("toks"))
     return d.select("doc_id", "text_clean", F.size("toks").cast("bigint").alias("n_tokens"),
                     F.array_join("toks", " ").alias("tokens"))
 
