@@ -31,8 +31,12 @@ def count_pivot(df: DataFrame, row: str, col: str, values: list) -> DataFrame:
     """A1: counts per (row, col) unstacked to one column per value; absent = 0.
     Rows whose row or col key is null are left out (they leave numerators and
     denominators alike).  Explicit values: no extra job to find them."""
-    src = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-    return src.groupBy(row).pivot(col, values).count().na.fill(0, subset=[str(v) for v in values])
+    # Null keys are dropped after the aggregation, on the small result: a null
+    # ``col`` matches no pivot value, and a pre-filter would be pushed into the
+    # scan and evaluate an expensive ``col`` expression twice per row.
+    piv = df.groupBy(row).pivot(col, values).count().na.fill(0, subset=[str(v) for v in values])
+    total = sum([F.col(f"`{v}`") for v in values][1:], F.col(f"`{values[0]}`"))
+    return piv.where(F.col(row).isNotNull() & (total > 0))
 
 
 def count_proportions(pivot: DataFrame, row: str, values: list) -> DataFrame:
