@@ -44,8 +44,15 @@ def q_phrase_learn(spark, sf):
 
 
 def q_phrase_apply(spark, sf):
-    ph = P.phrase_learn(_words(spark, sf), "toks", min_count=5, threshold=100.0)
-    out = P.apply_phrases_df(_lda_tokens(spark, sf), "doc_id", "toks", ph)
+    """Phrases learned on the noise-free tokens, applied to the same tokens
+    without stop words (the LDA chain).  The tokens are computed once: the
+    stop-word-free list is a filter of the materialised learning tokens."""
+    from textlab.functions.wordlists import ENGLISH_STOP_WORDS, LDA_EXTRA_STOP_WORDS
+    from textlab.session import cut_lineage
+    words = cut_lineage(_words(spark, sf))
+    ph = P.phrase_learn(words, "toks", min_count=5, threshold=100.0)
+    lda = words.select("doc_id", C.remove_words("toks", ENGLISH_STOP_WORDS + LDA_EXTRA_STOP_WORDS).alias("toks"))
+    out = P.apply_phrases_df(lda, "doc_id", "toks", ph)
     return out.select("doc_id", F.size("phrased").cast("bigint").alias("n_tokens"),
                       F.array_join("phrased", " ").alias("text"))
 
