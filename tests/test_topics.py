@@ -141,3 +141,12 @@ def test_select_best(spark):
     r = {x["k"]: x for x in H.select_best(curve, "k", "c").collect()}
     assert r[2]["is_best"] and not r[4]["is_best"]
     assert [k for k in r if r[k]["is_local_max"]] == [2, 4]
+
+
+def test_term_relevance(spark):
+    w = spark.createDataFrame([(0, "a", 3.0), (0, "b", 1.0), (1, "b", 1.0)], "topic int, word string, weight double")
+    cf = spark.createDataFrame([("a", 3), ("b", 7)], "word string, cf long")
+    got = {(r["topic"], r["word"]): r["relevance"] for r in TP.term_relevance(w, "topic", cf, 0.6).collect()}
+    want = 0.6 * math.log(0.75) + 0.4 * math.log(0.75 / 0.3)
+    assert got[(0, "a")] == pytest.approx(want)
+    assert got[(1, "b")] == pytest.approx(0.6 * math.log(1.0) + 0.4 * math.log(1.0 / 0.7))

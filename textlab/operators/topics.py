@@ -197,3 +197,18 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
         mask = a > 0
         return float(np.sum(a[mask] * np.log(a[mask] / b[mask])))
     return math.sqrt(max(0.5 * kl(p, m) + 0.5 * kl(q, m), 0.0))
+
+
+def term_relevance(weights: DataFrame, topic: str, corpus: DataFrame, lam: float = 0.6) -> DataFrame:
+    """T8 relevant terms: ``lam * log p(w|t) + (1 - lam) * log(p(w|t) / p(w))``.
+
+    ``weights`` is (topic, word, weight) with weights normalised per topic
+    into p(w|t); ``corpus`` is (word, cf) corpus frequencies giving p(w).
+    Both normalisations are aggregations; the join with p(w) is on the word."""
+    tot = weights.groupBy(topic).agg(F.sum("weight").alias("__tw"))
+    p_wt = weights.join(tot, topic).select(topic, "word", (F.col("weight") / F.col("__tw")).alias("p_wt"))
+    total = corpus.agg(F.sum("cf")).collect()[0][0] or 1
+    p_w = corpus.select("word", (F.col("cf") / F.lit(float(total))).alias("p_w"))
+    j = p_wt.join(p_w, "word")
+    rel = lam * F.log(F.col("p_wt")) + (1.0 - lam) * F.log(F.col("p_wt") / F.col("p_w"))
+    return j.select(topic, "word", "p_wt", "p_w", rel.alias("relevance"))

@@ -77,6 +77,18 @@ def _materialized_docs(spark, sf):
     return cut_lineage(topic_docs(spark, sf).select("doc_id", "topic", "toks"))
 
 
+def q_topic_relevance(spark, sf):
+    """T8 relevant terms (lambda 0.6): the 10 most relevant words per topic.
+    Corpus frequencies are summed from the same (materialised) term counts."""
+    from pyspark.sql import Window
+    w = _weights(spark, sf)
+    cf = w.groupBy("word").agg(F.sum("tf").alias("cf"))
+    rel = TP.term_relevance(w.select("topic", "word", "weight"), "topic", cf, 0.6)
+    win = Window.partitionBy("topic").orderBy(F.col("relevance").desc(), F.col("word").asc())
+    top = rel.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= TOP_N)
+    return top.select("topic", F.col("rank").cast("int").alias("rank"), "word", r6(F.col("relevance")).alias("relevance"))
+
+
 def q_coherence_umass(spark, sf):
     docs = _materialized_docs(spark, sf)
     topics = H.collect_topic_words(TP.top_words(TP.ctfidf(docs, "topic", "toks"), "topic", TOP_N))
@@ -257,6 +269,17 @@ SQL = {
       FROM pairs p LEFT JOIN dots d USING (topic_a, topic_b)
       JOIN nrm na ON na.topic = p.topic_a JOIN nrm nb ON nb.topic = p.topic_b""",
     "coherence_umass": f"SELECT topic, {Q.r6('umass')} AS umass FROM ({_umass_sql(_base_sql(), _TOPW)})",
+    "topic_relevance": f"""
+      WITH w AS ({_W}),
+      tot AS (SELECT topic, sum(weight) AS tw FROM w GROUP BY topic),
+      cf AS (SELECT word, sum(tf) AS cf FROM w GROUP BY word),
+      total AS (SELECT sum(cf) AS t FROM cf),
+      rel AS (SELECT w.topic, w.word,
+                     0.6 * ln(w.weight / tot.tw) + 0.4 * ln((w.weight / tot.tw) / (cf.cf / total.t)) AS relevance
+              FROM w JOIN tot USING (topic) JOIN cf USING (word), total)
+      SELECT topic, CAST(rank AS INTEGER) AS rank, word, {Q.r6('relevance')} AS relevance FROM (
+        SELECT *, row_number() OVER (PARTITION BY topic ORDER BY relevance DESC, word ASC) AS rank FROM rel)
+      WHERE rank <= {TOP_N}""",
     "coherence_cv": _CV,
     "best_k": _BEST,
     "topic_assign": f"SELECT vec_id, topic, {Q.r6('similarity')} AS similarity FROM ({_CENT})",
@@ -271,6 +294,7 @@ QUERIES = {
     "docs_per_topic": q_docs_per_topic,
     "topic_distance": q_topic_distance,
     "coherence_umass": q_coherence_umass,
+    "topic_relevance": q_topic_relevance,
     "coherence_cv": q_coherence_cv,
     "best_k": q_best_k,
     "topic_assign": q_topic_assign,
