@@ -8,12 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bpe, packing
+from textlab.llm import bpe, bytecnn, langid, packing
 from textlab.llm.common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(langid.bucket("doc_id", 3) != 1))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", (langid.bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "n_grams")
+
+
 def op5_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -22,9 +29,18 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").where(langid.bucket("doc_id", 5) != 0)
+    return bytecnn.predict(docs, bytecnn.learn(docs, labels)).select(
+        "doc_id", (langid.bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op4_bitmask_langid": op4_bitmask_langid,
     "op5_forced_bpe": op5_forced_bpe,
     "op9_best_fit": op9_best_fit,
+    "op10_byte_cnn": op10_byte_cnn,
 }
 
 SQL: dict[str, str] = {}
