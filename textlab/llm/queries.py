@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bpe, bytecnn, langid, packing
+from textlab.llm import bpe, bytecnn, langid, packing, superminhash
 from textlab.llm.common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(read(spark, sf_dir, "documents"), k=3, num=85, den=100, bands=20, rows=5)
+
+
 def op4_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.learn(docs.where(langid.bucket("doc_id", 3) != 1))
@@ -37,6 +41,7 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_superminhash": op3_superminhash,
     "op4_bitmask_langid": op4_bitmask_langid,
     "op5_forced_bpe": op5_forced_bpe,
     "op9_best_fit": op9_best_fit,
