@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bpe, bytecnn, langid, packing, superminhash
+from textlab.llm import bcr, bpe, bytecnn, fmindex, langid, packing, superminhash
 from textlab.llm.common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,17 @@ def op5_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fmindex.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\x09-\\x0D]+", " "))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bcr.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -44,6 +55,8 @@ QUERIES = {
     "op3_superminhash": op3_superminhash,
     "op4_bitmask_langid": op4_bitmask_langid,
     "op5_forced_bpe": op5_forced_bpe,
+    "op7_fm_index": op7_fm_index,
+    "op8_column_bwt": op8_column_bwt,
     "op9_best_fit": op9_best_fit,
     "op10_byte_cnn": op10_byte_cnn,
 }
