@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bcr, bpe, bytecnn, fmindex, langid, packing, superminhash
+from textlab.llm import bcr, bpe, bytecnn, fmindex, hnsw, langid, packing, superminhash
 from textlab.llm.common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(read(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(read(spark, sf_dir, "documents"), k=3, num=85, den=100, bands=20, rows=5)
 
@@ -52,6 +56,7 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hnsw": op1_hnsw,
     "op3_superminhash": op3_superminhash,
     "op4_bitmask_langid": op4_bitmask_langid,
     "op5_forced_bpe": op5_forced_bpe,
