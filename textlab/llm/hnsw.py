@@ -339,7 +339,7 @@ def near_duplicates(rows: DataFrame, at_least: float = 0.95, vec: str = "embeddi
     none = F.lit(None)
     left = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"),
                         F.lit(0).cast("long").alias("node"), none.cast("array<float>").alias("embedding"), "nodes", "w", "raw", "graph")
-    right = nodes.select((base + F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).alias("shard"),
+    right = nodes.select(F.explode(F.sequence(base, base + (shards - 1))).alias("shard"),
                          F.expr(f"cast(pmod(xxhash64(node), {blocks}) as int)").alias("block"), F.lit(1).alias("kind"),
                          "node", "embedding", *[none.cast("binary").alias(c) for c in ("nodes", "w", "raw", "graph")])
     found = cut_lineage(left.unionByName(right).repartition(2 * shards * blocks, "shard", "block")
