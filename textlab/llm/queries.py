@@ -4,12 +4,14 @@ digest columns from the operator's result."""
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bcr, bpe, bytecnn, fmindex, hnsw, langid, packing, superminhash
-from textlab.llm.common import read
+from textlab.llm import bcr, bpe, bytecnn, fmindex, hnsw, imatch, langid, packing, superminhash, warc
+from textlab.llm.common import ensure_checkpoint_dir, read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -18,6 +20,12 @@ def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(read(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{ensure_checkpoint_dir(spark)}/archives/{uuid.uuid4().hex}"
+    return warc.read_archives(spark, warc.write_archives(read(spark, sf_dir, "pages"), folder)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(read(spark, sf_dir, "documents"), k=3, num=85, den=100, bands=20, rows=5)
 
@@ -33,6 +41,10 @@ def op5_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fmindex.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\x09-\\x0D]+", " "))
@@ -57,9 +69,11 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_hnsw": op1_hnsw,
+    "op2_warc": op2_warc,
     "op3_superminhash": op3_superminhash,
     "op4_bitmask_langid": op4_bitmask_langid,
     "op5_forced_bpe": op5_forced_bpe,
+    "op6_imatch": op6_imatch,
     "op7_fm_index": op7_fm_index,
     "op8_column_bwt": op8_column_bwt,
     "op9_best_fit": op9_best_fit,

@@ -43,10 +43,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return p[:n]
 
 
-def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(buf: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in a byte array."""
     inside = np.zeros(len(buf) + 2, np.int8)
-    inside[1:-1] = ~SPACE[buf]
+    inside[1:-1] = ~gap[buf]
     d = np.diff(inside)
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
@@ -64,18 +64,18 @@ def _pieces(raw: bytes):
     yield at, raw[at:]
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """Hash of every word of UTF-8 bytes, in order."""
+def word_hashes(raw: bytes, gap: np.ndarray = SPACE) -> np.ndarray:
+    """Hash of every word of UTF-8 bytes, in order; ``gap`` marks the bytes between words."""
     out = []
     for _, piece in _pieces(raw):
         buf = np.frombuffer(piece, np.uint8)
-        s, e = word_bounds(buf)
+        s, e = word_bounds(buf, gap)
         if not len(s):
             continue
         n = e - s
         ends = np.cumsum(n)
         # bytes of all words on end; position of each within its word
-        body = buf[~SPACE[buf]]
+        body = buf[~gap[buf]]
         within = np.arange(len(body)) - np.repeat(ends - n, n)
         value = BYTE[body] * powers(_ODD, int(n.max()))[within]
         out.append(mix64(np.add.reduceat(value, ends - n) + n.astype(U) * U(0xD6E8FEB86659FD93)))
