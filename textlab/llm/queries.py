@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bcr, bpe, bytecnn, fmindex, hnsw, imatch, langid, packing, superminhash, warc
+from textlab.llm import bcr, bpe, bytecnn, fmindex, hnsw, imatch, langid, packing, sql, superminhash, warc
 from textlab.llm.common import ensure_checkpoint_dir, read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -80,4 +80,10 @@ QUERIES = {
     "op10_byte_cnn": op10_byte_cnn,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_hnsw": sql.OP1,
+    "op2_warc": sql.OP2,
+    "op3_superminhash": sql.OP3,
+    "op7_fm_index": sql.OP7,
+    "op8_column_bwt": sql.OP8,
+}
