@@ -152,6 +152,10 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     manifest."""
     spark = pages.sparkSession
     fs, path, uri = qualified(spark, folder)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    pending, final = jpath(path, "_manifest.pending"), jpath(path, "_manifest")
+    if fs.exists(final):
+        raise FileExistsError(f"{uri} holds an archive")
     rows = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).cast("string").alias("url"),
                         F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("n", F.octet_length("payload")).withColumn("digest", F.sha1("payload"))
@@ -174,7 +178,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                                       none.cast("binary").alias("payload"), "digest", "first")))
 
     def write(batches):
-        out, names, shard_now, refers, state = None, [], None, {}, {}
+        out, shard_now, seq, refers, seen, before = None, None, 0, {}, set(), None
 
         def close():
             out["stream"].close()
@@ -184,7 +188,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             if s != shard_now:
                 if out:
                     yield close()
-                out, shard_now, seq, refers, before = None, s, 0, {}, None
+                out, shard_now, seq, refers, seen, before = None, s, 0, {}, set(), None
             for page, kind, link, payload, hexed, target in zip(part["page"], part["kind"], part["url"], part["payload"], part["digest"], part["first"]):
                 page = None if pd.isna(page) else int(page)
                 if page != before:
@@ -231,12 +235,10 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                 names.append(name.rsplit("/", 1)[1])
             yield pdf.assign(file=names)[["file", "shard", "seq", "records", "bytes", "sha1"]]
 
-    jpath = spark._jvm.org.apache.hadoop.fs.Path
-    pending, final = jpath(path, "_manifest.pending"), jpath(path, "_manifest")
     (written.mapInPandas(commit, "file string, shard int, seq int, records long, bytes long, sha1 string")
      .write.mode("overwrite").parquet(pending.toString()))
     if not fs.rename(pending, final):
-        raise OSError(f"the manifest could not be put in place: {final.toString()} exists")
+        raise OSError(f"the manifest could not be put in place: {final.toString()}")
     fs.delete(jpath(path, "_temporary"), True)
     return uri
 
