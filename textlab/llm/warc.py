@@ -114,23 +114,25 @@ def qualified(spark: SparkSession, folder: str):
 
 def bounds(rows: DataFrame, key: str, size: str, target: int) -> list[int]:
     """Upper bounds (inclusive) of key ranges of about ``target`` bytes each, from
-    exact histograms over at most BINS bins a shard, in two levels; null keys
-    belong to the first range.  Depends on the rows alone."""
+    exact histograms of at most BINS bins a shard; null keys belong to the first
+    range.  Depends on the rows alone."""
     lo, hi, total = rows.agg(F.min(key), F.max(key), F.sum(size)).first()
     if lo is None:
         return []
     shards = max(1, -(-int(total or 0) // max(target, -(-int(total or 0) // MOST_SHARDS), 1)))
     target = -(-int(total or 0) // shards)
     width = max(1, -(-(hi - lo + 1) // (BINS * shards)))
-    fine = max(1, -(-width // BINS))
-    one = rows.where(F.col(key).isNotNull()).withColumn("_b", F.floor((F.col(key) - lo) / F.lit(width)))
-    sums = {r[0]: r[1] for r in one.groupBy("_b").agg(F.sum(size)).collect()}
-    big = [x for x, n in sums.items() if n > target // 2 and width > 1]
-    steps = [(lo + (x + 1) * width - 1, n) for x, n in sums.items() if x not in set(big)]
-    if big:
-        at = F.floor((F.col(key) - lo - F.col("_b") * width) / F.lit(fine))
-        for x, y, n in one.where(F.col("_b").isin(big)).groupBy("_b", at.alias("_f")).agg(F.sum(size)).collect():
-            steps.append((min(lo + x * width + (y + 1) * fine, lo + (x + 1) * width) - 1, n))
+    # bins by their first key; those of more than half a shard are divided again
+    at = rows.where(F.col(key).isNotNull()).withColumn("_b", F.floor((F.col(key) - lo) / F.lit(width)) * width + lo)
+    steps = []
+    while True:
+        sums = at.groupBy("_b").agg(F.sum(size)).collect()
+        big = [x for x, n in sums if n > target // 2 and width > 1]
+        steps += [(x + width - 1, n) for x, n in sums if n <= target // 2 or width == 1]
+        if not big:
+            break
+        width = -(-width // BINS)
+        at = at.where(F.col("_b").isin(big)).withColumn("_b", F.floor((F.col(key) - F.col("_b")) / F.lit(width)) * width + F.col("_b"))
     out, held = [], 0
     for end, n in sorted(steps):
         if held and held + n > target:
