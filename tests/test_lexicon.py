@@ -36,6 +36,27 @@ def test_polarity_rules(spark):
     assert score(spark, lambda c: f(sp(c)), "none here") == 0.0
 
 
+@pytest.mark.parametrize("word", ["don't", "don\u2019t", "dont", "do not", "can't", "haven't"])
+def test_contracted_negation(spark, word):
+    lex = {"like": 1.5}
+    for f in (lambda c: L.lexicon_compound(c, lex), lambda c: L.lexicon_polarity(L.scoring_tokens(c), lex)):
+        plain = score(spark, f, "I like it")
+        assert plain > 0 > score(spark, f, f"I {word} like it")
+        assert score(spark, f, f"I {word} like it") == pytest.approx(score(spark, f, "I do not like it"))
+
+
+def test_compound_golden_values(spark):
+    """Worked out from the published constants: v / sqrt(v * v + 15)."""
+    lex = {"good": 2.0, "bad": -2.0}
+    norm = lambda v: v / (v * v + 15) ** 0.5
+    f = lambda c: L.lexicon_compound(c, lex)
+    for text, v in [("is good", 2.0), ("very good", 2.293), ("very bad", -2.293), ("not good", -1.48),
+                    ("not very good", -0.74 * 2.293), ("very not good", -0.74 * 2.0 - 0.95 * 0.293),
+                    ("slightly good", 2.0 - 0.293), ("really is good", 2.0 + 0.95 * 0.293), ("is GOOD", 2.733),
+                    ("good bad", 0.0), ("is good but bad", 2.0 * 0.5 - 2.0 * 1.5)]:
+        assert score(spark, f, text) == pytest.approx(norm(v), abs=1e-9), text
+
+
 def test_signed_confidence(spark):
     df = spark.createDataFrame([("POSITIVE", 0.9), ("NEGATIVE", 0.8)], "l string, s double")
     assert [r[0] for r in df.select(L.signed_score(F.col("l"), F.col("s"))).collect()] == [0.9, -0.8]

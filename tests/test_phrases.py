@@ -26,7 +26,7 @@ def run_both(spark, docs, phrases):
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id long, toks array<string>")
     lit = {r["id"]: r["o"] for r in df.select("id", P.apply_phrases("toks", list(phrases)).alias("o")).collect()}
     ph = spark.createDataFrame([(p,) for p in sorted(phrases)], "phrase string")
-    joined = P.apply_phrases_df(df, "id", "toks", ph, "o", max_literal=0)
+    joined = P.apply_phrases_df(df, "id", "toks", ph, "o")
     jn = {r["id"]: r["o"] for r in joined.select("id", "o").collect()}
     return lit, jn
 

@@ -41,6 +41,14 @@ def crawl_lines():
     ]
 
 
+def test_unparsed_times_and_numeric_ids(spark):
+    rows = [("k", "9", None, "null time"), ("k", "10", 50, "later"), ("k", "9", 40, "first nine"), ("k", "10", 40, "first ten"),
+            ("m", "x", None, "no number"), ("m", "7", None, "number"), (None, "1", 1, "no key"), ("k", "9", 40, "first nine")]
+    df = spark.createDataFrame(rows, "key string, id string, ts long, txt string")
+    got = {r["key"]: (r["txt"], r["n"]) for r in I.first_and_count(df, "key", "id", "ts").collect()}
+    assert got == {"k": ("first nine", 5), "m": ("number", 2)}
+
+
 def test_crawl_to_unique_retweets(spark, tmpdir_path):
     p = write(os.path.join(tmpdir_path, "crawl.json"), "\n".join(crawl_lines()) + "\n")
     good, bad = S.read_crawl(spark, p)

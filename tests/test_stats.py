@@ -48,13 +48,39 @@ def test_erfc_matches_math(spark):
 def test_pivot_and_proportions(spark):
     df = spark.createDataFrame([("v", "Negative"), ("v", "Positive"), ("n", "Neutral"), ("x", None)],
                                "g string, s string")
-    piv = S.count_pivot(df, "g", "s", ["Negative", "Neutral", "Positive"])
-    sh = S.count_proportions(piv, "g", ["Negative", "Neutral", "Positive"]).collect()
+    cats = ["Negative", "Neutral", "Positive"]
+    sh = S.count_proportions(S.count_pivot(df, "g", "s", cats, total="total"), "g", cats, "total").collect()
     assert {r["g"] for r in sh} == {"v", "n"}  # the unmapped row leaves both sides
     for r in sh:
         assert r["Negative"] + r["Neutral"] + r["Positive"] == pytest.approx(1.0)
 
 
+def test_unlisted_categories_count_in_the_totals(spark):
+    rows = [("a", "hit")] * 6 + [("a", "odd")] * 4 + [("b", "hit")] * 3 + [("b", "miss")] * 7 + [(None, "hit"), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, c string")
+    r = {x["c"]: x for x in S.two_prop_ztest(df, "g", "c", ["hit", "miss"]).collect()}
+    assert set(r) == {"hit", "miss"} and (r["hit"]["nobs_1"], r["hit"]["nobs_2"]) == (10, 10)
+    assert {x["c"] for x in S.two_prop_ztest(df, "g", "c").collect()} == {"hit", "miss", "odd"}
+    piv = S.count_pivot(df, "g", "c", ["hit"], total="n").collect()
+    assert {(p["g"], p["hit"], p["n"]) for p in piv} == {("a", 6, 10), ("b", 3, 10)}
+
+
+def test_null_labels_leave_only_where_told(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else i % 2) for i in range(30)], "id long, label int")
+    assert M.stratified_folds(df, "label", "id", 5).count() == 30
+    assert S.drop_null_labels(df, "label").count() == 20
+    assert tuple(S.label_row_counts(df, "label").first()) == ("label", 30, 10, 20)
+
+
+def test_raters_missing_repeated_and_changed_rows(spark):
+    a = spark.createDataFrame([(i, f"t{i}", i % 2) for i in range(10)], "k int, text string, s int")
+    b = spark.createDataFrame([(i, f"t{i}", i % 2) for i in range(1, 10)] + [(3, "t3", 1), (20, "new", 0)], "k int, text string, s int")
+    r = S.align_raters(a, b, "k", "text", ["s"]).first()
+    assert (r["n_rows"], r["n_mismatch"], r["kappa"]) == (8, 1 + 2 + 1, None)   # 0 missing, 3 twice, 20 new
+    same = S.align_raters(a, a, "k", "text", ["s"]).first()
+    assert (same["n_rows"], same["n_mismatch"], same["kappa"]) == (10, 0, 1.0)
+
+
 def test_recode_unmapped_is_null(spark):
     df = spark.createDataFrame([("y",), ("n",), ("x",)], "v string")
     got = [r[0] for r in df.select(S.recode(F.col("v"), {"y": "vapers", "n": "non-vapers"})).collect()]

@@ -10,6 +10,8 @@ from textlab.functions.clean import _c
 # Day names cannot be parsed by Spark's pattern letter E, so the leading
 # "Tue " is cut off and the rest parsed; the zone is fixed at +0000.
 TWITTER_FORMAT_NO_DAY = "MMM dd HH:mm:ss Z yyyy"
+# Fixed: the same stamp in strptime letters.
+TWITTER_SQL_FORMAT = "%a %b %d %H:%M:%S +0000 %Y"
 TWITTER_FORMAT_OUT = "EEE MMM dd HH:mm:ss '+0000' yyyy"
 
 

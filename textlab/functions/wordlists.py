@@ -100,11 +100,13 @@ SLICE_LEXICON = {
     "stupid": -1.5, "with": 0.6, "that": 0.5, "was": -0.4, "be": -0.3,
 }
 
-# Our own negation words (lower case, apostrophes removed by the tokenizer).
+# Our own negation words (lower case).  Contractions are listed without their
+# apostrophe; the scorers also take every word with "n't" as a negation.
 NEGATIONS = [
     "not", "no", "never", "none", "nobody", "nothing", "neither", "nor", "nowhere",
-    "cannot", "without", "isnt", "dont", "doesnt", "didnt", "wasnt", "werent",
-    "cant", "wont", "aint",
+    "cannot", "without", "isnt", "arent", "dont", "doesnt", "didnt", "wasnt", "werent",
+    "cant", "couldnt", "wont", "wouldnt", "shouldnt", "hasnt", "havent", "hadnt",
+    "mustnt", "neednt", "aint",
 ]
 
 # Our own intensity modifiers: word -> +1 (booster) or -1 (dampener).

@@ -10,6 +10,8 @@ third of all rows still costs one row per task before the shuffle.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,15 +43,34 @@ def flatten_tweet(df: DataFrame) -> DataFrame:
     )
 
 
-def first_and_count(df: DataFrame, key: str, order: list[str], count_name: str = "n") -> DataFrame:
-    """A4: the first row per ``key`` by ``order`` (ties broken by the later
-    order columns) and the number of rows per key."""
+#: A time that does not parse sorts after every time that does (seconds).
+NO_TIME = 10 ** 14
+
+
+def rank_key(seconds: Column | None, record_id: Column) -> Column:
+    """Order of records as one decimal(38): time, then numeric id.  Unparsed
+    times come last, ids that are not numbers of at most 19 digits after the numbers."""
+    t = F.coalesce(seconds, F.lit(NO_TIME)) if seconds is not None else F.lit(0)
+    i = F.coalesce(record_id.try_cast("decimal(19,0)"), F.lit(Decimal(10 ** 19 - 1)))
+    return (t.cast("decimal(15,0)") * F.lit(Decimal(10 ** 19)) + i).cast("decimal(38,0)")
+
+
+def first_and_count(df: DataFrame, key: str, record_id: str, seconds: str | None = None,
+                    count_name: str = "n") -> DataFrame:
+    """A4: the first row per ``key`` by time and id, and the number of rows per key.
+
+    The winner is found on one fixed-width column, in a hash aggregation that
+    combines before the shuffle; only then is its row fetched, by a join that
+    AQE can split.  Of rows that tie in time and id (the same record crawled
+    twice) one stays, the smallest by its other columns.  Rows without a key
+    are left out."""
     others = [c for c in df.columns if c != key]
-    agg = df.groupBy(key).agg(
-        F.min_by(F.struct(*others), F.struct(*order)).alias("__first"),
-        F.count(F.lit(1)).alias(count_name),
-    )
-    return agg.select(key, *[F.col(f"__first.{c}").alias(c) for c in others], count_name)
+    d = (df.where(F.col(key).isNotNull())
+           .withColumn("__rank", rank_key(F.col(seconds) if seconds else None, F.col(record_id).cast("string"))))
+    first = d.groupBy(key).agg(F.min("__rank").alias("__rank"), F.count(F.lit(1)).alias(count_name))
+    rows = d.join(first, [key, "__rank"])
+    one = rows.groupBy(key).agg(F.min(F.struct(*others)).alias("__first"), F.first(count_name).alias(count_name))
+    return one.select(key, *[F.col(f"__first.{c}").alias(c) for c in others], count_name)
 
 
 def unique_retweets(crawl: DataFrame, members: DataFrame, member_key: str = "account_id",
@@ -59,8 +80,9 @@ def unique_retweets(crawl: DataFrame, members: DataFrame, member_key: str = "acc
     posts = keep_members(crawl, members, "user.id_str", member_key)
     if only_retweets:
         posts = posts.where(is_retweet(F.col("text")) & F.col("retweeted_status.id_str").isNotNull())
-    flat = flatten_tweet(posts).drop("is_retweet").withColumn("__ts", parse_twitter_time(F.col("created_date")))
-    res = first_and_count(flat, "from_id", ["__ts", "tweet_id"], "n_retweets")
+    flat = (flatten_tweet(posts).drop("is_retweet")
+            .withColumn("__ts", F.unix_seconds(parse_twitter_time(F.col("created_date")).cast("timestamp"))))
+    res = first_and_count(flat, "from_id", "tweet_id", "__ts", "n_retweets")
     return res.select("tweet_id", "created_date", "full_txt", "from_id", "user_id", "screen_name", "n_retweets")
 
 

@@ -1,32 +1,17 @@
-"""Join helpers: broadcast only behind a size check."""
+"""Join helpers.  No broadcast hints: the planner and AQE broadcast a side only
+when its size in bytes, from the plan's statistics or measured at run time, is
+below ``spark.sql.autoBroadcastJoinThreshold``; else the join shuffles."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows allowed on the broadcast side of a data-derived join.  Above it the
-# join stays a shuffle join (sort-merge, or AQE's runtime choice).
-DEFAULT_BROADCAST_ROWS = 2_000_000
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when ``df`` provably has at most ``max_rows`` rows.
-
-    The check is a bounded count (``limit(max_rows + 1)``), so it stops early
-    on a large side.  Otherwise the plan is returned unchanged and Spark's
-    planner and AQE pick the strategy from real sizes."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def keep_members(posts: DataFrame, members: DataFrame, key: str, member_key: str | None = None,
-                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def keep_members(posts: DataFrame, members: DataFrame, key: str, member_key: str | None = None) -> DataFrame:
     """Rows of ``posts`` whose ``key`` is in the id list (left-semi join).
-
-    A semi join needs no ``distinct`` on the id list: duplicates cannot
-    multiply rows."""
-    member_key = member_key or key
-    ids = members.select(F.col(member_key).alias("__member")).where(F.col("__member").isNotNull())
-    ids = broadcast_if_small(ids, max_broadcast_rows)
-    return posts.join(ids, F.col(key) == F.col("__member"), "left_semi")
+    Both sides are compared as strings (P14), so a list read from csv matches
+    numeric ids.  A semi join needs no ``distinct``: duplicates in the list
+    cannot multiply rows."""
+    ids = members.select(F.col(member_key or key).cast("string").alias("__member")).where(F.col("__member").isNotNull())
+    return posts.join(ids, F.col(key).cast("string") == F.col("__member"), "left_semi")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textlab.functions.clean import WS, _c, map_literal, split_ws
+from textlab.functions.clean import WS, _c, map_literal, split_ws, tokenize
 from textlab.functions.wordlists import BOOSTERS, INTENSIFIERS, LEXICON, NEGATIONS
 
 # Fixed values from the rule-based sentiment paper (Hutto & Gilbert 2014).
@@ -37,6 +37,17 @@ def let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+def is_negation(token: Column, negations) -> Column:
+    """A negation word, or any word with "n't" (either apostrophe); null: no."""
+    return F.coalesce(token.isin(negations) | token.contains("n't") | token.contains("n\u2019t"), F.lit(False))
+
+
+def scoring_tokens(text) -> Column:
+    """F10 tokens for the polarity scorer: apostrophes go first, so that "don't"
+    is the token "dont" and not "don"."""
+    return tokenize(F.translate(_c(text), "'\u2019", ""))
+
+
 def lexicon_hits(tokens, lexicon: dict = LEXICON) -> Column:
     """struct(n_hits, sum_valence) of the tokens found in the lexicon."""
     m = map_literal({k: float(v) for k, v in lexicon.items()})
@@ -76,8 +87,7 @@ def lexicon_polarity(tokens, lexicon: dict = LEXICON, scale: float = 0.25,
         v = F.try_element_at(lex, t)
         p1, p2 = F.get(toks, i - 1), F.get(toks, i - 2)
         f1 = F.try_element_at(inten, p1)
-        negated = F.coalesce(p1.isin(neg), F.lit(False)) | (
-            f1.isNotNull() & F.coalesce(p2.isin(neg), F.lit(False)))
+        negated = is_negation(p1, neg) | (f1.isNotNull() & is_negation(p2, neg))
         return v * F.coalesce(f1, F.lit(1.0)) * F.when(negated, F.lit(-0.5)).otherwise(F.lit(1.0))
 
     return let(let(_c(tokens), per_row), lambda avg: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), avg)))
@@ -101,14 +111,16 @@ def lexicon_compound(text, lexicon: dict = LEXICON, negations=NEGATIONS,
                      boosters: dict = BOOSTERS) -> Column:
     """M1: rule + lexicon compound score in [-1, 1].
 
-    Per matched token: capital emphasis when the text mixes case, boosters and
-    dampeners among the 3 preceding tokens (scaled 1, 0.95, 0.9 by distance),
-    each negation among them multiplies by -0.74; around the first "but" hits
+    Per matched token: capital emphasis when the text mixes case; then the 3
+    preceding tokens, nearest first, each unless it is in the lexicon itself:
+    boosters and dampeners add (scaled 1, 0.95, 0.9 by distance), a negation
+    multiplies what has come together by -0.74.  Around the first "but" hits
     before count half and hits after one and a half.  The sum gets "!" and "?"
     emphasis and is normalised by s / sqrt(s^2 + 15)."""
     raw = _c(text)
     lex = map_literal({k: float(v) for k, v in lexicon.items()})
     boost = map_literal({k: float(v) for k, v in boosters.items()})
+    keys = sorted(lexicon)
     neg = sorted(set(negations))
 
     def is_caps(t):
@@ -121,27 +133,32 @@ def lexicon_compound(text, lexicon: dict = LEXICON, negations=NEGATIONS,
                         ((n_caps > 0) & (n_caps < F.size(toks))).alias("cap_diff"),
                         F.array_position(low, F.lit("but")).alias("but_pos"))  # 1-based, 0 if absent
 
+    def context(prev, low_prev, cap_diff, scale):
+        """One preceding token: its boost with the valence's sign so far, then its
+        negation.  A token that is in the lexicon itself has no such effect."""
+        def step(v):
+            up = F.when(v < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+            emph = F.when(v > 0, F.lit(CAPS_INCR)).otherwise(F.lit(-CAPS_INCR))
+            caps = F.when(cap_diff & is_caps(prev), emph).otherwise(F.lit(0.0))
+            inc = F.coalesce((F.try_element_at(boost, low_prev) * BOOST_INCR * up + caps) * scale, F.lit(0.0))
+            turned = (v + inc) * F.when(is_negation(low_prev, neg), F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0))
+            return F.when(low_prev.isNull() | low_prev.isin(keys), v).otherwise(turned)
+        return step
+
     def score(r, t, i):
         toks, low, cap_diff, but_pos = r["toks"], r["low"], r["cap_diff"], r["but_pos"]
         v0 = F.try_element_at(lex, F.get(low, i))
         sign = F.when(v0 >= 0, F.lit(1.0)).otherwise(F.lit(-1.0))
         v = v0 + F.when(cap_diff & is_caps(t), sign * CAPS_INCR).otherwise(F.lit(0.0))
         for k, scale in BOOST_DISTANCE.items():
-            prev = F.get(toks, i - k)
-            b = F.try_element_at(boost, F.get(low, i - k))
-            inc = (b * BOOST_INCR + F.when(cap_diff & is_caps(prev), F.lit(CAPS_INCR)).otherwise(F.lit(0.0))) * sign
-            v = v + F.coalesce(inc * scale, F.lit(0.0))
-        for k in BOOST_DISTANCE:
-            prev = F.get(low, i - k)
-            v = v * F.when(F.coalesce(prev.isin(neg), F.lit(False)), F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0))
+            prev, low_prev = F.get(toks, i - k), F.get(low, i - k)
+            v = let(v, context(prev, low_prev, cap_diff, scale))
         but = (F.when(but_pos == 0, F.lit(1.0))
                 .when(i + 1 < but_pos, F.lit(BUT_BEFORE))
                 .when(i + 1 > but_pos, F.lit(BUT_AFTER))
                 .otherwise(F.lit(1.0)))
         return v * but
 
-    keys = sorted(lexicon)
-
     def per_row(r):
         hits = F.filter(F.sequence(F.lit(0), F.size(r["toks"]) - 1), lambda i: F.get(r["low"], i).isin(keys))
         vals = F.transform(hits, lambda i: score(r, F.get(r["toks"], i), i))
@@ -189,5 +206,5 @@ def signed_score(label, score, positive: str = "POSITIVE") -> Column:
     return F.when(_c(label) == positive, _c(score)).otherwise(-_c(score))
 
 
-__all__ = ["lexicon_hits", "mean_valence", "lexicon_polarity", "lexicon_compound", "score_to_class",
+__all__ = ["is_negation", "scoring_tokens", "lexicon_hits", "mean_valence", "lexicon_polarity", "lexicon_compound", "score_to_class",
            "label_to_score", "label_to_flag", "signed_score", "compound_tokens", "WS"]

@@ -54,10 +54,13 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, k: int, seed: int =
     w_off = Window.partitionBy(label).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(label, "__bucket",
                            F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__offset"))
-    d = d.join(offsets, [label, "__bucket"])  # offsets: #classes x 16**bucket_chars rows
+    # offsets: #classes x 16**bucket_chars rows; rows without a label are a class
+    # of their own (dropping them is P5's business)
+    offsets = offsets.select(F.col(label).alias("__l"), F.col("__bucket").alias("__b"), "__offset")
+    d = d.join(offsets, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__bucket") == F.col("__b")))
     w = Window.partitionBy(label, "__bucket").orderBy("__key", id_col)
     rank = F.col("__offset") + F.row_number().over(w) - 1
-    return d.withColumn("fold", (rank % k).cast("int")).drop("__key", "__bucket", "__offset")
+    return d.withColumn("fold", (rank % k).cast("int")).drop("__key", "__bucket", "__offset", "__l", "__b")
 
 
 def mean_over_folds(per_fold: DataFrame, cols: list[str]) -> DataFrame:

@@ -17,9 +17,6 @@ from textlab.operators.lexicon import let
 from textlab.session import cut_lineage
 
 DELIM = "_"
-# Phrase sets up to this size travel inside the plan as a hashed literal set;
-# larger ones use the join-based application (exact, any size).
-MAX_LITERAL_PHRASES = 100_000
 
 
 def adjacent_pairs(tokens) -> Column:
@@ -137,16 +134,11 @@ def apply_phrases(tokens, phrases: list[str]) -> Column:
     return let(_c(tokens), per_doc)
 
 
-def apply_phrases_df(df: DataFrame, id_col: str, tokens: str, phrases: DataFrame, out: str = "phrased",
-                     max_literal: int = MAX_LITERAL_PHRASES) -> DataFrame:
-    """T2 for any phrase table: a literal set when it is provably small,
-    otherwise a join of (doc, position, pair) with the phrase table; only the
-    matched positions travel back to their document."""
+def apply_phrases_df(df: DataFrame, id_col: str, tokens: str, phrases: DataFrame, out: str = "phrased") -> DataFrame:
+    """T2 for any phrase table: a join of (doc, position, pair) with the phrase
+    table; only the matched positions travel back to their document.  ``id_col``
+    is unique."""
     keys = phrases.select("phrase").distinct()
-    n = keys.limit(max_literal + 1).count()
-    if n <= max_literal:
-        lst = [r[0] for r in keys.collect()]
-        return df.withColumn(out, apply_phrases(tokens, lst))
     pairs = df.select(id_col, F.posexplode(adjacent_pairs(tokens)).alias("k", "p"))
     hits = (pairs.select(id_col, "k", F.concat_ws(DELIM, "p.w1", "p.w2").alias("phrase"))
                  .join(keys, "phrase", "left_semi")

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textlab.functions.clean import tokenize
-from textlab.functions.dates import biweek_key, format_twitter_time, parse_twitter_time
+from textlab.functions.dates import TWITTER_SQL_FORMAT, biweek_key, format_twitter_time, parse_twitter_time
 from textlab.functions.wordlists import LEXICON
 from textlab.operators import lexicon as L
 from textlab.operators import metrics as M
-from textlab.operators.joins import broadcast_if_small
 from textlab.plans import sql as Q
 from textlab.sources.posts import load_table
 
@@ -42,7 +41,7 @@ def _truth_vs_pred(spark, sf):
     truth = F.when(F.col("toxic") == 1, F.lit(-1)).when(F.col("quality") == 1, F.lit(1)).otherwise(F.lit(0))
     lab = lab.select("doc_id", truth.alias("label"))
     sc = _scored_docs(spark, sf)
-    return sc.join(broadcast_if_small(lab), "doc_id").select(
+    return sc.join(lab, "doc_id").select(
         "doc_id", "label", L.score_to_class(F.col("score")).alias("pred"))
 
 
@@ -125,10 +124,10 @@ SQL = {
       SELECT fold, n, {Q.r6('accuracy')} AS accuracy, {Q.r6('weighted_f1')} AS weighted_f1,
              {Q.r6('avg(accuracy) OVER ()')} AS mean_accuracy, {Q.r6('avg(weighted_f1) OVER ()')} AS mean_weighted_f1
       FROM ({_metrics_sql(_folds_sql(_TVP), 'fold')})""",
-    "biweekly_mean": """
+    "biweekly_mean": f"""
       SELECT CAST(year(t) AS VARCHAR) || '-' || CAST(weekofyear(t) // 2 AS VARCHAR) AS biweek,
              round(avg(value), 6) + 0.0 AS average_sentiment, count(*) AS n
-      FROM (SELECT value, strptime(strftime(ts, '%a %b %d %H:%M:%S +0000 %Y'), '%a %b %d %H:%M:%S +0000 %Y') AS t
+      FROM (SELECT value, strptime(strftime(ts, '{TWITTER_SQL_FORMAT}'), '{TWITTER_SQL_FORMAT}') AS t
             FROM events)
       GROUP BY 1""",
 }

@@ -42,7 +42,7 @@ def q_community_filter(spark, sf):
 def q_unique_retweets(spark, sf):
     """A4: first copy (smallest id) of each distinct text and its copy count."""
     d = load_table(spark, sf, "documents").select(F.md5("text").alias("text_key"), "doc_id", "source")
-    return I.first_and_count(d, "text_key", ["doc_id"], "n_copies")
+    return I.first_and_count(d, "text_key", "doc_id", count_name="n_copies")
 
 
 def _face_json(c):

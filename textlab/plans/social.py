@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from textlab.functions.clean import tokenize
 from textlab.functions.wordlists import LEXICON
 from textlab.operators import stats as S
-from textlab.operators.joins import broadcast_if_small
 from textlab.operators.lexicon import mean_valence, score_to_class
 from textlab.plans import sql as Q
 from textlab.sources.posts import load_table
@@ -29,7 +28,7 @@ def scored_posts(spark: SparkSession, sf: str, lexicon: dict = LEXICON, tokenize
     """documents JOIN labels -> (doc_id, vape_user y/n, score, sentiment_score -1/0/1)."""
     docs = load_table(spark, sf, "documents").select("doc_id", "text")
     labels = load_table(spark, sf, "labels").select("doc_id", "quality")
-    j = docs.join(broadcast_if_small(labels), "doc_id")
+    j = docs.join(labels, "doc_id")
     score = mean_valence(tokenizer(F.col("text")), lexicon)
     return j.select(
         "doc_id",
@@ -49,8 +48,8 @@ def q_sentiment_by_group_counts(spark, sf):
 
 
 def q_sentiment_by_group_share(spark, sf):
-    piv = S.count_pivot(_named(scored_posts(spark, sf)), "vape_user", "sentiment", CATS)
-    sh = S.count_proportions(piv, "vape_user", CATS)
+    piv = S.count_pivot(_named(scored_posts(spark, sf)), "vape_user", "sentiment", CATS, total="total")
+    sh = S.count_proportions(piv, "vape_user", CATS, "total")
     return sh.select("vape_user", *[r6(F.col(c)).alias(c) for c in CATS])
 
 
@@ -68,9 +67,9 @@ def q_two_prop_ztest(spark, sf):
     """A8 on a second grouping: language shares of the two quality groups."""
     docs = load_table(spark, sf, "documents").select("doc_id", "lang")
     labels = load_table(spark, sf, "labels").select("doc_id", "quality")
-    df = docs.join(broadcast_if_small(labels), "doc_id").select(
+    df = docs.join(labels, "doc_id").select(
         S.recode(F.col("quality"), {1: "good", 0: "poor"}).alias("grp"), F.col("lang"))
-    z = S.two_prop_ztest(df, "grp", "lang", ["de", "en", "es", "fr"])
+    z = S.two_prop_ztest(df, "grp", "lang")
     return z.select("lang", "count_1", "nobs_1", "count_2", "nobs_2",
                     r6(F.col("z")).alias("z"), r6(F.col("p")).alias("p"))
 
@@ -88,8 +87,28 @@ def q_rater_agreement(spark, sf):
     a = docs.join(lab.select("doc_id", "quality", "toxic"), "doc_id")
     b = docs.join(lab.select("doc_id", (1 - F.col("toxic")).alias("quality"),
                              (1 - F.col("quality")).alias("toxic")), "doc_id")
-    res = S.align_raters(a, b, "doc_id", "text", ["quality", "toxic"])
-    return res.select("label", "n_rows", "n_mismatch", r6(F.col("kappa")).alias("kappa"))
+    # a third annotation that lost rows, changed texts and has a row twice
+    c = b.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    c = c.unionByName(c.where("doc_id % 13 = 0"))
+    out = None
+    for name, other in (("same", b), ("changed", c)):
+        res = S.align_raters(a, other, "doc_id", "text", ["quality", "toxic"]).select(F.lit(name).alias("pair"), "*")
+        out = res if out is None else out.unionByName(res)
+    return out.select("pair", "label", "n_rows", "n_mismatch", r6(F.col("kappa")).alias("kappa"))
+
+
+def q_drop_null_labels(spark, sf):
+    """P5: posts left with a label after a left join."""
+    docs = load_table(spark, sf, "documents").select("doc_id")
+    lab = load_table(spark, sf, "labels").select("doc_id", S.recode(F.col("quality"), {1: "y", 0: "n"}).alias("vape_user"))
+    return S.drop_null_labels(docs.join(lab, "doc_id", "left"), "vape_user")
+
+
+def q_label_row_counts(spark, sf):
+    """P5: the counts before and after dropping."""
+    docs = load_table(spark, sf, "documents").select("doc_id")
+    lab = load_table(spark, sf, "labels").select("doc_id", "quality")
+    return S.label_row_counts(docs.join(lab, "doc_id", "left"), "quality")
 
 
 def q_null_profile(spark, sf):
@@ -192,7 +211,7 @@ SQL = {
         SELECT grp, lang, cnt, sum(cnt) OVER (PARTITION BY grp) AS nobs FROM (
           SELECT g.grp, s.lang, count(x.lang) AS cnt
           FROM (SELECT DISTINCT CASE quality WHEN 1 THEN 'good' WHEN 0 THEN 'poor' END AS grp FROM labels) g
-          CROSS JOIN (SELECT unnest(['de', 'en', 'es', 'fr']) AS lang) s
+          CROSS JOIN (SELECT DISTINCT d.lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang IS NOT NULL) s
           LEFT JOIN (SELECT CASE l.quality WHEN 1 THEN 'good' WHEN 0 THEN 'poor' END AS grp, d.lang
                      FROM documents d JOIN labels l ON d.doc_id = l.doc_id) x
             ON x.grp = g.grp AND x.lang = s.lang
@@ -208,20 +227,36 @@ SQL = {
              {Q.r6('pe')} AS pe, {Q.r6('(po - pe) / (1 - pe)')} AS kappa
       FROM n, pe""",
     "rater_agreement": f"""
-      WITH t AS (SELECT l.quality AS qa, 1 - l.toxic AS qb, l.toxic AS ta, 1 - l.quality AS tb
-                 FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
-      k AS (
-        SELECT 'quality' AS label, CAST(qa AS VARCHAR) AS a, CAST(qb AS VARCHAR) AS b FROM t
-        UNION ALL SELECT 'toxic', CAST(ta AS VARCHAR), CAST(tb AS VARCHAR) FROM t),
-      n AS (SELECT label, count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS po FROM k GROUP BY label),
-      ma AS (SELECT label, a AS v, count(*) AS c FROM k GROUP BY label, a),
-      mb AS (SELECT label, b AS v, count(*) AS c FROM k GROUP BY label, b),
-      pe AS (SELECT n.label, sum(ma.c * mb.c * 1.0 / (n.n * n.n)) AS pe
-             FROM n JOIN ma ON ma.label = n.label JOIN mb ON mb.label = n.label AND mb.v = ma.v
-             GROUP BY n.label)
-      SELECT n.label, CAST(n.n AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_mismatch,
-             {Q.r6('(po - pe) / (1 - pe)')} AS kappa
-      FROM n JOIN pe USING (label)""",
+      WITH a AS (SELECT d.doc_id, d.text, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+      b AS (SELECT doc_id, text, 1 - toxic AS quality, 1 - quality AS toxic FROM a),
+      c0 AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END AS text, quality, toxic
+             FROM b WHERE doc_id % 7 <> 0),
+      c AS (SELECT * FROM c0 UNION ALL SELECT * FROM c0 WHERE doc_id % 13 = 0),
+      other AS (SELECT 'same' AS pair, * FROM b UNION ALL SELECT 'changed', * FROM c),
+      n AS (SELECT pair, doc_id, count(*) AS k FROM other GROUP BY pair, doc_id),
+      keys AS (SELECT p.pair, a.doc_id, coalesce(n.k, 0) AS k FROM (SELECT DISTINCT pair FROM other) p CROSS JOIN a
+               LEFT JOIN n ON n.pair = p.pair AND n.doc_id = a.doc_id),
+      bad AS (SELECT k.pair, sum(CASE WHEN k.k = 1 AND a.text = x.text THEN 0 ELSE greatest(1, k.k) END) AS n_mismatch
+              FROM keys k JOIN a ON a.doc_id = k.doc_id
+              LEFT JOIN other x ON x.pair = k.pair AND x.doc_id = k.doc_id AND k.k = 1 GROUP BY k.pair),
+      t AS (SELECT k.pair, a.quality AS qa, x.quality AS qb, a.toxic AS ta, x.toxic AS tb
+            FROM keys k JOIN a ON a.doc_id = k.doc_id JOIN other x ON x.pair = k.pair AND x.doc_id = k.doc_id WHERE k.k = 1),
+      l AS (SELECT pair, 'quality' AS label, qa AS a, qb AS b FROM t UNION ALL SELECT pair, 'toxic', ta, tb FROM t),
+      m AS (SELECT pair, label, count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS po FROM l GROUP BY ALL),
+      ma AS (SELECT pair, label, a AS v, count(*) AS c FROM l GROUP BY ALL),
+      mb AS (SELECT pair, label, b AS v, count(*) AS c FROM l GROUP BY ALL),
+      pe AS (SELECT m.pair, m.label, sum(ma.c * mb.c * 1.0 / (m.n * m.n)) AS pe
+             FROM m JOIN ma USING (pair, label) JOIN mb USING (pair, label) WHERE ma.v = mb.v GROUP BY ALL)
+      SELECT m.pair, m.label, CAST(m.n AS BIGINT) AS n_rows, CAST(bad.n_mismatch AS BIGINT) AS n_mismatch,
+             CASE WHEN bad.n_mismatch = 0 THEN {Q.r6('(po - pe) / (1 - pe)')} END AS kappa
+      FROM m JOIN pe USING (pair, label) JOIN bad USING (pair)""",
+    "drop_null_labels": """
+      SELECT d.doc_id, CASE l.quality WHEN 1 THEN 'y' ELSE 'n' END AS vape_user
+      FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IN (0, 1)""",
+    "label_row_counts": """
+      SELECT 'quality' AS label, count(*) AS n_before, count(*) FILTER (WHERE l.quality IS NULL) AS n_dropped,
+             count(l.quality) AS n_after
+      FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "null_profile": """
       SELECT l.quality, count(*) AS n_rows, count(DISTINCT d.source) AS n_sources
       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY l.quality""",
@@ -240,6 +275,8 @@ QUERIES = {
     "two_prop_ztest": q_two_prop_ztest,
     "cohen_kappa": q_cohen_kappa,
     "rater_agreement": q_rater_agreement,
+    "drop_null_labels": q_drop_null_labels,
+    "label_row_counts": q_label_row_counts,
     "null_profile": q_null_profile,
     "recode_labels": q_recode_labels,
 }

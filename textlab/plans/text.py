@@ -72,7 +72,7 @@ def q_lexicon_hits(spark, sf):
 
 
 def q_lexicon_polarity(spark, sf):
-    toks = C.tokenize(expand_slang("text", "substring"))
+    toks = L.scoring_tokens(expand_slang("text", "substring"))
     return _docs(spark, sf).select("doc_id", r6(L.lexicon_polarity(toks)).alias("polarity"))
 
 
@@ -93,14 +93,21 @@ def _slang_token_sql(x: str) -> str:
     return f"array_to_string(list_transform({Q.split_ws(x)}, lambda t: coalesce({m}[t], t)), ' ')"
 
 
+def _no_apostrophes(x: str) -> str:
+    return f"replace(replace({x}, chr(39), ''), chr(8217), '')"
+
+
+def _negation_sql(x: str, neg: str) -> str:
+    return f"coalesce(list_contains({neg}, {x}) OR contains({x}, 'n''t') OR contains({x}, 'n\u2019t'), false)"
+
+
 def _polarity_sql(toks: str, scale: float = 0.25) -> str:
     lex = Q.dbl_map({k: v * scale for k, v in LEXICON.items()})
     inten = Q.dbl_map(INTENSIFIERS)
     neg = Q.str_list(sorted(set(NEGATIONS)))
     p1 = f"(CASE WHEN i > 1 THEN {toks}[i - 1] END)"
     p2 = f"(CASE WHEN i > 2 THEN {toks}[i - 2] END)"
-    negated = (f"(coalesce(list_contains({neg}, {p1}), false) OR "
-               f"({inten}[{p1}] IS NOT NULL AND coalesce(list_contains({neg}, {p2}), false)))")
+    negated = f"({_negation_sql(p1, neg)} OR ({inten}[{p1}] IS NOT NULL AND {_negation_sql(p2, neg)}))"
     each = (f"list_transform({toks}, lambda t, i: {lex}[t] * coalesce({inten}[{p1}], 1.0) * "
             f"CASE WHEN {negated} THEN -0.5 ELSE 1.0 END)")
     vals = f"list_filter({each}, lambda v: v IS NOT NULL)"
@@ -123,12 +130,12 @@ def _compound_from_tokens(tk: str, raw: str) -> str:
     v = f"({v0} + CASE WHEN {capdiff} AND {caps('t')} THEN {sign} * {L.CAPS_INCR} ELSE 0.0 END)"
     for k, scale in L.BOOST_DISTANCE.items():
         prev = f"(CASE WHEN i > {k} THEN {tk}[i - {k}] END)"
-        inc = (f"(({boost}[lower({prev})] * {L.BOOST_INCR} + CASE WHEN {capdiff} AND {caps(prev)} "
-               f"THEN {L.CAPS_INCR} ELSE 0.0 END) * {sign})")
-        v = f"({v} + coalesce({inc} * {scale}, 0.0))"
-    for k in L.BOOST_DISTANCE:
-        prev = f"(CASE WHEN i > {k} THEN lower({tk}[i - {k}]) END)"
-        v = f"({v} * CASE WHEN coalesce(list_contains({neg}, {prev}), false) THEN {L.NEGATION_SCALAR} ELSE 1.0 END)"
+        low = f"lower({prev})"
+        emph = f"CASE WHEN {capdiff} AND {caps(prev)} THEN CASE WHEN v > 0 THEN {L.CAPS_INCR} ELSE -{L.CAPS_INCR} END ELSE 0.0 END"
+        inc = f"coalesce(({boost}[{low}] * {L.BOOST_INCR} * CASE WHEN v < 0 THEN -1.0 ELSE 1.0 END + {emph}) * {scale}, 0.0)"
+        turned = f"(v + {inc}) * CASE WHEN {_negation_sql(low, neg)} THEN {L.NEGATION_SCALAR} ELSE 1.0 END"
+        body = f"CASE WHEN {prev} IS NULL OR {lex}[{low}] IS NOT NULL THEN v ELSE {turned} END"
+        v = f"(list_transform([{v}], lambda v: {body}))[1]"
     but = (f"(CASE WHEN {butpos} = 0 THEN 1.0 WHEN i < {butpos} THEN {L.BUT_BEFORE} "
            f"WHEN i > {butpos} THEN {L.BUT_AFTER} ELSE 1.0 END)")
     vals = f"list_filter(list_transform({tk}, lambda t, i: {v} * {but}), lambda x: x IS NOT NULL)"
@@ -167,7 +174,7 @@ SQL = {
                                                                lambda v: v IS NOT NULL) AS vals
                               FROM (SELECT doc_id, {_TOK} AS toks FROM documents))""",
     "lexicon_polarity": f"""SELECT doc_id, {Q.r6(_polarity_sql('toks'))} AS polarity
-                            FROM (SELECT doc_id, {Q.tokenize(_slang_sql('text'))} AS toks FROM documents)""",
+                            FROM (SELECT doc_id, {Q.tokenize(_no_apostrophes(_slang_sql('text')))} AS toks FROM documents)""",
     "lexicon_compound": f"""SELECT doc_id, {Q.r6('compound')} AS compound FROM (
                               SELECT doc_id, {_compound_from_tokens('tk', 'raw')} AS compound FROM (
                                 SELECT *, len(list_filter(tk, lambda t: upper(t) = t AND lower(t) <> t)) AS n_caps,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -37,26 +38,51 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) create a scratch folder for it."""
+    """The cluster's shared ``spark.checkpoint.dir``.  Only a local master, whose
+    one machine shares everything, may do without: it gets a scratch folder."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="textlab-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df):
     """Materialise ``df`` as a parquet table in the shared checkpoint folder and
     continue from it.  Like a reliable checkpoint it cuts the lineage and
     survives lost executors; unlike an RDD checkpoint it computes ``df`` only
-    once (no second pass to write) and reads back columnar, with pruning."""
+    once (no second pass to write) and reads back columnar, with pruning.
+    :func:`drop_tables` deletes the tables; it also runs when the program ends."""
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables/{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    if spark.sparkContext.applicationId not in _registered:
+        _registered.add(spark.sparkContext.applicationId)
+        atexit.register(_drop_at_exit, spark)
     return spark.read.parquet(path)
+
+
+_registered: set[str] = set()
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application.  Call it when the
+    results of its queries have been written or collected."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        drop_tables(spark)
