@@ -36,13 +36,16 @@ def test_window_counts_interval_equals_brute_force(spark):
     docs = [[rnd.choice(vocab) for _ in range(rnd.randint(1, 25))] for _ in range(30)]
     topics = {0: ["a", "b", "c"], 1: ["d", "e"]}
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id long, toks array<string>")
-    pairs, n_windows = H.window_counts(df, "id", "toks", topics, window=5)
+    pairs, n = H.window_counts(df, "toks", {"m": topics, "one": {0: ["a"]}}, window=5)
+    n_windows = n["m"]
     got = {(r["a"], r["b"]): r["co"] for r in pairs.collect()}
     rel = {w for ws in topics.values() for w in ws}
     wins = brute_windows([d for d in docs if rel & set(d)], 5)
     assert n_windows == len(wins)
-    for (a, b), co in got.items():
-        assert co == sum(1 for w in wins if a in w and b in w)
+    need = {(a, b) for ws in topics.values() for a in ws for b in ws if a <= b}
+    want = {(a, b): sum(1 for w in wins if a in w and b in w) for a, b in need}
+    assert {p: got.get(p, 0) for p in need} == want and set(got) <= need
+    assert n["one"] == len(brute_windows([d for d in docs if "a" in d], 5))
 
 
 def cv_reference(docs, topics, width):
@@ -96,8 +99,9 @@ def test_umass_matches_reference_formula(spark):
 def test_topic_cosine_matches_numpy(spark):
     rows = [(0, "a", 1.0), (0, "b", 2.0), (1, "a", 0.5), (1, "c", 1.0), (2, "b", 1.0), (2, "c", 1.0)]
     w = spark.createDataFrame(rows, "topic int, word string, weight double")
-    got = {(r["topic_a"], r["topic_b"]): r["cosine"] for r in TP.topic_cosine(w, "topic", [0, 1, 2]).collect()}
+    got = {(r["topic_a"], r["topic_b"]): r["cosine"] for r in TP.topic_cosine(w, "topic").collect()}
     m = np.array([[1, 2, 0], [0.5, 0, 1], [0, 1, 1]], dtype=float)
+    assert set(got) == {(0, 1), (0, 2), (1, 2)}
     for (a, b), v in got.items():
         assert v == pytest.approx(m[a] @ m[b] / np.linalg.norm(m[a]) / np.linalg.norm(m[b]))
 
@@ -128,12 +132,84 @@ def test_reduce_topics_gives_n_topics(spark):
         assert red.select("topic").distinct().count() == n and red.count() == 120
 
 
+def test_merge_path_equals_a_plain_loop():
+    """The smallest joins its most similar; similarities average by documents."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        k = 7
+        x = rng.random((k, k))
+        sim = (x + x.T) / 2
+        np.fill_diagonal(sim, 0)
+        sizes = {t: int(rng.integers(1, 6)) for t in range(k)}
+        groups = {t: [t] for t in range(k)}
+
+        def likeness(a, b):
+            w = [(sim[i, j], sizes[i] * sizes[j]) for i in groups[a] for j in groups[b]]
+            return sum(s * n for s, n in w) / sum(n for _, n in w)
+
+        want = {}
+        while len(groups) > 2:
+            if len(groups) <= 5:
+                want[len(groups)] = {i: g for g, m in groups.items() for i in m}
+            small = min(groups, key=lambda g: (sum(sizes[i] for i in groups[g]), -g))
+            into = max((g for g in groups if g != small), key=lambda g: (likeness(small, g), -g))
+            groups[into] += groups.pop(small)
+        assert CL.merge_path(list(range(k)), sizes, sim, [3, 4, 5]) == {n: want[n] for n in (3, 4, 5)}
+    with pytest.raises(ValueError):
+        CL.merge_path([0, 1], {0: 1, 1: 1}, np.zeros((2, 2)), [3])
+
+
+def test_more_than_200_topics(spark):
+    rows = [(t, w, 1.0 + t % 3) for t in range(230) for w in (f"w{t}", f"w{(t + 1) % 230}")]
+    got = TP.topic_cosine(spark.createDataFrame(rows, "topic int, word string, weight double"), "topic")
+    assert got.count() == 230 * 229 // 2 and got.where("cosine > 0").count() == 230
+
+
+def test_cluster_topics_outliers(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.eye(3)[i % 3] + rng.normal(0, 0.05, 3)]) for i in range(60)] + [(99, [0.0, 0.0, 0.0]), (98, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {r["id"]: r["topic"] for r in CL.cluster_topics(df, "v", 3, min_topic_size=5, min_similarity=0.5).collect()}
+    assert len(got) == 62 and got[99] == got[98] == -1
+    assert len({got[i] for i in range(60)}) == 3 and all(got[i] == got[i % 3] for i in range(60))
+    small = CL.cluster_topics(df, "v", 3, min_topic_size=30)
+    assert {r["topic"] for r in small.collect()} == {-1}
+
+
+def test_lda_keeps_every_word(spark):
+    from textlab.operators import lda as LD
+    rnd = random.Random(2)
+    docs = [(i, [rnd.choice("abcdef" if i % 2 else "uvwxyz") for _ in range(20)] + [f"rare{i}"]) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, toks array<string>")
+    cvm, vec = LD.count_vectors(df, "toks")
+    assert len(cvm.vocabulary) == 12 + 60
+    model = LD.fit_lda(vec, 2)
+    terms = H.collect_topic_words(LD.topic_terms(spark, model, cvm.vocabulary, 6))
+    assert sorted("".join(sorted(ws)) for ws in terms.values()) == ["abcdef", "uvwxyz"]
+    places = LD.intertopic(spark, model, vec, "toks").collect()
+    assert sum(r["prevalence"] for r in places) == pytest.approx(1.0) and places[0]["mean_distance"] > 0.5
+    curve = {r["k"]: r for r in LD.lda_sweep(df, "toks", [1, 2], 6).collect()}
+    cf = {}
+    for _, ws in docs:
+        for w in ws:
+            cf[w] = cf.get(w, 0) + 1
+    n = sum(cf.values())
+    assert curve[1]["log_perplexity"] == pytest.approx(-sum(c * math.log((c + 1) / (n + len(cf))) for c in cf.values()) / n)
+    assert curve[2]["coherence"] is not None
+
+
+def test_jensen_shannon():
+    p = np.array([[1.0, 0.0], [0.0, 1.0], [0.5, 0.5]])
+    d = TP.jensen_shannon(p)
+    assert d[0, 1] == pytest.approx(math.sqrt(math.log(2))) and np.allclose(np.diag(d), 0) and np.allclose(d, d.T)
+
+
 def test_topic_info_name(spark):
-    docs = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "doc_id long, topic int")
+    docs = spark.createDataFrame([(1, 0, "one"), (2, 0, "two"), (3, 1, "three")], "doc_id long, topic int, text string")
     words = spark.createDataFrame([(0, 1, "x", 0.5), (0, 2, "y", 0.4), (1, 1, "z", 0.9)],
                                   "topic int, rank int, word string, weight double")
-    info = {r["Topic"]: r for r in TP.topic_info(docs, "topic", "doc_id", words).collect()}
-    assert info[0]["Name"] == "0_x_y" and info[0]["Count"] == 2 and info[0]["Representative_Docs"] == [1, 2]
+    info = {r["Topic"]: r for r in TP.topic_info(docs, "topic", "doc_id", "text", words).collect()}
+    assert info[0]["Name"] == "0_x_y" and info[0]["Count"] == 2 and info[0]["Representative_Docs"] == ["one", "two"]
 
 
 def test_select_best(spark):

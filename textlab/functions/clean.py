@@ -175,13 +175,6 @@ def clean_bertopic(col, lemmas=LEMMAS) -> Column:
     return F.array_join(lemmatize_tokens(toks, lemmas), " ")
 
 
-def template_tokens(col) -> Column:
-    """Crawl-template chain: drop ``, . ! ?``, lower, tokenize, drop stop words,
-    keep tokens longer than 3 characters."""
-    c = F.lower(F.regexp_replace(_c(col), PUNCT_BASIC, ""))
-    return tokenize(c, min_len=4, drop=ENGLISH_STOP_WORDS)  # length 2..15 and > 3
-
-
 def strip_normal(col) -> Column:
     """Profile-image URL without the ``_normal`` size suffix."""
     return F.regexp_replace(_c(col), PROFILE_IMAGE_SUFFIX, "$1")

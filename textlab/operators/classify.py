@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlab.operators.metrics import classification_metrics, stratified_folds
+from textlab.operators.stats import drop_null_labels
+from textlab.session import cut_lineage
 
 NUM_FEATURES = 1 << 16
 
@@ -57,8 +59,8 @@ def cross_validate(df: DataFrame, id_col: str, label: str, k: int, pipeline: Pip
     """M7: stratified k-fold fits.  Returns ``(predictions, per_fold)`` where
     predictions is (fold, id, label, prediction) for every row (each row
     predicted by the model that did not see it) and per_fold has n, accuracy
-    and weighted F1 per fold."""
-    folded = stratified_folds(df, label, id_col, k, seed).persist()
+    and weighted F1 per fold.  Rows without a label are dropped first (P5)."""
+    folded = cut_lineage(stratified_folds(drop_null_labels(df, label), label, id_col, k, seed))
     parts = []
     for f in range(k):
         model = _fit(pipeline, folded.where(F.col("fold") != f))
@@ -113,7 +115,7 @@ def lexicon_model_factory(lexicon: dict, alpha: float = 15.0):
             labels, scores = [], []
             for t in texts:
                 s = sum(lex.get(w, 0.0) for w in pat.findall(str(t).lower()))
-                comp = s / (s * s + alpha) ** 0.5
+                comp = round(s / (s * s + alpha) ** 0.5, 9) + 0.0  # sums that cancel are 0 in any order
                 labels.append("POSITIVE" if comp >= 0 else "NEGATIVE")
                 scores.append(abs(comp))
             return {"label": np.array(labels, dtype=object), "score": np.array(scores, dtype=float)}

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from textlab.functions.clean import map_literal
 from textlab.operators import topics as TP
+from textlab.session import cut_lineage
 
 NUM_FEATURES = 1 << 18
 
@@ -38,82 +39,96 @@ def tfidf_embedding(df: DataFrame, tokens: str, out: str = "features", num_featu
 
 
 def cluster_topics(df: DataFrame, features: str, k: int, seed: int = 42, min_topic_size: int = 10,
-                   min_similarity: float | None = None, out: str = "topic") -> DataFrame:
+                   min_similarity: float | None = None, out: str = "topic", tokens: str | None = None) -> DataFrame:
     """KMeans with cosine distance; a document is an outlier (-1) when its
     cluster has fewer than ``min_topic_size`` members or, if given, its cosine
-    similarity to the centre is below ``min_similarity``."""
-    d = df.withColumn("__v", array_to_vector(F.col(features))
-                      if dict(df.dtypes)[features].startswith("array") else F.col(features))
-    # Cosine distance is undefined for zero vectors (e.g. a post with no
-    # token left): such rows go straight to the outlier topic.
-    d = d.withColumn("__nz", F.exists(vector_to_array("__v"), lambda x: x != 0.0))
-    model = KMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="__v",
-                   predictionCol="__c").fit(d.where("__nz"))
-    pred = model.transform(d.where("__nz")).unionByName(
-        d.where(~F.col("__nz")).withColumn("__c", F.lit(-1)), allowMissingColumns=False)
-    sizes = pred.groupBy("__c").agg(F.count(F.lit(1)).alias("__size"))
-    pred = pred.join(sizes, "__c")  # k rows on one side
-    keep = (F.col("__size") >= min_topic_size) & (F.col("__c") >= 0)
+    similarity to the centre is below ``min_similarity``.
+
+    Cosine distance is undefined for zero vectors: they are outliers.  With
+    ``tokens`` (the array that sparse ``features`` were made from) a document
+    without tokens is one; otherwise ``features`` is an array and is looked at.
+    The cluster sizes are k numbers and are read on the driver."""
+    array = dict(df.dtypes)[features].startswith("array")
+    if not (array or tokens):
+        raise ValueError("sparse features need the tokens they were made from")
+    some = F.size(tokens) > 0 if tokens else F.exists(features, lambda x: x != 0)
+    d = df.withColumn("__v", array_to_vector(F.col(features)) if array else F.col(features))
+    fit_on = d.where(F.coalesce(some, F.lit(False)))
+    model = KMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="__v", predictionCol="__c").fit(fit_on)
+    pred = model.transform(fit_on).unionByName(d.where(~F.coalesce(some, F.lit(False))).withColumn("__c", F.lit(-1)))
     if min_similarity is not None:
         centres = np.array([c / (np.linalg.norm(c) or 1.0) for c in model.clusterCenters()])
-        cent = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in centres])
-        arr = vector_to_array("__v")
-        sim = F.aggregate(F.zip_with(arr, F.get(cent, F.greatest(F.col("__c"), F.lit(0))), lambda a, b: a * b), F.lit(0.0),
-                          lambda s, x: s + x) / F.sqrt(F.aggregate(arr, F.lit(0.0), lambda s, x: s + x * x))
-        keep = keep & (sim >= min_similarity)
-    return pred.withColumn(out, F.when(keep, F.col("__c")).otherwise(F.lit(-1)).cast("int")).drop(
-        "__v", "__c", "__size", "__nz")
-
-
-def _similarity_matrix(tf: DataFrame, topic: str):
+        shared = df.sparkSession.sparkContext.broadcast(centres)  # the model, k x dimensions
+
+        @F.udf("double")
+        def similarity(v, c):
+            if c < 0:
+                return None
+            n = float(v.norm(2))
+            return float(v.dot(shared.value[c])) / n if n else None
+
+        far = ~F.coalesce(similarity("__v", "__c") >= min_similarity, F.lit(False))
+    else:
+        far = F.lit(False)
+    pred = pred.withColumn("__far", far)
+    sizes = {r[0]: r[1] for r in pred.groupBy("__c").count().collect()}
+    big = sorted(c for c, n in sizes.items() if c >= 0 and n >= min_topic_size)
+    keep = F.col("__c").isin(big) & ~F.col("__far")
+    return pred.withColumn(out, F.when(keep, F.col("__c")).otherwise(F.lit(-1)).cast("int")).drop("__v", "__c", "__far")
+
+
+def topic_similarity(tf: DataFrame, topic: str) -> tuple[list, np.ndarray]:
+    """Topics and their k x k c-TF-IDF cosine matrix."""
     w = TP.ctfidf_from_counts(tf, topic).select(topic, "word", "weight")
+    cos = TP.topic_cosine(w, topic).collect()
     topics = sorted(r[0] for r in tf.select(topic).distinct().collect())
-    cos = TP.topic_cosine(w, topic, topics).collect()
     idx = {t: i for i, t in enumerate(topics)}
     m = np.zeros((len(topics), len(topics)))
     for r in cos:
-        i, j = idx[int(r["topic_a"])], idx[int(r["topic_b"])]
+        i, j = idx[r["topic_a"]], idx[r["topic_b"]]
         m[i, j] = m[j, i] = r["cosine"] or 0.0
     return topics, m
 
 
-def reduce_topics(docs: DataFrame, topic: str, tokens: str, targets, outlier: int = -1) -> dict:
-    """Merge topics until ``n`` remain, for every ``n`` in ``targets``.
-
-    Each step merges the smallest topic (fewest documents; ties: larger id)
-    into its most similar other topic by c-TF-IDF cosine, then recomputes the
-    c-TF-IDF of the merged table.  The merge order does not depend on the
-    target, so one pass yields the mapping for every target.  Returns
-    ``{n: {old_topic: new_topic}}``."""
-    targets = sorted(set(targets), reverse=True)
-    tf0 = TP.term_counts(docs, topic, tokens).persist()
-    sizes = {r[0]: r[1] for r in docs.groupBy(topic).count().collect()}
-    mapping = {t: t for t in sizes}
-    out = {}
-    current = [t for t in sizes if t != outlier]
+def merge_path(topics: list, sizes: dict, sim: np.ndarray, targets) -> dict:
+    """B7 on the k x k similarity matrix: the smallest topic (fewest documents;
+    ties: larger id) joins its most similar one (ties: smaller id), whose
+    similarities become the means weighted by documents, until ``n`` remain, for
+    every ``n`` in ``targets``.  Returns ``{n: {old_topic: new_topic}}``."""
+    wrong = [n for n in targets if not 1 <= n <= len(topics)]
+    if wrong:
+        raise ValueError(f"{len(topics)} topics cannot be reduced to {wrong}")
+    sim, size = sim.copy(), {t: sizes[t] for t in topics}
+    mapping, live, out = {t: t for t in topics}, list(topics), {}
+    idx = {t: i for i, t in enumerate(topics)}
     while True:
-        if len(current) in targets:
-            out[len(current)] = dict(mapping)
-        if len(current) <= min(targets) or len(current) <= 1:
-            break
-        tf = (tf0.withColumn(topic, F.try_element_at(map_literal(mapping), F.col(topic)))
-                 .where(F.col(topic) != outlier)
-                 .groupBy(topic, "word").agg(F.sum("tf").alias("tf")))
-        topics, sim = _similarity_matrix(tf, topic)
-        merged_sizes = {}
-        for old, new in mapping.items():
-            merged_sizes[new] = merged_sizes.get(new, 0) + sizes[old]
-        smallest = min(current, key=lambda t: (merged_sizes[t], -t))
-        i = topics.index(smallest)
-        row = sim[i].copy()
-        row[i] = -np.inf
-        into = topics[int(np.argmax(row))]
-        mapping = {old: (into if new == smallest else new) for old, new in mapping.items()}
-        current = sorted(set(v for v in mapping.values() if v != outlier))
-    tf0.unpersist()
-    for n in targets:
-        out.setdefault(n, dict(mapping))
-    return out
+        if len(live) in targets:
+            out[len(live)] = dict(mapping)
+        if len(live) <= min(targets):
+            return out
+        small = min(live, key=lambda t: (size[t], -t))
+        into = max((t for t in live if t != small), key=lambda t: (sim[idx[small], idx[t]], -t))
+        i, j = idx[small], idx[into]
+        merged = (sim[j] * size[into] + sim[i] * size[small]) / (size[into] + size[small])
+        sim[j, :], sim[:, j] = merged, merged
+        size[into] += size.pop(small)
+        live.remove(small)
+        mapping = {old: (into if new == small else new) for old, new in mapping.items()}
+
+
+def reduce_topics(docs: DataFrame, topic: str, tokens: str, targets, outlier: int = -1) -> dict:
+    """One pass over the documents (term counts and sizes), one similarity
+    table, then :func:`merge_path` on the driver; c-TF-IDF of a merged table is
+    computed by the caller, once per target.  The outlier topic stays itself."""
+    known = docs.where(F.col(topic) != outlier)
+    topics, sim = topic_similarity(cut_lineage(TP.term_counts(known, topic, tokens)), topic)
+    sizes = {r[0]: r[1] for r in known.groupBy(topic).count().collect()}
+    missing = sorted(set(sizes) - set(topics))  # topics whose documents have no token
+    n = len(topics)
+    full = np.zeros((n + len(missing),) * 2)
+    full[:n, :n] = sim
+    out = merge_path(topics + missing, sizes, full, list(targets))
+    return {k: {**m, outlier: outlier} for k, m in out.items()}
 
 
 def relabel(df: DataFrame, topic: str, mapping: dict, out: str | None = None) -> DataFrame:

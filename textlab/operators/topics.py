@@ -7,20 +7,13 @@ it is joined, so joins only ever see ``#topics`` or ``#topics x #words`` rows.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlab.operators.lexicon import let
 from textlab.session import cut_lineage
 
-# Topic-level tables (centroids, topic x topic matrices) may be collected to
-# the driver up to this many topics.
-MAX_TOPICS = 2000
-
-
 def term_counts(df: DataFrame, topic: str, tokens: str) -> DataFrame:
     """(topic, word, tf): token counts per topic; each document contributes
     its own bag of words, so only (document, distinct word) rows are shuffled."""
@@ -78,14 +71,15 @@ def _ordered_list(col: str, order: str) -> Column:
     return F.transform(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(col)))), lambda s: s[col])
 
 
-def topic_info(docs: DataFrame, topic: str, doc_id: str, words: DataFrame, name_words: int = 5,
+def topic_info(docs: DataFrame, topic: str, doc_id: str, text: str, words: DataFrame, name_words: int = 5,
                n_docs: int = 3) -> DataFrame:
     """(Topic, Count, Name, Representation, Representative_Docs); the name
-    is ``{topic}_{w1}_..._{w5}`` (F16)."""
+    is ``{topic}_{w1}_..._{w5}`` (F16), the documents are the texts of the first
+    ``n_docs`` by id.  The ids are ranked first; only theirs are fetched."""
     counts = docs.groupBy(topic).agg(F.count(F.lit(1)).alias("Count"))
     rep = words.groupBy(topic).agg(_ordered_list("word", "rank").alias("Representation"))
-    firsts = first_docs(docs, topic, doc_id, n_docs).groupBy(topic).agg(
-        _ordered_list(doc_id, "rank").alias("Representative_Docs"))
+    firsts = (docs.select(doc_id, text).join(first_docs(docs.select(topic, doc_id), topic, doc_id, n_docs), doc_id)
+              .groupBy(topic).agg(_ordered_list(text, "rank").alias("Representative_Docs")))
     name = F.concat_ws("_", F.col(topic).cast("string"), F.array_join(F.slice("Representation", 1, name_words), "_"))
     return (counts.join(rep, topic, "left").join(firsts, topic, "left")
                   .select(F.col(topic).alias("Topic"), "Count", name.alias("Name"),
@@ -109,11 +103,9 @@ def centroids(df: DataFrame, label: str, vec: str) -> DataFrame:
               .groupBy(label, "dim").agg(F.avg(F.col("x").cast("double")).alias("value")))
 
 
-def collect_centroids(cent: DataFrame, label: str, max_topics: int = MAX_TOPICS):
-    """Topic matrix to the driver (bounded by ``max_topics``)."""
-    n = cent.select(label).distinct().limit(max_topics + 1).count()
-    if n > max_topics:
-        raise ValueError(f"{n} topics exceed the driver bound {max_topics}")
+def collect_centroids(cent: DataFrame, label: str):
+    """Topic matrix on the driver: #topics x #dimensions numbers, as large as the
+    model itself and not growing with the documents."""
     rows = cent.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("v")).collect()
     labels = [r[0] for r in rows]
     mat = np.array([[x["value"] for x in r[1]] for r in rows], dtype=float)
@@ -121,60 +113,51 @@ def collect_centroids(cent: DataFrame, label: str, max_topics: int = MAX_TOPICS)
     return [labels[i] for i in order], mat[order]
 
 
-def centroid_similarities(vec, labels, mat) -> Column:
-    """Cosine similarity of each row vector with every centroid:
-    array<struct<sim, topic>> in topic order (centroids inlined as literals)."""
-    norms = np.linalg.norm(mat, axis=1)
-    cents = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in row]).alias("c"),
-                               F.lit(float(nrm)).alias("norm"), F.lit(lab).alias("topic"))
-                      for lab, row, nrm in zip(labels, mat, norms)])
-
-    def per_row(v):
-        vn = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(cents, lambda c: F.struct(
-            F.try_divide(F.aggregate(F.zip_with(v, c["c"], lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x),
-                         vn * c["norm"]).alias("sim"),
-            c["topic"].alias("topic")))
-    return let(F.transform(F.col(vec) if isinstance(vec, str) else vec, lambda x: x.cast("double")), per_row)
-
-
 def assign_topics(df: DataFrame, vec: str, labels, mat) -> DataFrame:
     """Nearest centroid by cosine (ties: smaller topic id) and, B6/F18,
-    the largest softmax probability over the centroid similarities."""
-    d = df.withColumn("__sims", centroid_similarities(vec, labels, mat))
-    best = F.array_max(F.transform("__sims", lambda s: F.struct(s["sim"].alias("sim"), (-s["topic"]).alias("neg"))))
-    smax = best["sim"]
-    denom = F.aggregate("__sims", F.lit(0.0), lambda a, s: a + F.exp(s["sim"] - smax))
-    return (d.withColumn("topic", (-best["neg"]).cast("int"))
-             .withColumn("similarity", smax)
-             .withColumn("probability", F.coalesce(F.try_divide(F.lit(1.0), denom), F.lit(0.0)))
-             .drop("__sims"))
+    the largest softmax probability over the centroid similarities.  A vector
+    without direction (null, zero) gets no topic and probability 0.
+
+    One matrix product per Arrow batch; the model is broadcast."""
+    norm = np.linalg.norm(mat, axis=1)
+    shared = df.sparkSession.sparkContext.broadcast((np.asarray(labels), mat / np.where(norm == 0, 1.0, norm)[:, None]))
+
+    @F.pandas_udf("topic int, similarity double, probability double")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        names, unit = shared.value
+        v = np.array([x if x is not None else np.zeros(unit.shape[1]) for x in vectors], dtype=float).reshape(len(vectors), -1)
+        n = np.sqrt((v * v).sum(axis=1))
+        sim = (v @ unit.T) / np.where(n == 0, 1.0, n)[:, None]
+        best = sim.argmax(axis=1)
+        top = sim[np.arange(len(sim)), best]
+        p = 1.0 / np.exp(sim - top[:, None]).sum(axis=1)
+        out = pd.DataFrame({"topic": pd.array(names[best], dtype="Int32"), "similarity": top, "probability": p})
+        out.loc[n == 0, ["topic", "similarity"]] = None
+        out.loc[n == 0, "probability"] = 0.0
+        return out
+
+    d = df.withColumn("__near", nearest(F.col(vec)))
+    return d.select(*df.columns, "__near.*")
 
 
 # ------------------------------------------------------------ topic x topic
 
-def topic_cosine(weights: DataFrame, topic: str, topics: list) -> DataFrame:
+def topic_cosine(weights: DataFrame, topic: str) -> DataFrame:
     """Cosine between topic word-weight vectors as (topic_a, topic_b,
-    cosine, distance), a < b.  The word x topic matrix is pivoted (one row per
-    word) and the Gram matrix is one global aggregation of products, so no
-    topic pair is ever materialised per word."""
-    topics = sorted(topics)
-    if len(topics) > 200:
-        raise ValueError("topic_cosine: too many topics for a Gram aggregation")
-    piv = weights.groupBy("word").pivot(topic, topics).agg(F.first("weight")).na.fill(0.0)
-    cols = {t: F.col(f"`{t}`") for t in topics}
-    sums = []
-    for i, a in enumerate(topics):
-        for b in topics[i:]:
-            sums.append(F.sum(cols[a] * cols[b]).alias(f"g_{i}_{topics.index(b)}"))
-    g = piv.agg(*sums)
-    pairs = [(i, j) for i in range(len(topics)) for j in range(i + 1, len(topics))]
-    stack = "stack({n}, {args}) as (topic_a, topic_b, dot, na, nb)".format(
-        n=len(pairs), args=", ".join(f"{topics[i]!r}, {topics[j]!r}, g_{i}_{j}, g_{i}_{i}, g_{j}_{j}"
-                                     for i, j in pairs))
-    long = g.selectExpr(stack)
-    cos = F.try_divide(F.col("dot"), F.sqrt(F.col("na")) * F.sqrt(F.col("nb")))
-    return long.select("topic_a", "topic_b", cos.alias("cosine"), (1.0 - cos).alias("distance"))
+    cosine, distance), a < b.  The topics of a word meet in an array, its
+    products are summed per pair with map-side combining."""
+    t = F.col(topic)
+    per_word = weights.groupBy("word").agg(F.array_sort(F.collect_list(F.struct(t.alias("t"), F.col("weight").alias("w")))).alias("ts"))
+    pairs = F.flatten(F.transform("ts", lambda x, i: F.transform(
+        F.slice("ts", i + 1, F.size("ts")), lambda y: F.struct(x["t"].alias("a"), y["t"].alias("b"), (x["w"] * y["w"]).alias("p")))))
+    g = (per_word.select(F.explode(pairs).alias("s")).groupBy("s.a", "s.b").agg(F.sum("s.p").alias("dot")))
+    norms = g.where("a = b").select(F.col("a").alias("t"), F.sqrt("dot").alias("n"))
+    # every pair, also those without a common word: #topics squared rows
+    every = (norms.agg(F.collect_list(F.struct("t", "n")).alias("x"))
+             .select(F.explode("x").alias("l"), "x").select("l", F.explode("x").alias("r")).where("l.t < r.t"))
+    out = every.select(F.col("l.t").alias("a"), F.col("r.t").alias("b"), (F.col("l.n") * F.col("r.n")).alias("nn")).join(g, ["a", "b"], "left")
+    cos = F.try_divide(F.coalesce("dot", F.lit(0.0)), F.col("nn"))
+    return out.select(F.col("a").alias("topic_a"), F.col("b").alias("topic_b"), cos.alias("cosine"), (1.0 - cos).alias("distance"))
 
 
 def mds_coordinates(dist: np.ndarray, dims: int = 2) -> np.ndarray:
@@ -189,14 +172,14 @@ def mds_coordinates(dist: np.ndarray, dims: int = 2) -> np.ndarray:
     return vecs[:, idx] * np.sqrt(np.maximum(vals[idx], 0.0))
 
 
-def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
-    """Distance between two topic-word distributions (LDA topics)."""
-    m = 0.5 * (p + q)
+def jensen_shannon(p: np.ndarray) -> np.ndarray:
+    """Distance matrix between the rows (topic-word distributions)."""
+    p = np.asarray(p, dtype=float)
+    m = 0.5 * (p[:, None] + p[None])
 
-    def kl(a, b):
-        mask = a > 0
-        return float(np.sum(a[mask] * np.log(a[mask] / b[mask])))
-    return math.sqrt(max(0.5 * kl(p, m) + 0.5 * kl(q, m), 0.0))
+    def kl(x):
+        return np.where(x > 0, x * np.log(np.where(x > 0, x, 1.0) / np.where(m > 0, m, 1.0)), 0.0).sum(axis=2)
+    return np.sqrt(np.maximum(0.5 * kl(np.broadcast_to(p[:, None], m.shape)) + 0.5 * kl(np.broadcast_to(p[None], m.shape)), 0.0))
 
 
 def term_relevance(weights: DataFrame, topic: str, corpus: DataFrame, lam: float = 0.6) -> DataFrame:

@@ -5,8 +5,9 @@ topic-count sweep."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textlab.functions import clean as C
 from textlab.functions.wordlists import LEXICON
@@ -14,10 +15,13 @@ from textlab.operators import classify as K
 from textlab.operators import clustering as CL
 from textlab.operators import coherence as H
 from textlab.operators import lda as LD
+from textlab.operators import stats as S
 from textlab.operators import topics as TP
 from textlab.operators.lexicon import signed_score
+from textlab.plans import sql as Q
 from textlab.plans.topics import topic_docs
-from textlab.session import cut_lineage
+from textlab.plans.vocab import _APPLY, lda_corpus, lemmas_sql
+from textlab.session import cut_lineage, tables_dir
 from textlab.sources.posts import load_table
 
 
@@ -62,21 +66,34 @@ def q_batch_score(spark, sf):
 
 
 def q_lda_topics(spark, sf):
-    """T3 + K2: LDA with k = 5 on the LDA-chain tokens, one text line per topic."""
-    docs = topic_docs(spark, sf).select("doc_id", "toks")
+    """T3 + K2: LDA with k = 5 on the composed corpus, one text line per topic."""
+    docs = cut_lineage(lda_corpus(spark, sf))
     cvm, vec = LD.count_vectors(docs, "toks")
-    model = LD.fit_lda(vec, 5)
-    return LD.topic_lines(LD.topic_terms(spark, model, cvm.vocabulary, 10))
+    return LD.topic_lines(LD.topic_terms(spark, LD.fit_lda(vec, 5), cvm.vocabulary, 10))
+
+
+def q_lda_intertopic(spark, sf):
+    """T8 on an LDA model with k = 5: prevalence, Jensen-Shannon distances as
+    two coordinates and the mean distance of each topic to the others."""
+    docs = cut_lineage(lda_corpus(spark, sf))
+    _, vec = LD.count_vectors(docs, "toks")
+    return LD.intertopic(spark, LD.fit_lda(vec, 5), vec, "toks")
 
 
 def q_lda_sweep(spark, sf):
     """T4 + T9: k = 1..10 with mean c_v and log perplexity; best and local maxima."""
-    docs = cut_lineage(topic_docs(spark, sf).select("doc_id", "toks"))
-    curve = LD.lda_sweep(docs, "doc_id", "toks", range(1, 11))
+    docs = cut_lineage(lda_corpus(spark, sf))
+    curve = LD.lda_sweep(docs, "toks", range(1, 11))
     flags = H.select_best(curve.where(F.col("coherence").isNotNull()), "k", "coherence")
     return curve.join(flags.drop("coherence"), "k", "left")
 
 
+def q_lda_single_topic(spark, sf):
+    """T4/T9 for k = 1, which has a closed form: its ten words and perplexity."""
+    terms, perp = LD.corpus_topic(cut_lineage(lda_corpus(spark, sf)), "toks", 10)
+    return terms.select("topic", "rank", "word", r6(F.col("weight")).alias("weight"), r6(F.lit(perp)).alias("log_perplexity"))
+
+
 def q_doc_embedding(spark, sf):
     """B1 + B2: embedding column reduced by PCA to 5 components."""
     emb = load_table(spark, sf, "embeddings").select("vec_id", "embedding")
@@ -93,36 +110,89 @@ def q_topic_cluster(spark, sf):
 def _doc_clusters(spark, sf, k: int = 20):
     docs = topic_docs(spark, sf).select("doc_id", "text", "toks")
     emb = CL.tfidf_embedding(docs, "toks")
-    return cut_lineage(CL.cluster_topics(emb, "features", k, min_topic_size=5).select("doc_id", "text", "toks",
-                                                                                      "topic"))
+    return cut_lineage(CL.cluster_topics(emb, "features", k, min_topic_size=5, tokens="toks")
+                       .select("doc_id", "text", "toks", "topic"))
+
+
+def _reachable(docs, targets):
+    """The targets that the found topics can be reduced to."""
+    n = docs.where(F.col("topic") != -1).select("topic").distinct().count()
+    return [t for t in targets if t <= n]
 
 
 def q_topic_reduce(spark, sf):
-    """B7 + B8: 20 clusters merged to 10 topics; topic information table."""
+    """B7 + B8: 20 clusters merged to 10 topics; topic information table with
+    words and texts."""
     docs = _doc_clusters(spark, sf)
-    mapping = CL.reduce_topics(docs, "topic", "toks", [10])[10]
-    mapping[-1] = -1
-    red = CL.relabel(docs, "topic", mapping)
+    to = _reachable(docs, range(1, 11))
+    red = CL.relabel(docs, "topic", CL.reduce_topics(docs, "topic", "toks", to[-1:])[to[-1]]) if to else docs
     top = TP.top_words(TP.ctfidf(red.where(F.col("topic") != -1), "topic", "toks"), "topic", 10)
-    info = TP.topic_info(red, "topic", "doc_id", top)
-    return info.select("Topic", "Count", "Name")
+    return TP.topic_info(red.select("topic", "doc_id", "text"), "topic", "doc_id", "text", top)
+
+
+def q_topic_merge_path(spark, sf):
+    """B7 on fixed topics (20 sources): where each goes at 10 and at 5 topics."""
+    docs = cut_lineage(topic_docs(spark, sf).select("doc_id", "topic", "toks"))
+    maps = CL.reduce_topics(docs, "topic", "toks", _reachable(docs, [5, 10]))
+    rows = [(int(n), int(a), int(b)) for n, m in maps.items() for a, b in m.items() if a != -1]
+    return spark.createDataFrame(rows, "n int, topic int, merged int")
 
 
 def q_topic_sweep(spark, sf):
-    """Topic counts 5..10 (one merge path from 20 clusters), c_v each."""
+    """Topic counts 5..10 (one merge path from 20 clusters), c_v each: the
+    words of all six models are counted in one pass."""
     docs = _doc_clusters(spark, sf)
-    maps = CL.reduce_topics(docs, "topic", "toks", range(5, 11))
-    rows = []
-    for nr in range(5, 11):
-        m = dict(maps[nr])
-        m[-1] = -1
-        red = CL.relabel(docs, "topic", m).where(F.col("topic") != -1)
-        topics = H.collect_topic_words(TP.top_words(TP.ctfidf(red, "topic", "toks"), "topic", 10))
-        cv = H.coherence_cv(docs, "doc_id", "toks", topics).agg(F.avg("c_v")).collect()[0][0]
-        rows.append((nr, float(cv) if cv is not None else None))
-    return spark.createDataFrame(rows, T.StructType([T.StructField("nr", T.IntegerType()),
-                                                     T.StructField("c_v_score", T.DoubleType())]))
-
+    tf = cut_lineage(TP.term_counts(docs.where(F.col("topic") != -1), "topic", "toks"))
+    models = {}
+    for nr, m in CL.reduce_topics(docs, "topic", "toks", _reachable(docs, range(5, 11))).items():
+        merged = CL.relabel(tf, "topic", m).groupBy("topic", "word").agg(F.sum("tf").alias("tf"))
+        models[nr] = H.collect_topic_words(TP.top_words(TP.ctfidf_from_counts(merged, "topic"), "topic", 10))
+    cv = {r["model"]: r["c"] for r in H.coherence_sweep(docs, "toks", models).groupBy("model").agg(F.avg("c_v").alias("c")).collect()} if models else {}
+    return spark.createDataFrame([(int(nr), cv.get(str(nr))) for nr in sorted(models)], "nr int, c_v_score double")
+
+
+def q_saved_model_scores(spark, sf):
+    """M4 + M8 with saved models: fit a sentiment and a user pipeline, save, load,
+    score every post's sentiment, then the user type of the scored posts."""
+    d = _labelled(spark, sf)
+    folder = f"{tables_dir(spark)}/models/{uuid.uuid4().hex}"
+    K.save_model(K.fit_all(d.withColumnRenamed("sentiment", "label"), K.text_pipeline("toks", "label")), f"{folder}/sentiment")
+    K.save_model(K.fit_all(d.withColumnRenamed("vape_user", "label"), K.text_pipeline("toks", "label", binary=True)), f"{folder}/user")
+    posts = load_table(spark, sf, "documents").select("doc_id", C.tokenize("text").alias("toks"))
+    first = K.load_model(f"{folder}/sentiment").transform(posts).select(
+        "doc_id", "toks", (F.col("prediction").cast("int") - 1).alias("sentiment_score"))
+    return K.load_model(f"{folder}/user").transform(first).select(
+        "doc_id", "sentiment_score", S.recode(F.col("prediction").cast("int"), {1: "y", 0: "n"}).alias("vape_user"))
+
+
+def q_two_stage_flow(spark, sf):
+    """M8: both saved models' scores, then the group test on them."""
+    scored = q_saved_model_scores(spark, sf)
+    named = scored.select(S.recode(F.col("vape_user"), S.USER_GROUPS).alias("vape_user"),
+                          S.recode(F.col("sentiment_score"), S.SENTIMENT_NAMES).alias("sentiment"))
+    z = S.two_prop_ztest(named, "vape_user", "sentiment", ["Negative", "Neutral", "Positive"])
+    return z.select("sentiment", "count_1", "nobs_1", "count_2", "nobs_2", r6(F.col("z")).alias("z"), r6(F.col("p")).alias("p"))
+
+
+# ---------------------------------------------------------------- oracle SQL
+
+_LEX = Q.dbl_map(LEXICON)
+_POST = f"substring({Q.collapse_ws('text')}, 1, 512)"
+
+SQL = {
+    "batch_score": f"""
+      SELECT doc_id, CASE WHEN c >= 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label, {Q.r6('abs(c)')} AS score, {Q.r6('c')} AS signed_score
+      FROM (SELECT doc_id, round(s / sqrt(s * s + 15.0), 9) + 0.0 AS c FROM (
+        SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(lower({_POST}), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+'),
+                                                        lambda w: coalesce({_LEX}[w], 0.0))), 0.0) AS s FROM documents))""",
+    "lda_single_topic": f"""
+      WITH cf AS (SELECT w AS word, count(*) AS cf FROM (SELECT unnest(toks) AS w FROM ({lemmas_sql(_APPLY)})) GROUP BY w),
+      t AS (SELECT sum(cf) AS n, count(*) AS v FROM cf),
+      w AS (SELECT word, cf, (cf + 1.0) / (n + v) AS weight FROM cf, t)
+      SELECT 0 AS topic, CAST(row_number() OVER (ORDER BY cf DESC, word) AS INTEGER) AS rank, word, {Q.r6('weight')} AS weight,
+             (SELECT {Q.r6('-sum(cf * ln(weight)) / sum(cf)')} FROM w) AS log_perplexity
+      FROM w ORDER BY cf DESC, word LIMIT 10""",
+}
 
 QUERIES = {
     "sentiment_classifier": q_sentiment_classifier,
@@ -134,4 +204,9 @@ QUERIES = {
     "topic_cluster": q_topic_cluster,
     "topic_reduce": q_topic_reduce,
     "topic_sweep": q_topic_sweep,
+    "topic_merge_path": q_topic_merge_path,
+    "lda_intertopic": q_lda_intertopic,
+    "lda_single_topic": q_lda_single_topic,
+    "saved_model_scores": q_saved_model_scores,
+    "two_stage_flow": q_two_stage_flow,
 }

@@ -79,11 +79,6 @@ def clean_bertopic(x: str) -> str:
     return f"array_to_string({lemmatize(remove_words(split_ws(c), STOP))}, ' ')"
 
 
-def template_tokens(x: str) -> str:
-    c = f"lower(regexp_replace({x}, {q(C.PUNCT_BASIC)}, '', 'g'))"
-    return f"list_filter({remove_words(tokenize(c), STOP)}, lambda t: length(t) > 3)"
-
-
 def clean_tweet(x: str, n: int = 512) -> str:
     c = f"regexp_replace({x}, {q(C.TWEET_URL)}, '', 'g')"
     c = f"regexp_replace({c}, {q(C.EMOJI)}, '', 'g')"

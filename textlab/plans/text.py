@@ -44,10 +44,6 @@ def q_clean_bertopic(spark, sf):
     return _docs(spark, sf).select("doc_id", C.clean_bertopic("text").alias("processed_text"))
 
 
-def q_clean_template(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.array_join(C.template_tokens("text"), " ").alias("full_txt_cleaned"))
-
-
 def q_tokenize(spark, sf):
     d = _docs(spark, sf).select("doc_id", C.tokenize("text").alias("toks"))
     return d.select("doc_id", F.size("toks").cast("bigint").alias("n_tokens"), F.array_join("toks", " ").alias("tokens"))
@@ -159,7 +155,6 @@ SQL = {
                      FROM (SELECT doc_id, {Q.remove_noise('text')} AS text_clean, {Q.lda_tokens('text')} AS toks
                            FROM documents)""",
     "clean_bertopic": f"SELECT doc_id, {Q.clean_bertopic('text')} AS processed_text FROM documents",
-    "clean_template": f"SELECT doc_id, array_to_string({Q.template_tokens('text')}, ' ') AS full_txt_cleaned FROM documents",
     "tokenize": f"""SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens, array_to_string(toks, ' ') AS tokens
                     FROM (SELECT doc_id, {_TOK} AS toks FROM documents)""",
     "stopword_filter": f"""SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens, CAST(len(kept) AS BIGINT) AS n_kept,
@@ -193,7 +188,6 @@ QUERIES = {
     "clean_tweet": q_clean_tweet,
     "clean_lda": q_clean_lda,
     "clean_bertopic": q_clean_bertopic,
-    "clean_template": q_clean_template,
     "tokenize": q_tokenize,
     "stopword_filter": q_stopword_filter,
     "slang_expand": q_slang_expand,

@@ -4,9 +4,6 @@ table has an exact oracle; plus assignment to label centroids of
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.functions import clean as C
@@ -47,12 +44,11 @@ def q_topic_top_words(spark, sf):
 
 
 def q_topic_info(spark, sf):
-    info = TP.topic_info(topic_docs(spark, sf), "topic", "doc_id", _top(spark, sf))
+    info = TP.topic_info(topic_docs(spark, sf).select("topic", "doc_id", "text"), "topic", "doc_id", "text", _top(spark, sf))
     return info.select(
         "Topic", "Count", "Name",
         F.concat(F.lit("['"), F.array_join("Representation", "', '"), F.lit("']")).alias("Representation"),
-        F.concat(F.lit("["), F.array_join(F.transform("Representative_Docs", lambda x: x.cast("string")), ", "),
-                 F.lit("]")).alias("Representative_Docs"))
+        F.to_json("Representative_Docs").alias("Representative_Docs"))
 
 
 def q_topic_first_docs(spark, sf):
@@ -65,8 +61,7 @@ def q_docs_per_topic(spark, sf):
 
 def q_topic_distance(spark, sf):
     w = _weights(spark, sf).select("topic", "word", "weight")
-    topics = [r[0] for r in w.select("topic").distinct().limit(TP.MAX_TOPICS + 1).collect()]
-    d = TP.topic_cosine(w, "topic", topics)
+    d = TP.topic_cosine(w, "topic")
     return d.select(F.col("topic_a").cast("int").alias("topic_a"), F.col("topic_b").cast("int").alias("topic_b"),
                     r6(F.col("cosine")).alias("cosine"), r6(F.col("distance")).alias("distance"))
 
@@ -107,13 +102,14 @@ def q_best_k(spark, sf):
     """A15/T7 over a sweep of models k = 2..10 (topic = doc_id mod k): mean
     u_mass per k, best k and local maxima of the curve."""
     base = _materialized_docs(spark, sf).select("doc_id", "toks")
-    curves = []
+    topics = {}
     for k in SWEEP:
         docs = base.withColumn("topic", (F.col("doc_id") % k).cast("int"))
         top = TP.top_words(TP.ctfidf(docs, "topic", "toks"), "topic", TOP_N)
-        u = H.umass(docs, "toks", H.collect_topic_words(top))
-        curves.append(u.agg(F.avg("umass").alias("coherence")).select(F.lit(k).alias("k"), "coherence"))
-    curve = reduce(DataFrame.unionByName, curves).select("k", r6(F.col("coherence")).alias("coherence"))
+        topics |= {f"{k}:{t}": ws for t, ws in H.collect_topic_words(top).items()}
+    # the words of all models are counted in one pass
+    u = H.umass(base, "toks", topics).withColumn("k", F.substring_index("topic", ":", 1).cast("int"))
+    curve = u.groupBy("k").agg(F.avg("umass").alias("coherence")).select("k", r6(F.col("coherence")).alias("coherence"))
     return H.select_best(curve, "k", "coherence")
 
 
@@ -243,13 +239,13 @@ SQL = {
       WITH base AS ({_base_sql()}), tw AS ({_TOPW}),
       cnt AS (SELECT topic, count(*) AS Count FROM base GROUP BY topic),
       rep AS (SELECT topic, list(word ORDER BY rank) AS words FROM tw GROUP BY topic),
-      fd AS (SELECT topic, list(doc_id ORDER BY doc_id) AS ids FROM (
-               SELECT topic, doc_id, row_number() OVER (PARTITION BY topic ORDER BY doc_id) AS rn FROM base)
+      fd AS (SELECT topic, list(text ORDER BY doc_id) AS texts FROM (
+               SELECT topic, doc_id, text, row_number() OVER (PARTITION BY topic ORDER BY doc_id) AS rn FROM base)
              WHERE rn <= 3 GROUP BY topic)
       SELECT cnt.topic AS Topic, cnt.Count,
              CAST(cnt.topic AS VARCHAR) || '_' || array_to_string(rep.words[1:5], '_') AS Name,
              '[''' || array_to_string(rep.words, ''', ''') || ''']' AS Representation,
-             '[' || array_to_string(list_transform(fd.ids, lambda x: CAST(x AS VARCHAR)), ', ') || ']' AS Representative_Docs
+             CAST(to_json(fd.texts) AS VARCHAR) AS Representative_Docs
       FROM cnt LEFT JOIN rep USING (topic) LEFT JOIN fd USING (topic)""",
     "topic_first_docs": f"""
       SELECT topic, CAST(rn AS INTEGER) AS rank, doc_id FROM (

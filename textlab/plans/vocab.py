@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textlab.functions import clean as C
-from textlab.functions.wordlists import ALLOWED_POS, LEMMAS
+from textlab.functions.wordlists import ALLOWED_POS, ENGLISH_STOP_WORDS, LDA_EXTRA_STOP_WORDS, LEMMAS
 from textlab.operators import phrases as P
 from textlab.plans import sql as Q
+from textlab.session import cut_lineage
 from textlab.sources.posts import load_table
 
 
+STOP_LDA = ENGLISH_STOP_WORDS + LDA_EXTRA_STOP_WORDS
+
+
 def r6(c):
     return F.round(c, 6) + F.lit(0.0)
 
@@ -43,18 +47,65 @@ def q_phrase_learn(spark, sf):
     return ph.select("w1", "w2", "n", r6(F.col("score")).alias("score"), "phrase")
 
 
+def _text(df, col):
+    return df.select("doc_id", F.size(col).cast("bigint").alias("n_tokens"), F.array_join(col, " ").alias("text"))
+
+
+def _phrased(words, stop):
+    """Tokens without stop words, phrases learned on all tokens applied."""
+    ph = P.phrase_learn(words, "toks", min_count=5, threshold=100.0)
+    return P.apply_phrases_df(words.select("doc_id", C.remove_words("toks", stop).alias("toks")), "doc_id", "toks", ph)
+
+
 def q_phrase_apply(spark, sf):
     """Phrases learned on the noise-free tokens, applied to the same tokens
     without stop words (the LDA chain).  The tokens are computed once: the
     stop-word-free list is a filter of the materialised learning tokens."""
-    from textlab.functions.wordlists import ENGLISH_STOP_WORDS, LDA_EXTRA_STOP_WORDS
-    from textlab.session import cut_lineage
+    return _text(_phrased(cut_lineage(_words(spark, sf)), STOP_LDA), "phrased")
+
+
+def _two_passes(words):
+    """T1 twice: phrase tables of the first pass and of the second, which reads
+    the phrased tokens and so finds three- and four-word phrases."""
+    first = cut_lineage(P.phrase_learn(words, "toks", min_count=5, threshold=100.0))
+    once = cut_lineage(P.apply_phrases_df(words, "doc_id", "toks", first).select("doc_id", F.col("phrased").alias("toks")))
+    return first, cut_lineage(P.phrase_learn(once, "toks", min_count=5, threshold=100.0))
+
+
+def q_trigram_learn(spark, sf):
+    _, second = _two_passes(cut_lineage(_words(spark, sf)))
+    return second.select("w1", "w2", "n", r6(F.col("score")).alias("score"), "phrase")
+
+
+def q_trigram_apply(spark, sf):
+    """T2 twice: the first pass's phrases, then the second's, on the tokens
+    without stop words."""
     words = cut_lineage(_words(spark, sf))
-    ph = P.phrase_learn(words, "toks", min_count=5, threshold=100.0)
-    lda = words.select("doc_id", C.remove_words("toks", ENGLISH_STOP_WORDS + LDA_EXTRA_STOP_WORDS).alias("toks"))
-    out = P.apply_phrases_df(lda, "doc_id", "toks", ph)
-    return out.select("doc_id", F.size("phrased").cast("bigint").alias("n_tokens"),
-                      F.array_join("phrased", " ").alias("text"))
+    first, second = _two_passes(words)
+    toks = words.select("doc_id", C.remove_words("toks", STOP_LDA).alias("toks"))
+    once = P.apply_phrases_df(toks, "doc_id", "toks", first).select("doc_id", F.col("phrased").alias("toks"))
+    return _text(P.apply_phrases_df(once, "doc_id", "toks", second), "phrased")
+
+
+def lda_corpus(spark, sf):
+    """The LDA chain as one flow: noise removal, tokens, phrases learned on all
+    tokens, stop words out, phrases applied, lemmas of the allowed parts of
+    speech.  (doc_id, toks)"""
+    phrased = _phrased(cut_lineage(_words(spark, sf)), STOP_LDA)
+    return phrased.select("doc_id", P.lemmatize_pos("phrased").alias("toks"))
+
+
+def q_lda_corpus(spark, sf):
+    return _text(lda_corpus(spark, sf), "toks")
+
+
+def q_clean_template(spark, sf):
+    """The crawl-template chain: punctuation and case, tokens, phrases, stop
+    words, lemmas of the allowed parts of speech, tokens of more than 3 letters."""
+    d = load_table(spark, sf, "documents").select("doc_id", "text")
+    words = cut_lineage(d.select("doc_id", C.tokenize(F.lower(F.regexp_replace("text", C.PUNCT_BASIC, ""))).alias("toks")))
+    return _phrased(words, C.ENGLISH_STOP_WORDS).select("doc_id", F.array_join(
+        C.keep_longer_than(P.lemmatize_pos("phrased"), 3), " ").alias("full_txt_cleaned"))
 
 
 def q_lemmatize(spark, sf):
@@ -69,20 +120,29 @@ _WORDS = f"SELECT doc_id, {Q.tokenize(Q.remove_noise('text'))} AS toks FROM docu
 _BOW = f"""SELECT doc_id, token, count(*) AS n FROM
            (SELECT doc_id, unnest(toks) AS token FROM ({_LDA_TOK})) GROUP BY doc_id, token"""
 _POS = """SELECT doc_id, unnest(toks) AS w, unnest(range(len(toks))) AS i FROM ({src})"""
-_PAIRS = f"""SELECT doc_id, i, w AS w1, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS w2
-             FROM ({_POS.format(src=_WORDS)})"""
-_BIGRAMS = f"SELECT w1, w2, count(*) AS n FROM ({_PAIRS}) WHERE w2 IS NOT NULL GROUP BY w1, w2"
-_PHRASES = f"""
-  WITH uni AS (SELECT w, count(*) AS c FROM ({_POS.format(src=_WORDS)}) GROUP BY w),
-  bi AS ({_BIGRAMS}),
+
+
+def _bigrams_sql(src: str) -> str:
+    pairs = f"SELECT w AS w1, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS w2 FROM ({_POS.format(src=src)})"
+    return f"SELECT w1, w2, count(*) AS n FROM ({pairs}) WHERE w2 IS NOT NULL GROUP BY w1, w2"
+
+
+def _phrases_sql(src: str) -> str:
+    return f"""
+  WITH uni AS (SELECT w, count(*) AS c FROM ({_POS.format(src=src)}) GROUP BY w),
+  bi AS ({_bigrams_sql(src)}),
   v AS (SELECT (SELECT count(*) FROM uni) + (SELECT count(*) FROM bi) AS v)
   SELECT bi.w1, bi.w2, bi.n, (bi.n - 5) * 1.0 / a.c / b.c * v.v AS score, bi.w1 || '_' || bi.w2 AS phrase
   FROM bi JOIN uni a ON a.w = bi.w1 JOIN uni b ON b.w = bi.w2, v
   WHERE (bi.n - 5) * 1.0 / a.c / b.c * v.v > 100"""
-_APPLY = f"""
-  WITH ph AS ({_PHRASES}),
+
+
+def _apply_sql(src: str, phrases: str) -> str:
+    """(doc_id, toks) with the greedy left-to-right merge, by window functions."""
+    return f"""
+  WITH src AS ({src}), ph AS ({phrases}),
   pos AS (SELECT doc_id, i, w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS nxt
-          FROM ({_POS.format(src=_LDA_TOK)})),
+          FROM ({_POS.format(src="SELECT * FROM src")})),
   flagged AS (SELECT pos.*, ph.phrase IS NOT NULL AS is_p FROM pos LEFT JOIN ph ON ph.phrase = pos.w || '_' || pos.nxt),
   runs AS (SELECT *, max(CASE WHEN is_p AND NOT coalesce(prev_p, false) THEN i END)
                        OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run_start
@@ -91,24 +151,52 @@ _APPLY = f"""
   emitted AS (SELECT doc_id, i, CASE WHEN ms THEN w || '_' || nxt
                                      WHEN coalesce(lag(ms) OVER (PARTITION BY doc_id ORDER BY i), false) THEN NULL
                                      ELSE w END AS o FROM starts),
-  agg AS (SELECT doc_id, count(o) AS n, string_agg(o, ' ' ORDER BY i) AS txt FROM emitted GROUP BY doc_id)
-  SELECT d.doc_id, coalesce(agg.n, 0) AS n_tokens, coalesce(agg.txt, '') AS text
-  FROM documents d LEFT JOIN agg ON agg.doc_id = d.doc_id"""
+  agg AS (SELECT doc_id, list(o ORDER BY i) FILTER (WHERE o IS NOT NULL) AS toks FROM emitted GROUP BY doc_id)
+  SELECT src.doc_id, coalesce(agg.toks, []) AS toks FROM src LEFT JOIN agg ON agg.doc_id = src.doc_id"""
+
+
+def _text_sql(src: str, name: str = "text", count: bool = True) -> str:
+    n = "CAST(len(toks) AS BIGINT) AS n_tokens, " if count else ""
+    return f"SELECT doc_id, {n}array_to_string(toks, ' ') AS {name} FROM ({src})"
+
+
+_BIGRAMS = _bigrams_sql(_WORDS)
+_PHRASES = _phrases_sql(_WORDS)
+_APPLY = _apply_sql(_LDA_TOK, _PHRASES)
+_STEPS = f"""WITH words AS MATERIALIZED ({_WORDS}),
+  first AS MATERIALIZED ({_phrases_sql("SELECT * FROM words")}),
+  once AS MATERIALIZED ({_apply_sql("SELECT * FROM words", "SELECT * FROM first")}),
+  second AS MATERIALIZED ({_phrases_sql("SELECT * FROM once")})"""
+_TEMPLATE_WORDS = f"""SELECT doc_id, {Q.tokenize(f"lower(regexp_replace(text, {Q.q(C.PUNCT_BASIC)}, '', 'g'))")} AS toks FROM documents"""
 
 _LEM = Q.str_map({w: l for w, l, _ in LEMMAS})
 _POSM = Q.str_map({w: p for w, _, p in LEMMAS})
 
+
+
+def lemmas_sql(src: str) -> str:
+    return f"""SELECT doc_id, list_transform(list_filter(toks, lambda t: list_contains({Q.str_list(ALLOWED_POS)},
+                 coalesce({_POSM}[t], 'NOUN'))), lambda t: coalesce({_LEM}[t], t)) AS toks FROM ({src})"""
+
+
 SQL = {
     "doc_bow": _BOW,
     "vocabulary": f"SELECT token, count(*) AS df, sum(n)::BIGINT AS cf FROM ({_BOW}) GROUP BY token",
     "bigram_counts": _BIGRAMS,
     "phrase_learn": f"SELECT w1, w2, n, {Q.r6('score')} AS score, phrase FROM ({_PHRASES})",
-    "phrase_apply": _APPLY,
-    "lemmatize": f"""
-      SELECT doc_id, CAST(len(lem) AS BIGINT) AS n_kept, array_to_string(lem, ' ') AS lemmas FROM (
-        SELECT doc_id, list_transform(list_filter(toks, lambda t: list_contains({Q.str_list(ALLOWED_POS)},
-                   coalesce({_POSM}[t], 'NOUN'))), lambda t: coalesce({_LEM}[t], t)) AS lem
-        FROM ({_LDA_TOK}))""",
+    "phrase_apply": _text_sql(_APPLY),
+    "trigram_learn": f"{_STEPS} SELECT w1, w2, n, {Q.r6('score')} AS score, phrase FROM second",
+    "trigram_apply": f"""{_STEPS},
+      lda AS MATERIALIZED ({_LDA_TOK}),
+      one AS MATERIALIZED ({_apply_sql("SELECT * FROM lda", "SELECT * FROM first")})
+      {_text_sql(_apply_sql("SELECT * FROM one", "SELECT * FROM second"))}""",
+    "lda_corpus": _text_sql(lemmas_sql(_APPLY)),
+    "clean_template": f"""WITH words AS MATERIALIZED ({_TEMPLATE_WORDS})
+      {_text_sql(f"""SELECT doc_id, list_filter(toks, lambda t: length(t) > 3) AS toks FROM ({lemmas_sql(_apply_sql(
+          f"SELECT doc_id, {Q.remove_words('toks', Q.STOP)} AS toks FROM words", _phrases_sql("SELECT * FROM words")))})""",
+          "full_txt_cleaned", count=False)}""",
+    "lemmatize": f"""SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_kept, array_to_string(toks, ' ') AS lemmas
+                     FROM ({lemmas_sql(_LDA_TOK)})""",
 }
 
 QUERIES = {
@@ -117,5 +205,9 @@ QUERIES = {
     "bigram_counts": q_bigram_counts,
     "phrase_learn": q_phrase_learn,
     "phrase_apply": q_phrase_apply,
+    "trigram_learn": q_trigram_learn,
+    "trigram_apply": q_trigram_apply,
+    "lda_corpus": q_lda_corpus,
+    "clean_template": q_clean_template,
     "lemmatize": q_lemmatize,
 }
