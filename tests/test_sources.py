@@ -2,6 +2,7 @@ import json
 import os
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textlab.operators import ingest as I
 from textlab.sources import posts as S
@@ -83,6 +84,22 @@ def test_write_by_key_and_append(spark, tmpdir_path):
     assert spark.read.parquet(tgt).count() == 6
 
 
+def test_write_csv_reads_back(spark, tmpdir_path):
+    rows = [("1", 'a "quoted", text'), ("2", "two\nlines"), ("3", None)]
+    out = os.path.join(tmpdir_path, "csv")
+    S.write_csv(spark.createDataFrame(rows, "id string, text string"), out)
+    back = S.read_posts_csv(spark, out, T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType())]))
+    assert sorted(tuple(r) for r in back.collect()) == rows
+
+
+def test_csv_without_line_breaks_can_be_split(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "plain.csv")
+    with open(path, "w") as f:
+        f.write("id,text\n1,a\n2,b\n")
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType())])
+    assert S.read_posts_csv(spark, path, schema, multi_line=False).count() == 2
+
+
 def test_observe_counts(spark):
     df = spark.createDataFrame([(1,), (2,), (3,)], "x int")
     obs_df, obs = S.observe_counts(df, "progress", F.col("x") > 1)

@@ -1,3 +1,4 @@
+import pytest
 import os
 
 from pyspark.sql import functions as F
@@ -40,3 +41,34 @@ def test_fast_queries_smoke(spark):
                  "stratified_folds", "json_flatten", "face_flatten", "topic_assign"]:
         df = qs[name](spark, SF)
         assert df.count() >= 0 and len(df.columns) > 0
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    """Only a local master may go without spark.checkpoint.dir."""
+    from types import SimpleNamespace
+    from textlab import session
+
+    class Unset:
+        def isDefined(self):
+            return False
+
+    def fake(master):
+        sc = SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=Unset)),
+                             getConf=lambda: {}, setCheckpointDir=lambda d: None)
+        return SimpleNamespace(sparkContext=sc, conf={})
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            session.ensure_checkpoint_dir(fake(master))
+    assert session.ensure_checkpoint_dir(fake("local[2]"))
+
+
+def test_intermediate_tables_are_deleted(spark):
+    import glob
+
+    from textlab.session import cut_lineage, drop_tables, tables_dir
+    assert cut_lineage(spark.range(5)).count() == 5
+    folder = tables_dir(spark).removeprefix("file:")
+    assert glob.glob(folder + "/*")
+    drop_tables(spark)
+    assert not glob.glob(folder + "/*")

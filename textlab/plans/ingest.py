@@ -35,10 +35,24 @@ def q_prefix_filter(spark, sf):
 def q_community_filter(spark, sf):
     """Posts of members of an id list (left-semi join)."""
     d = load_table(spark, sf, "documents").select("doc_id", "source")
-    members = load_table(spark, sf, "labels").select(F.col("doc_id").alias("account_id"))
+    members = load_table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("account_id"))  # P14
     return keep_members(d, members, "doc_id", "account_id")
 
 
+def q_resolve_text(spark, sf):
+    """The full text of nested records made from documents: some are
+    retweets, with or without the original and its extended text."""
+    d = load_table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    n = F.col("doc_id")
+    ext = lambda when, value: F.struct(F.when(when, value).alias("full_text"))
+    rec = d.select(
+        "doc_id", F.when(n % 3 == 0, F.concat(F.lit("RT @"), F.col("source"))).otherwise(F.col("text")).alias("text"),
+        ext(n % 4 == 0, F.concat("text", F.lit("!"))).alias("extended_tweet"),
+        F.when(n % 5 != 0, F.struct(F.col("lang").alias("text"), ext(n % 2 == 0, F.col("text")).alias("extended_tweet")))
+        .alias("retweeted_status"))
+    return rec.select("doc_id", I.resolve_text(rec).alias("full_txt"))
+
+
 def q_unique_retweets(spark, sf):
     """A4: first copy (smallest id) of each distinct text and its copy count."""
     d = load_table(spark, sf, "documents").select(F.md5("text").alias("text_key"), "doc_id", "source")
@@ -87,6 +101,11 @@ SQL = {
     "json_flatten": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
     "prefix_filter": f"SELECT doc_id, lang FROM documents WHERE starts_with(text, {Q.q(PREFIX)})",
     "community_filter": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
+    "resolve_text": """
+      SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN CASE WHEN doc_id % 2 = 0 THEN text ELSE lang END
+                          WHEN doc_id % 4 = 0 THEN text || '!'
+                          WHEN doc_id % 3 = 0 THEN 'RT @' || source ELSE text END AS full_txt
+      FROM documents""",
     "unique_retweets": """
       SELECT md5(text) AS text_key, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source,
              count(*) AS n_copies
@@ -107,6 +126,7 @@ QUERIES = {
     "json_flatten": q_json_flatten,
     "prefix_filter": q_prefix_filter,
     "community_filter": q_community_filter,
+    "resolve_text": q_resolve_text,
     "unique_retweets": q_unique_retweets,
     "face_flatten": q_face_flatten,
     "url_normalise": q_url_normalise,

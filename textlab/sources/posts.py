@@ -66,15 +66,17 @@ FACE_RESPONSE = T.StructType([
 
 
 def read_posts_csv(spark: SparkSession, path: str, schema: T.StructType,
-                   keep_corrupt: bool = False) -> DataFrame:
+                   keep_corrupt: bool = False, multi_line: bool = True) -> DataFrame:
     """Headed csv, columns bound by position to ``schema``.  Short rows
     give nulls, long rows drop the extra values; with ``keep_corrupt`` both
-    kinds are also flagged in ``_corrupt_record``."""
+    kinds are also flagged in ``_corrupt_record``.  Posts hold line breaks, so
+    quoted values may by default, which makes each file one task; for files
+    without such values ``multi_line=False`` lets Spark split them."""
     if keep_corrupt:
         schema = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     reader = (spark.read.schema(schema)
               .option("header", True).option("enforceSchema", True)
-              .option("multiLine", True).option("escape", '"')
+              .option("multiLine", multi_line).option("escape", '"')
               .option("mode", "PERMISSIVE"))
     if keep_corrupt:
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
@@ -123,8 +125,9 @@ def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def write_by_key(df: DataFrame, key: str, path: str, fmt: str = "csv") -> None:
     """One output folder per key value, written by the executors in one
-    job (never a driver loop over keys)."""
-    w = df.repartition(key).write.mode("overwrite").partitionBy(key)
+    job (never a driver loop over keys).  The rebalance hint gathers a key's rows
+    into few files and lets AQE split a hot key over several tasks."""
+    w = df.hint("rebalance", key).write.mode("overwrite").partitionBy(key)
     if fmt == "csv":
         w = w.option("header", True)
     w.format(fmt).save(path)
