@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textlab.functions.clean import WS, _c, map_literal, split_ws, tokenize
+from textlab.functions.clean import WS, _c, split_ws, tokenize, word_table
 from textlab.functions.wordlists import BOOSTERS, INTENSIFIERS, LEXICON, NEGATIONS
 
 # Fixed values from the rule-based sentiment paper (Hutto & Gilbert 2014).
@@ -50,11 +50,10 @@ def scoring_tokens(text) -> Column:
 
 def lexicon_hits(tokens, lexicon: dict = LEXICON) -> Column:
     """struct(n_hits, sum_valence) of the tokens found in the lexicon."""
-    m = map_literal({k: float(v) for k, v in lexicon.items()})
+    value = word_table({k: float(v) for k, v in lexicon.items()})
     keys = sorted(lexicon)
-    # A literal map is searched linearly; the hashed key set finds the hits
-    # first, so only hits pay for the value lookup.
-    vals = F.transform(F.filter(_c(tokens), lambda t: t.isin(keys)), lambda t: F.try_element_at(m, t))
+    # The hashed key set finds the hits first, only they pay for the lookup.
+    vals = F.transform(F.filter(_c(tokens), lambda t: t.isin(keys)), value)
     return let(vals, lambda v: F.struct(F.size(v).cast("bigint").alias("n_hits"), _sum(v).alias("sum_valence")))
 
 
@@ -72,8 +71,8 @@ def lexicon_polarity(tokens, lexicon: dict = LEXICON, scale: float = 0.25,
     A hit right after an intensifier is multiplied by its factor; a hit after a
     negation word (directly, or with one intensifier in between) is multiplied
     by -0.5.  No hit gives 0.0.  ``scale`` maps lexicon valences to [-1, 1]."""
-    lex = map_literal({k: float(v) * scale for k, v in lexicon.items()})
-    inten = map_literal({k: float(v) for k, v in intensifiers.items()})
+    lex = word_table({k: float(v) * scale for k, v in lexicon.items()})
+    inten = word_table({k: float(v) for k, v in intensifiers.items()})
     neg = sorted(set(negations))
 
     keys = sorted(lexicon)
@@ -84,9 +83,9 @@ def lexicon_polarity(tokens, lexicon: dict = LEXICON, scale: float = 0.25,
         return let(vals, lambda v: F.coalesce(F.try_divide(_sum(v), F.size(v)), F.lit(0.0)))
 
     def score(toks, t, i):
-        v = F.try_element_at(lex, t)
+        v = lex(t)
         p1, p2 = F.get(toks, i - 1), F.get(toks, i - 2)
-        f1 = F.try_element_at(inten, p1)
+        f1 = inten(p1)
         negated = is_negation(p1, neg) | (f1.isNotNull() & is_negation(p2, neg))
         return v * F.coalesce(f1, F.lit(1.0)) * F.when(negated, F.lit(-0.5)).otherwise(F.lit(1.0))
 
@@ -118,8 +117,8 @@ def lexicon_compound(text, lexicon: dict = LEXICON, negations=NEGATIONS,
     before count half and hits after one and a half.  The sum gets "!" and "?"
     emphasis and is normalised by s / sqrt(s^2 + 15)."""
     raw = _c(text)
-    lex = map_literal({k: float(v) for k, v in lexicon.items()})
-    boost = map_literal({k: float(v) for k, v in boosters.items()})
+    lex = word_table({k: float(v) for k, v in lexicon.items()})
+    boost = word_table({k: float(v) for k, v in boosters.items()})
     keys = sorted(lexicon)
     neg = sorted(set(negations))
 
@@ -140,14 +139,14 @@ def lexicon_compound(text, lexicon: dict = LEXICON, negations=NEGATIONS,
             up = F.when(v < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
             emph = F.when(v > 0, F.lit(CAPS_INCR)).otherwise(F.lit(-CAPS_INCR))
             caps = F.when(cap_diff & is_caps(prev), emph).otherwise(F.lit(0.0))
-            inc = F.coalesce((F.try_element_at(boost, low_prev) * BOOST_INCR * up + caps) * scale, F.lit(0.0))
+            inc = F.coalesce((boost(low_prev) * BOOST_INCR * up + caps) * scale, F.lit(0.0))
             turned = (v + inc) * F.when(is_negation(low_prev, neg), F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0))
             return F.when(low_prev.isNull() | low_prev.isin(keys), v).otherwise(turned)
         return step
 
     def score(r, t, i):
         toks, low, cap_diff, but_pos = r["toks"], r["low"], r["cap_diff"], r["but_pos"]
-        v0 = F.try_element_at(lex, F.get(low, i))
+        v0 = lex(F.get(low, i))
         sign = F.when(v0 >= 0, F.lit(1.0)).otherwise(F.lit(-1.0))
         v = v0 + F.when(cap_diff & is_caps(t), sign * CAPS_INCR).otherwise(F.lit(0.0))
         for k, scale in BOOST_DISTANCE.items():
