@@ -76,7 +76,8 @@ class Repeats:
 
         def mark(batches):
             for pdf in batches:
-                held = [slots_of(seg[0], bits) for _, _, seg in each(iter([pdf]))]
+                # mixed once more: anchors are the least of many hashes
+                held = [slots_of(mix64(seg[0]), bits) for _, _, seg in each(iter([pdf]))]
                 s = np.sort(np.concatenate(held)) if held else np.zeros(0, np.int64)
                 yield slot_rows(s[np.r_[np.ones(min(2, len(s)), bool), s[2:] != s[:-2]]])  # two of a kind say enough
 
@@ -84,12 +85,13 @@ class Repeats:
 
         def emit(batches):
             for key, _, (anchor, content, start, n, _) in each(batches):
-                ok = with_bit(bitmap.value, slots_of(anchor, bits))
+                ok = with_bit(bitmap.value, slots_of(mix64(anchor), bits))
                 if ok.any():
-                    yield pd.DataFrame({"row_key": key, "start": start[ok], "n": n[ok], "anchor": anchor[ok].view(np.int64),
-                                        "content": content[ok].view(np.int64)})
+                    start = start[ok]
+                    yield np.full(len(start), key), start, n[ok], anchor[ok].view(np.int64), content[ok].view(np.int64)
 
-        return cut_lineage(self.docs.mapInPandas(batched(emit), "row_key long, start int, n int, anchor long, content long"))
+        cols = ["row_key", "start", "n", "anchor", "content"]
+        return cut_lineage(self.docs.mapInPandas(gathered(emit, cols), "row_key long, start int, n int, anchor long, content long"))
 
     def contents(self, occ: DataFrame) -> DataFrame:
         """Distinct contents of anchors that occur twice at least: anchor, content,
@@ -123,12 +125,14 @@ class Repeats:
                 for key, s, (_, _, start, n, place_of) in each(iter([pdf])):
                     ok = with_bit(bitmap.value, slots_of(place(np.full(len(start), key), start), bits))
                     if ok.any():
-                        yield pd.DataFrame({
-                            "row_key": key, "start": start[ok], "at": (place_of - start)[ok],
-                            "symbols": [s[a:p].tobytes() + s[p + gram:a + m + window - 1].tobytes()
-                                        for a, m, p in zip(start[ok], n[ok], place_of[ok])]})
-
-        found = self.docs.mapInPandas(batched(emit), "row_key long, start int, at int, symbols binary")
+                        start, n, place_of = start[ok], n[ok], place_of[ok]
+                        symbols = np.empty(len(start), object)
+                        symbols[:] = [s[a:p].tobytes() + s[p + gram:b].tobytes() for a, p, b in
+                                      zip(start.tolist(), place_of.tolist(), (start + n + window - 1).tolist())]
+                        yield np.full(len(start), key), start, place_of - start, symbols
+
+        found = self.docs.mapInPandas(gathered(emit, ["row_key", "start", "at", "symbols"]),
+                                      "row_key long, start int, at int, symbols binary")
         # rows repeated in the corpus have the same key and the same symbols
         return wanted.join(found.dropDuplicates(["row_key", "start"]), ["row_key", "start"])
 
@@ -143,7 +147,7 @@ class Repeats:
             F.expr(f"pmod(xxhash64(anchor), {shards})").cast("int").alias("shard"),
             "anchor", "content", "w", "n", "at", "symbols")
         blocks = by_blocks(rows, F.col("n") + self.window - self.gram, per_shard)
-        found = blocks.mapInPandas(batched(index), "anchor long, content long, lo int, hi int")
+        found = blocks.mapInPandas(index, "anchor long, content long, lo int, hi int")
         whole = contents.where("w > 1").select("anchor", "content", F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))
         spans = occ.join(cut_lineage(whole.unionByName(found)), ["anchor", "content"]).select(
             "row_key", (F.shiftleft((F.col("start") + F.col("lo")).cast("long"), 32)
@@ -171,18 +175,18 @@ def split_off(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return none, marked.where("_has").drop("_has").join(spans, "row_key", "left").select(*docs.columns, "spans")
 
 
-def batched(emit: Callable, rows: int = 50_000) -> Callable:
-    """Joins the small frames of a generator into larger ones."""
+def gathered(emit: Callable, cols: list[str], rows: int = 50_000) -> Callable:
+    """Joins the small arrays of a generator into frames of about ``rows`` rows."""
     def work(batches):
         held, n = [], 0
-        for frame in emit(batches):
-            held.append(frame)
-            n += len(frame)
+        for arrays in emit(batches):
+            held.append(arrays)
+            n += len(arrays[0])
             if n >= rows:
-                yield pd.concat(held, ignore_index=True)
+                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(cols, zip(*held))})
                 held, n = [], 0
         if held:
-            yield pd.concat(held, ignore_index=True)
+            yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(cols, zip(*held))})
     return work
 
 
