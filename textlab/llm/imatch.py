@@ -34,7 +34,7 @@ U = np.uint64
 #: Bytes that do not belong to a term.
 GAP = np.ones(256, bool)
 GAP[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
-SEEDS = mix64(np.arange(1, SERIES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+SEEDS = mix64(np.arange(1, SERIES + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 TOPS = np.array([(1 << 64) // 4 ** (l + 1) - 1 for l in range(LEVELS)], U)
 
 
@@ -92,8 +92,9 @@ def fingerprint(text: str, lexicon: np.ndarray) -> np.ndarray:
     kept = t[(lexicon[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1] if len(t) else t
     if not len(kept):
         kept = t if len(t) else np.frombuffer(hashlib.sha256(text.encode()).digest()[:8], U)
-    h = mix64(kept[:, None] ^ SEEDS[None, :])
-    v = mix64(h * U(0xD6E8FEB86659FD93) + kept[:, None])
+    # one value of a term per series by double hashing; its share of a subset's hash is the same in all
+    v = mix64(kept)
+    h = v[:, None] + mix64(v)[:, None] * SEEDS[None, :]
     out = np.zeros((LEVELS, SERIES), U)
     for l in range(LEVELS):
         member = h <= TOPS[l]
@@ -102,7 +103,7 @@ def fingerprint(text: str, lexicon: np.ndarray) -> np.ndarray:
         if not len(h):
             break
         some = member.any(axis=0)
-        s = mix64(np.where(member, v, U(0)).sum(axis=0, dtype=U))
+        s = mix64((member * v[:, None]).sum(axis=0, dtype=U))
         out[l] = np.where(some, s % U(65535) + U(1), U(0))
     return out.astype(np.uint16)
 
