@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.llm import bcr, bpe, bytecnn, fmindex, hnsw, imatch, langid, packing, sql, superminhash, warc
-from textlab.llm.common import ensure_checkpoint_dir, read
+from textlab.llm.common import read
+from textlab.session import tables_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,7 +22,7 @@ def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{ensure_checkpoint_dir(spark)}/archives/{uuid.uuid4().hex}"
+    folder = f"{tables_dir(spark)}/archives-{uuid.uuid4().hex}"
     return warc.read_archives(spark, warc.write_archives(read(spark, sf_dir, "pages"), folder)).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
