@@ -87,11 +87,12 @@ class Columns:
         bwt, lcp, who = self.read()
         bwt[pos] = symbol
         order = np.argsort(bwt, kind="stable")
-        n = len(order) - int((bwt == END).sum())
+        n = len(order) - int(np.count_nonzero(bwt == END))
         order = order[:n]  # equal symbols together, in order of place
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(n)
-        new = rank[pos]
+        is_new = np.zeros(len(bwt), bool)
+        is_new[pos] = True
+        new = np.flatnonzero(is_new[order])  # their ranks, by rank ...
+        new = new[np.argsort(order[new])][np.argsort(np.argsort(pos))]  # ... and by string
         changed = np.unique(np.concatenate([new, new + 1]))
         changed = changed[changed < n]
         at, before = order[changed], order[np.maximum(changed - 1, 0)]
@@ -194,7 +195,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, gram: int = 128, text: st
     body = F.coalesce(F.col(text), F.lit(""))
     src = docs.select(F.struct(*docs.columns).alias("d"), body.alias("body"), F.xxhash64(F.col(doc_id), F.col(text)).alias("row_key"))
     spans = Repeats(src.select("row_key", "body"), window, gram, lambda b: np.frombuffer(b.encode(), np.uint8),
-                    lambda s: BYTE[s]).find(index(window, gram, per_shard), per_shard)
+                    lambda s: BYTE[s], 1.0).find(index(window, gram, per_shard), per_shard)
     new = ["n_bytes", "n_removed", "n_spans", "spans", "kept"]
 
     @F.pandas_udf("n_bytes long, n_removed long, spans array<long>, kept binary")
@@ -209,6 +210,9 @@ def remove_repeats(docs: DataFrame, window: int = 200, gram: int = 128, text: st
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "spans", "kept"])
 
     none, some = split_off(src, spans)
-    both = none.unionByName(some).withColumn("c", cut("body", "spans"))
+    none = none.select("d", F.struct(
+        F.octet_length("body").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
+        F.array().cast("array<long>").alias("spans"), F.col("body").cast("binary").alias("kept")).alias("c"))
+    both = none.unionByName(some.select("d", cut("body", "spans").alias("c")))
     return both.select(*[F.col(f"d.{c}") for c in docs.columns if c not in new], "c.n_bytes", "c.n_removed",
                        F.expr("size(c.spans) div 2").cast("long").alias("n_spans"), "c.spans", "c.kept")

@@ -12,10 +12,18 @@ from pyspark.sql import functions as F
 
 from textlab.session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["components", "cut_lineage", "ensure_checkpoint_dir", "partitions_for", "read", "runs", "with_bit"]
+__all__ = ["bits_for", "components", "cut_lineage", "ensure_checkpoint_dir", "partitions_for", "read", "runs", "with_bit"]
+
+
+#: Bits of the largest filter that is broadcast: 2**28 bits are 32 MB.
+MOST_BITS = 28
+#: Rows of an Arrow batch: texts are long, and a batch is held several times over.
+BATCH_ROWS = 2000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -82,26 +90,34 @@ def bit_filter(slots: DataFrame, bits: int, at_least: int, chunk_bits: int = 16)
     """Bitmap of ``2**bits`` slots, set where ``slots`` (chunk int, low binary of
     uint16 slot numbers within the chunk) name a slot at least ``at_least`` times.
 
-    The bitmap's size is fixed by ``bits`` (2**26 bits are 8 MB), whatever the
-    input; a fuller bitmap only lets more through, what follows is exact."""
+    The bitmap's size is fixed by ``bits``, at most MOST_BITS; a fuller bitmap
+    only lets more through, what follows is exact."""
     size = 1 << chunk_bits
 
     def merge(batches):
-        held, counts = None, None
+        held, counts, lows, n = None, None, [], 0
+
+        def fold():
+            got = np.bincount(np.frombuffer(b"".join(lows), np.uint16), minlength=size)
+            return np.minimum(got if counts is None else counts + got, 2).astype(np.uint8)
+
+        def row():
+            return pd.DataFrame({"chunk": [held], "set": [np.packbits(fold() >= at_least).tobytes()]})
+
         for (c,), part in runs(batches, ["chunk"]):
             if held is not None and c != held:
-                yield pd.DataFrame({"chunk": [held], "set": [np.packbits(counts >= at_least).tobytes()]})
-                counts = None
-            if counts is None:
-                held, counts = c, np.zeros(size, np.uint8)
-            for raw in part["low"]:
-                n = np.bincount(np.frombuffer(raw, np.uint16), minlength=size)
-                counts = np.minimum(counts + np.minimum(n, 2), 2).astype(np.uint8)
+                yield row()
+                counts, lows, n = None, [], 0
+            held = c
+            lows += [bytes(x) for x in part["low"]]
+            n += sum(map(len, part["low"]))
+            if n > 1 << 22:  # a chunk's slots are not held beyond this
+                counts, lows, n = fold(), [], 0
         if held is not None:
-            yield pd.DataFrame({"chunk": [held], "set": [np.packbits(counts >= at_least).tobytes()]})
+            yield row()
 
     rows = (slots.repartition("chunk").sortWithinPartitions("chunk")
-            .mapInPandas(merge, "chunk int, set binary").toLocalIterator())
+            .mapInPandas(merge, "chunk int, set binary").collect())  # 2**bits bits at most
     out = np.zeros(1 << (bits - 3), np.uint8)
     width = size // 8
     for r in rows:
@@ -109,6 +125,12 @@ def bit_filter(slots: DataFrame, bits: int, at_least: int, chunk_bits: int = 16)
     return out
 
 
+def bits_for(keys: float) -> int:
+    """Bits of a filter for so many keys, eight slots each, within the bound.
+    Beyond the bound the filter fills up and lets more through."""
+    return int(min(MOST_BITS, max(16, np.ceil(np.log2(8 * max(keys, 1))))))
+
+
 def slots_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 

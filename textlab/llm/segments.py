@@ -17,15 +17,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.llm.common import bit_filter, cut_lineage, partitions_for, slot_rows, slots_of, with_bit
+from textlab.llm.common import bit_filter, bits_for, cut_lineage, partitions_for, slot_rows, slots_of, with_bit
 from textlab.llm.rolling import Windows, mix64, sliding_min
 
 PIECE = 1 << 20
 POSITION = np.uint64((1 << 24) - 1)
-FILTER_BITS = 27
 U = np.uint64
 
 
@@ -50,15 +50,18 @@ class Repeats:
     """Finds the windows of ``docs`` (row_key long, body string) that start more
     than once in the corpus.
 
-    ``symbols`` turns a body into an array of symbols and ``hashed`` that array
-    into 64-bit hashes; ``index`` is the operator's own engine: it gets the
+    ``symbols`` turns a body into an array of symbols (about ``per_byte`` a byte)
+    and ``hashed`` that array into 64-bit hashes; ``index`` is the operator's own engine: it gets the
     distinct segment contents whose anchor has several contents, in shards, and
     returns which of their windows occur in another content.  A content that
     occurs twice itself is repeated whole."""
 
-    def __init__(self, docs: DataFrame, window: int, gram: int, symbols: Callable, hashed: Callable):
+    def __init__(self, docs: DataFrame, window: int, gram: int, symbols: Callable, hashed: Callable, per_byte: float):
         self.docs, self.window, self.gram = docs, window, gram
         self.sc = docs.sparkSession.sparkContext
+        total = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+        # one anchor in about half the windows that share it
+        self.bits = bits_for(total * per_byte * 2 / (window - gram + 2))
 
         def each(batches):
             for pdf in batches:
@@ -72,7 +75,7 @@ class Repeats:
     def occurrences(self) -> DataFrame:
         """Segments whose anchor occurs twice at least (a few more, by a bitmap of
         fixed size): row_key, start, n, anchor, content."""
-        each, bits = self.each, FILTER_BITS
+        each, bits = self.each, self.bits
 
         def mark(batches):
             for pdf in batches:
@@ -95,16 +98,19 @@ class Repeats:
 
     def contents(self, occ: DataFrame) -> DataFrame:
         """Distinct contents of anchors that occur twice at least: anchor, content,
-        n, w (occurrences), k (contents of the anchor), row_key and start of one."""
+        n, w (occurrences), k (contents of the anchor), least (of their w), row_key
+        and start of one."""
         each = cut_lineage(occ.groupBy("anchor", "content").agg(
-            F.count(F.lit(1)).alias("w"), F.first("n").alias("n"), F.min(F.struct("row_key", "start")).alias("at")))
-        groups = each.groupBy("anchor").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("k")).where("all > 1")
-        return cut_lineage(each.join(groups.drop("all"), "anchor").select("anchor", "content", "w", "n", "k", "at.*"))
+            F.count(F.lit(1)).alias("w"), F.max("n").alias("n"), F.min("row_key").alias("row_key"),
+            F.min_by("start", "row_key").alias("start")))  # fixed-width buffers: hash aggregation
+        groups = each.groupBy("anchor").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("k"),
+                                            F.min("w").alias("least")).where("all > 1")
+        return cut_lineage(each.join(groups.drop("all"), "anchor").select("anchor", "content", "w", "n", "k", "least", "row_key", "start"))
 
-    def texts(self, wanted: DataFrame) -> DataFrame:
+    def texts(self, wanted: DataFrame, n: int) -> DataFrame:
         """The symbols of the wanted contents but for the anchor's: adds ``symbols``
         (binary) and ``at``, the anchor's place among them."""
-        each, window, gram, bits = self.each, self.window, self.gram, FILTER_BITS
+        each, window, gram, bits = self.each, self.window, self.gram, bits_for(2 * n)
 
         def place(key, start):
             return mix64(mix64(np.asarray(key, np.int64).view(U)) + np.asarray(start).astype(U))
@@ -140,10 +146,11 @@ class Repeats:
         """(row_key, spans): symbol ranges covered by repeated windows, as start << 32 | end, for rows that have any."""
         occ = self.occurrences()
         contents = self.contents(occ)
-        several = contents.where("k > 1")
-        size = several.agg(F.sum(F.col("n") + self.window - self.gram)).first()[0] or 0
-        shards = partitions_for(self.docs.sparkSession, size, per_shard)
-        rows = self.texts(several).select(
+        # a content that occurs once is repeated where another content has the window
+        several = contents.where("k > 1 and least = 1")
+        size, n = several.agg(F.sum(F.col("n") + self.window - self.gram), F.count(F.lit(1))).first()
+        shards = partitions_for(self.docs.sparkSession, size or 0, per_shard)
+        rows = self.texts(several, n).select(
             F.expr(f"pmod(xxhash64(anchor), {shards})").cast("int").alias("shard"),
             "anchor", "content", "w", "n", "at", "symbols")
         blocks = by_blocks(rows, F.col("n") + self.window - self.gram, per_shard)
@@ -157,22 +164,25 @@ class Repeats:
 
 
 def split_off(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` without any span, by a bitmap of fixed size and so without a
-    shuffle, and the others joined with their spans (null for a false positive)."""
+    """``docs`` without any span, by a bitmap and so without a shuffle, and the
+    others joined with their spans (null for a false positive)."""
+    bits = bits_for(spans.count())
+
     def mark(batches):
         for pdf in batches:
-            yield slot_rows(slots_of(mix64(pdf["row_key"].to_numpy().view(U)), FILTER_BITS))
+            yield slot_rows(slots_of(mix64(pdf["row_key"].to_numpy().view(U)), bits))
 
     bitmap = docs.sparkSession.sparkContext.broadcast(
-        bit_filter(spans.select("row_key").mapInPandas(mark, "chunk int, low binary"), FILTER_BITS, 1))
+        bit_filter(spans.select("row_key").mapInPandas(mark, "chunk int, low binary"), bits, 1))
 
-    @F.pandas_udf("boolean")
-    def has(key: pd.Series) -> pd.Series:
-        return pd.Series(with_bit(bitmap.value, slots_of(mix64(key.to_numpy().view(U)), FILTER_BITS)))
+    def where(wanted):
+        def work(batches):
+            for batch in batches:  # Arrow rows pass as they are, whatever their columns
+                key = batch.column(batch.schema.get_field_index("row_key")).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(with_bit(bitmap.value, slots_of(mix64(key.view(U)), bits)) == wanted))
+        return docs.mapInArrow(work, docs.schema)
 
-    marked = docs.withColumn("_has", has("row_key"))
-    none = marked.where("not _has").drop("_has").withColumn("spans", F.lit(None).cast("array<long>"))
-    return none, marked.where("_has").drop("_has").join(spans, "row_key", "left").select(*docs.columns, "spans")
+    return where(False), where(True).join(spans, "row_key", "left")
 
 
 def gathered(emit: Callable, cols: list[str], rows: int = 50_000) -> Callable:

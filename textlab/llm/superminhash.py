@@ -26,12 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.llm.common import bit_filter, components, cut_lineage, runs, slot_rows, slots_of, with_bit
+from textlab.llm.common import bit_filter, bits_for, components, cut_lineage, runs, slot_rows, slots_of, with_bit
 from textlab.llm.rolling import mix64, shingle_hashes, word_hashes
 
 SALT = 64
 BLOCK = 256
-FILTER_BITS = 26
 U = np.uint64
 
 
@@ -87,18 +86,21 @@ def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of the wanted (node, doc_id).  A bitmap of fixed size over
     the ids lets through a superset, the join keeps what is wanted."""
+    wanted = cut_lineage(wanted)
+    bits = bits_for(wanted.count())
+
     def mark(batches):
         for pdf in batches:
-            yield slot_rows(slots_of(mix64(pdf["doc_id"].to_numpy().view(U)), FILTER_BITS))
+            yield slot_rows(slots_of(mix64(pdf["doc_id"].to_numpy().view(U)), bits))
 
     shared = docs.sparkSession.sparkContext.broadcast(
-        bit_filter(wanted.select("doc_id").mapInPandas(mark, "chunk int, low binary"), FILTER_BITS, 1))
+        bit_filter(wanted.select("doc_id").mapInPandas(mark, "chunk int, low binary"), bits, 1))
 
     def work(batches):
         for pdf in batches:
             pdf = pdf[pdf["doc_id"].notna()]
             ids = pdf["doc_id"].to_numpy().astype(np.int64)
-            pdf = pdf[with_bit(shared.value, slots_of(mix64(ids.view(U)), FILTER_BITS))] if len(pdf) else pdf
+            pdf = pdf[with_bit(shared.value, slots_of(mix64(ids.view(U)), bits))] if len(pdf) else pdf
             out = []
             for d, body in zip(pdf["doc_id"], pdf["body"]):
                 s = shingles_of(body, k)
@@ -113,7 +115,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 def _verify_stars(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) whose sets reach the similarity.  b's sets stream past a's,
     a centre with many edges being split into salted parts."""
-    salts = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
+    # written, so that the join's exchanges serve no aggregation and AQE can split a hot centre
+    salts = cut_lineage(edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts")))
     salted = edges.join(salts, "a").select("a", "b", F.expr("pmod(xxhash64(b), salts)").cast("int").alias("salt"))
     member = salted.join(sets, salted.b == sets.node).select("a", "salt", F.lit(1).alias("kind"), "b", "shingles")
     centre = (salted.select("a", "salt").distinct().join(sets, F.col("a") == sets.node)
@@ -217,8 +220,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     spread = nodes.select("node", F.explode("bands").alias("key"))
     full = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1")
     members = cut_lineage(spread.join(full, "key").select("key", "a", "node"))
-    edges = (members.where("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-             .where("shared > 1").drop("shared"))
+    edges = cut_lineage(members.where("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+                        .where("shared > 1").drop("shared"))
     sets = _sets(src, members.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), k)
     links = cut_lineage(_verify_stars(edges, sets, num, den))
     first = cut_lineage(components(links))
