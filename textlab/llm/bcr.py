@@ -27,7 +27,7 @@ from textlab.llm.common import runs
 from textlab.llm.rolling import BYTE
 from textlab.llm.segments import Repeats, covered, split_off, window_runs
 
-PER_SHARD = 1_500_000
+PER_SHARD = 400_000
 END = np.uint16(0xFFFF)
 BLOCK = 512
 ANCHORS = 60_000  # anchors of one collection: symbols 256 and above, below END
@@ -182,7 +182,7 @@ def index(window: int, gram: int, per_shard: int = PER_SHARD):
     return work
 
 
-def remove_repeats(docs: DataFrame, window: int = 200, gram: int = 128, text: str = "text", doc_id: str = "doc_id",
+def remove_repeats(docs: DataFrame, window: int = 200, gram: int = 144, text: str = "text", doc_id: str = "doc_id",
                    per_shard: int = PER_SHARD) -> DataFrame:
     """Remove every byte (of the UTF-8 text) covered by a ``window``-byte string
     that also starts anywhere else in the corpus, the same document included.
