@@ -7,8 +7,10 @@ counts corrected for each filter's false positives, and the largest decides.
 
 Learning counts the n-grams of all training texts per language (no sample); an
 n-gram belongs to every language in which it is at least ``1 / NEAR`` as frequent
-as in the language where it is most frequent.  The filter's size is fixed by
-``SLOTS`` and the number of languages, not by the data: it is what is broadcast."""
+as in the language where it is most frequent and not rarer than ``RARE`` of that
+language's n-grams.  The filter has ``SPARE`` slots for each n-gram of the largest
+language, counted before.  It is broadcast; where it would exceed ``MOST_BYTES``
+there is none, and texts meet the n-grams in an exact join."""
 
 from __future__ import annotations
 
@@ -23,10 +25,18 @@ from textlab.llm.common import cut_lineage, runs
 from textlab.llm.rolling import mix64
 
 N = 4
+#: Slots of the smallest filter, slots per n-gram, and bytes of the largest filter.
 SLOTS = 1 << 22
+SPARE = 8
+MOST_BYTES = 1 << 26
+#: n-grams that an exact join looks up in memory, the most frequent ones.
+COMMON = 1 << 19
 HASHES = 2
 NEAR = 4.0
+#: Least count of an n-gram in all languages, and its least share of a language's
+#: n-grams.  A count alone would take every typing error once a language is large.
 MIN_COUNT = 3
+RARE = 1e-8
 CHUNK = 1 << 16
 PIECE = 1 << 20
 UNKNOWN = "und"
@@ -74,22 +84,37 @@ def grams(text: str) -> tuple[np.ndarray, bool]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), any_letter
 
 
-def slots(h: np.ndarray):
-    """The slots of each hash, one array after another."""
+def slots(h: np.ndarray, size: int):
+    """The slots of each hash in a filter of so many (a power of two), one array after another."""
+    width = size.bit_length() - 1
     for i in range(HASHES):
-        yield ((h >> np.uint64(i * 22 + 1)) % np.uint64(SLOTS)).astype(np.int64)
+        yield ((h >> np.uint64(i * width + 1)) % np.uint64(size)).astype(np.int64)
+
+
+def slots_for(keys: int, planes: int = 1) -> int:
+    """Slots of a filter that holds so many n-grams of one language: SLOTS, or
+    more where they need it, or fewer where many planes would exceed MOST_BYTES."""
+    need = max(CHUNK, 1 << (SPARE * max(keys, 1) - 1).bit_length())
+    size = max(SLOTS, need)
+    while size > need and size * planes > MOST_BYTES:
+        size //= 2
+    return size
 
 
 @dataclass
 class LanguageModel:
-    """Bit-sliced filters: ``bits[slot, l // 8]`` has bit l % 8 for language l."""
+    """Bit-sliced filters: ``bits[slot, l // 8]`` has bit l % 8 for language l.  A
+    model too large for them has ``bits`` None and the n-grams as ``table`` (gram,
+    n, ls), which :func:`predict` joins."""
     languages: list[str]
-    bits: np.ndarray
+    bits: np.ndarray | None
     totals: list[int]
+    table: DataFrame | None = None
 
     def __post_init__(self):
-        fill = np.array([(self.bits[:, i // 8] >> (i % 8) & 1).mean() for i in range(len(self.languages))])
-        self.false = np.minimum(fill ** HASHES, 0.999)
+        fill = np.array([(self.bits[:, i // 8] >> (i % 8) & 1).mean() if self.bits is not None else 0.0
+                         for i in range(len(self.languages))])
+        self.false = fill ** HASHES
 
     def decide(self, text: str) -> tuple[str, float, int]:
         """Language, score (the corrected share of n-grams that its filter holds)
@@ -98,16 +123,23 @@ class LanguageModel:
         h, letter = grams(text)
         if not letter or not self.languages:
             return UNKNOWN, 0.0, 0
+        if self.bits is None:
+            raise ValueError("this model has no filter: predict() joins its n-grams")
         mask = None
-        for s in slots(h):
+        for s in slots(h, len(self.bits)):
             mask = self.bits[s] if mask is None else mask & self.bits[s]
         counts = np.array([np.bincount(mask[:, p], minlength=256) for p in range(mask.shape[1])])
         values = np.arange(256)
         got = np.array([counts[i // 8][(values >> (i % 8)) & 1 == 1].sum() for i in range(len(self.languages))])
-        true = (got / len(h) - self.false) / (1 - self.false)
+        return self.choose(got, len(h))
+
+    def choose(self, got: np.ndarray, n: int) -> tuple[str, float, int]:
+        """The answer for a text of which each language holds ``got`` of n n-grams."""
+        # a full filter says nothing
+        true = np.where(self.false < 0.999, (got / n - self.false) / np.maximum(1 - self.false, 0.001), 0.0)
         true = np.maximum(true, 0)
         best = max(range(len(true)), key=lambda i: (true[i], self.totals[i], -i))
-        return self.languages[best], float(min(1.0, true[best])), len(h)
+        return self.languages[best], float(min(1.0, true[best])), n
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
@@ -117,9 +149,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
     src = docs.select(F.col(text).alias("body"), F.col(lang).alias("lang")).where("body is not null and lang is not null")
     languages = sorted(r[0] for r in src.select("lang").distinct().toLocalIterator())
     planes = max(1, -(-len(languages) // 8))
-    bits = np.zeros((SLOTS, planes), np.uint8)
     if not languages:
-        return LanguageModel([], bits, [])
+        return LanguageModel([], np.zeros((SLOTS, planes), np.uint8), [])
     index = {x: i for i, x in enumerate(languages)}
 
     def count(batches):
@@ -145,20 +176,26 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
     top = counts.withColumn("f", share).groupBy("gram").agg(
         F.max("f").alias("top"), F.sum("n").alias("n"), F.collect_list(F.struct("l", "f")).alias("by"))
     # at most one entry per language in "by"
-    kept = (top.where(F.col("n") >= MIN_COUNT)
-            .select("gram", F.filter("by", lambda x: x["f"] * NEAR >= F.col("top"))["l"].alias("ls")))
+    kept = cut_lineage(top.where((F.col("n") >= MIN_COUNT) & (F.col("top") >= RARE))
+                       .select("gram", "n", F.filter("by", lambda x: (x["f"] * NEAR >= F.col("top")) & (x["f"] >= RARE))["l"].alias("ls")))
+    most = kept.select(F.explode("ls").alias("l")).groupBy("l").count().agg(F.max("count")).first()[0] or 0
+    size = slots_for(most, planes)
+    totals = [int(totals.get(i, 0)) for i in range(len(languages))]
+    if most and size * planes > MOST_BYTES:
+        return LanguageModel(languages, None, totals, kept)
+    bits = np.zeros((size, planes), np.uint8)
 
     def fill(batches):
-        part = np.zeros((SLOTS, planes), np.uint8)
+        part = np.zeros((size, planes), np.uint8)
         for pdf in batches:
             h = pdf["gram"].to_numpy().view(np.uint64)
             mask = np.zeros((len(h), planes), np.uint8)
             sizes = pdf["ls"].map(len).to_numpy()
             ls = np.concatenate(pdf["ls"].to_list()) if len(pdf) else np.zeros(0, int)
             np.bitwise_or.at(mask, (np.repeat(np.arange(len(h)), sizes), ls // 8), (1 << (ls % 8)).astype(np.uint8))
-            for s in slots(h):
+            for s in slots(h, size):
                 np.bitwise_or.at(part, s, mask)
-        for c in range(SLOTS // CHUNK):
+        for c in range(size // CHUNK):
             block = part[c * CHUNK:(c + 1) * CHUNK]
             if block.any():
                 yield pd.DataFrame({"chunk": [c], "block": [block.tobytes()]})
@@ -178,15 +215,76 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
 
     schema = "chunk int, block binary"
     rows = (kept.mapInPandas(fill, schema).repartition("chunk").sortWithinPartitions("chunk").mapInPandas(union, schema))
-    for r in rows.toLocalIterator():  # SLOTS * planes bytes in all
+    for r in rows.toLocalIterator():  # MOST_BYTES at most
         bits[r["chunk"] * CHUNK:(r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["block"]), np.uint8).reshape(-1, planes)
-    return LanguageModel(languages, bits, [int(totals.get(i, 0)) for i in range(len(languages))])
+    return LanguageModel(languages, bits, totals)
+
+
+def _joined(docs: DataFrame, model: LanguageModel, text: str) -> DataFrame:
+    """(key, p) for every distinct text's md5: the answer by an exact join of its n-grams.
+
+    The most frequent n-grams are looked up in memory, so that none of them is a
+    hot key of the join; the others go to it, each once a text with its count."""
+    spark, many = docs.sparkSession, len(model.languages)
+    common = model.table.orderBy(F.desc("n"), "gram").limit(max(1, min(COMMON, MOST_BYTES // many))).toPandas()
+    known = np.sort(common["gram"].to_numpy().view(np.uint64))
+    member = np.zeros((len(known), many), bool)
+    at = np.searchsorted(known, common["gram"].to_numpy().view(np.uint64))
+    sizes = common["ls"].map(len).to_numpy()
+    member[np.repeat(at, sizes), np.concatenate([np.asarray(x) for x in common["ls"]])] = True
+    lookup = spark.sparkContext.broadcast((known, member))
+    plain = LanguageModel(model.languages, None, model.totals)
+
+    def split(batches):
+        """A text's counts by language with its number of n-grams (gram null), and its other n-grams."""
+        known, member = lookup.value
+        for pdf in batches:
+            held, size = [], 0
+            for key, body in zip(pdf["key"], pdf["body"]):
+                h, letter = grams(body)
+                u, n = np.unique(h if letter else h[:0], return_counts=True)
+                at = np.minimum(np.searchsorted(known, u), len(known) - 1)
+                here = known[at] == u
+                got = (member[at[here]] * n[here][:, None]).sum(axis=0)
+                held.append(pd.DataFrame({"key": [key], "gram": pd.array([None], "Int64"), "n": [int(n.sum())], "got": [got]}))
+                held.append(pd.DataFrame({"key": key, "gram": pd.array(u[~here].view(np.int64), "Int64"), "n": n[~here], "got": None}))
+                size += len(held[-1])
+                if size > CHUNK:
+                    yield pd.concat(held)
+                    held, size = [], 0
+            if held:
+                yield pd.concat(held)
+
+    # an equal text's rows are equal, so one of each is kept
+    src = docs.where(F.col(text).isNotNull()).select(F.md5(text).alias("key"), F.col(text).alias("body"))
+    rows = cut_lineage(src.mapInPandas(split, "key string, gram long, n long, got array<long>"))
+    own = rows.where("gram is null").groupBy("key").agg(F.first("n").alias("n"), F.first("got").alias("got"))
+    found = (rows.where("gram is not null").select("key", "gram", "n")
+             .join(model.table.select("gram", "ls"), "gram").dropDuplicates(["key", "gram"]))
+    sums = (found.select("key", "n", F.explode("ls").alias("l")).groupBy("key")
+            .agg(*[F.sum(F.when(F.col("l") == i, F.col("n")).otherwise(0)).alias(f"s{i}") for i in range(many)])
+            .select("key", F.array(*[f"s{i}" for i in range(many)]).alias("more")))
+
+    @F.pandas_udf("lang_pred string, score double, n_grams long")
+    def decide(n: pd.Series, got: pd.Series, more: pd.Series) -> pd.DataFrame:
+        out = [plain.choose(np.asarray(g) + (0 if m is None else np.asarray(m)), k) if k else (UNKNOWN, 0.0, 0)
+               for k, g, m in zip(n, got, more)]
+        return pd.DataFrame(out, columns=["lang_pred", "score", "n_grams"])
+
+    return own.join(sums, "key", "left").select("key", decide("n", "got", "more").alias("p"))
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Add ``lang_pred``, ``score`` and ``n_grams`` (same-named columns of the
     input are replaced).  Null text, or text without a letter: ``und``, score 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS * ceil(languages / 8) bytes
+    names = ["lang_pred", "score", "n_grams"]
+    rest = [F.col(f"d.{c}") for c in docs.columns if c not in names]
+    if model.table is not None:
+        answers = _joined(docs, model, text)
+        p = F.coalesce("p", F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_grams")))
+        return (docs.select(F.struct(*docs.columns).alias("d"), F.md5(text).alias("key")).join(answers, "key", "left")
+                .select("d", p.alias("p")).select(*rest, *[F.col(f"p.{c}") for c in names]))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_BYTES at most
 
     @F.pandas_udf("lang_pred string, score double, n_grams long")
     def decide(bodies: pd.Series) -> pd.DataFrame:
@@ -194,8 +292,6 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
         return pd.DataFrame([m.decide(b) if b is not None else (UNKNOWN, 0.0, 0) for b in bodies],
                             columns=["lang_pred", "score", "n_grams"])
 
-    names = ["lang_pred", "score", "n_grams"]
-    rest = [F.col(f"d.{c}") for c in docs.columns if c not in names]
     return (docs.select(F.struct(*docs.columns).alias("d"), decide(F.col(text)).alias("p"))
             .select(*rest, *[F.col(f"p.{c}") for c in names]))
 
