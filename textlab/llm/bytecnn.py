@@ -17,12 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.llm.rolling import word_bounds, word_hashes
 
 TRAIN_ROWS = 4000
+TRAIN_TEXTS = 8
 TRAIN_CHUNKS = 6
 TRAIN_BYTES = 512
 STEPS = 900
@@ -150,8 +151,10 @@ def training_chunks(raw: bytes) -> list[bytes]:
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id",
           label: str = "quality", rows: int = TRAIN_ROWS) -> ByteCNN:
-    """Fit on at most ``rows`` labelled documents.  Null ids or labels are left
-    out; repeated ids count once per row; null text counts as empty."""
+    """Fit on at most ``rows`` labels and ``2 * rows`` texts.  Null ids or labels are
+    left out, null text counts as empty.  Rows that repeat an id and its text count
+    once.  Of an id with several texts at most TRAIN_TEXTS are taken, and a second
+    one only where every id has its first."""
     picked = (labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
               .where("id is not null and y is not null").distinct()
               .orderBy(F.xxhash64("id"), "id", "y").limit(rows))
@@ -162,8 +165,12 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     # the sample is broadcast: at most `rows` ids
     got = (docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-           .join(F.broadcast(picked), "id").select("id", "y", cut("body").alias("c")))
-    got = sorted(((r["id"], r["y"], [bytes(x) for x in r["c"]]) for r in got.collect()))[:2 * rows]
+           .join(F.broadcast(picked), "id").withColumn("h", F.xxhash64("body")))
+    # combined before the shuffle, so a repeated id is no hot key; the ranks are over TRAIN_TEXTS rows an id at most
+    got = (got.groupBy("id", "y", F.expr(f"pmod(h, {TRAIN_TEXTS})").alias("part")).agg(F.min(F.struct("h", "body")).alias("t"))
+           .withColumn("rank", F.row_number().over(Window.partitionBy("id", "y").orderBy("t.h")))
+           .orderBy("rank", F.xxhash64("id"), "id", "y").limit(2 * rows).select("id", "y", cut("t.body").alias("c")))
+    got = sorted((r["id"], r["y"], [bytes(x) for x in r["c"]]) for r in got.collect())
     return fit([g[2] for g in got], np.array([g[1] for g in got], np.float32))
 
 
