@@ -39,11 +39,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group at a similarity of 0.8 or
-    more over five-word shingles; rows that repeat an id and its text count as one.
-    Documents without an id link with nothing and stay."""
-    kept = superminhash.near_duplicates(docs, k=5, num=80, den=100).where("kept").select("doc_id").distinct()
-    named = (docs.where("doc_id is not null").join(kept, "doc_id").withColumn("_h", F.xxhash64("text"))
-             .dropDuplicates(["doc_id", "_h"]))
+    more over five-word shingles, and of that id the text with the smallest hash;
+    rows that repeat an id and its text count as one.  Documents without an id link
+    with nothing and stay."""
+    kept = superminhash.representatives(docs, k=5, num=80, den=100)
+    named = (docs.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text")).join(kept, ["doc_id", "text_hash"])
+             .dropDuplicates(["doc_id", "text_hash"]))
     return named.select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
 
 

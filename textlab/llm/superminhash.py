@@ -70,6 +70,8 @@ def shingles_of(text: str, k: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    also = [c for c in docs.columns if c not in ("doc_id", "body")]  # whole numbers that stay with their row
+
     def work(batches):
         for pdf in batches:
             out = []
@@ -78,9 +80,9 @@ def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 key = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
                 out.append((len(s), key, band_keys(signature(s, bands * rows), rows).view(np.int64) if len(s) else None))
             more = pd.DataFrame(out, columns=["n_shingles", "node", "bands"])
-            yield pd.concat([pdf[["doc_id"]].astype("Int64").reset_index(drop=True), more], axis=1)
+            yield pd.concat([pdf[["doc_id", *also]].astype("Int64").reset_index(drop=True), more], axis=1)
 
-    return docs.mapInPandas(work, "doc_id long, n_shingles long, node long, bands array<long>")
+    return docs.mapInPandas(work, ", ".join(f"{c} long" for c in ["doc_id", *also, "n_shingles", "node"]) + ", bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -214,6 +216,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     With 25 bands of 4 a pair at similarity 0.8 shares no band with probability
     2e-6; with 20 of 5 a pair at 0.85 with 8e-6."""
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    out = _classes(src, k, num, den, bands, rows)
+    comp = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"),
+                      F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
+
+
+def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 25, rows: int = 4,
+                    text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, text_hash) of the one document that stays of each class of
+    :func:`near_duplicates`: smallest id, then smallest xxhash64 of the text, as an
+    id may have several texts.  Texts without a word are classes of their own;
+    rows without an id are left out."""
+    src = docs.where(F.col(doc_id).isNotNull()).select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"), F.xxhash64(text).alias("text_hash"))
+    lone = F.col("class").isNull()
+    return (_classes(src, k, num, den, bands, rows).where(lone | (F.col("doc_id") == F.col("component_id")))
+            .groupBy("class", F.when(lone, F.col("doc_id")).alias("d"), F.when(lone, F.col("text_hash")).alias("h"))
+            .agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash"))
+
+
+def _classes(src: DataFrame, k: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
+    """The rows of src (doc_id, body and whole numbers) without body, with
+    n_shingles, class and component_id, both null where the row links with nothing.
+    Different classes have the same component_id where an id has several texts."""
     sigs = cut_lineage(_signatures(src, k, bands, rows))
     nodes = cut_lineage(sigs.where("n_shingles > 0 and doc_id is not null").groupBy("node")
                         .agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
@@ -235,9 +261,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     final = components(rest.unionByName(stars))
     named = comp_of(nodes.select("node", "doc_id"), final)
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(least, "comp").select(F.col("node").alias("n"), "component_id")
-    out = sigs.select("doc_id", "n_shingles", "node").join(
-        found, (F.col("node") == F.col("n")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
-    comp = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
+    found = named.join(least, "comp").select(F.col("node").alias("n"), F.col("comp").alias("class"), "component_id")
+    return sigs.drop("bands").join(
+        found, (F.col("node") == F.col("n")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left").drop("node", "n")
