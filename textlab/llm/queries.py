@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bcr, bpe, bytecnn, fmindex, hnsw, imatch, langid, packing, sql, superminhash, warc
+from textlab.llm import bcr, bpe, bytecnn, fmindex, hnsw, imatch, langid, linededup, packing, sql, superminhash, warc
 from textlab.llm.common import read
 from textlab.session import tables_dir
 
@@ -68,6 +68,11 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (langid.bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_line_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.remove_repeated_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_hnsw": op1_hnsw,
     "op2_warc": op2_warc,
@@ -79,6 +84,7 @@ QUERIES = {
     "op8_column_bwt": op8_column_bwt,
     "op9_best_fit": op9_best_fit,
     "op10_byte_cnn": op10_byte_cnn,
+    "op11_line_bloom": op11_line_bloom,
 }
 
 SQL: dict[str, str] = {
@@ -87,4 +93,5 @@ SQL: dict[str, str] = {
     "op3_superminhash": sql.OP3,
     "op7_fm_index": sql.OP7,
     "op8_column_bwt": sql.OP8,
+    "op11_line_bloom": sql.OP11,
 }

@@ -84,3 +84,16 @@ SELECT b.doc_id, b.n AS n_bytes, coalesce(c.n_removed, 0)::BIGINT AS n_removed,
     array_to_string(list_transform(range(0, c.n_spans + 1), lambda j:
       substr(b.x, 2 * coalesce(c.his[j], 0) + 1, 2 * (coalesce(c.los[j + 1], b.n) - coalesce(c.his[j], 0)))), '') END)) AS kept_sha256
 FROM b LEFT JOIN cuts c ON c.doc_id = b.doc_id"""
+
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP11 = f"""WITH l AS MATERIALIZED (
+  SELECT doc_id, i, x[i] AS line, translate(trim(x[i], {_SPACE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))
+), r AS (
+  SELECT k, min(doc_id) AS first FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1
+), j AS (SELECT l.*, r.first IS NOT NULL AND l.doc_id > r.first AS gone FROM l LEFT JOIN r ON r.k = l.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id"""
