@@ -226,8 +226,9 @@ def remove_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "do
     sent = _sent(blocks, slices).repartitionById(slices, F.col("slice")).sortWithinPartitions("slice")
     suspects = cut_lineage(_suspects(blocks, _answers(sent, -(-keys // slices) + 64)))
 
-    repeated = (suspects.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-                .where("first < last").select("digest", "first"))
+    # written, so that both sides of the join are plain exchanges and AQE may split a line with very many suspects
+    repeated = cut_lineage(suspects.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+                           .where("first < last").select("digest", "first"))
     drops = (suspects.join(repeated, "digest").where("doc_id > first").groupBy("doc_id", "text_hash")
              .agg(F.collect_set("digest").alias("gone")))  # a text's own lines at most
 

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bcr, bpe, bytecnn, fmindex, hnsw, imatch, langid, linededup, packing, sql, superminhash, warc
+from textlab.llm import bcr, bpe, bytecnn, fmindex, hnsw, imatch, langid, linededup, packing, repair, sql, superminhash, warc
 from textlab.llm.common import read
 from textlab.session import tables_dir
 
@@ -73,6 +73,11 @@ def op11_line_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_path_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair(repair.damage(rows), rows)
+
+
 QUERIES = {
     "op1_hnsw": op1_hnsw,
     "op2_warc": op2_warc,
@@ -85,6 +90,7 @@ QUERIES = {
     "op9_best_fit": op9_best_fit,
     "op10_byte_cnn": op10_byte_cnn,
     "op11_line_bloom": op11_line_bloom,
+    "op12_path_repair": op12_path_repair,
 }
 
 SQL: dict[str, str] = {
@@ -94,4 +100,5 @@ SQL: dict[str, str] = {
     "op7_fm_index": sql.OP7,
     "op8_column_bwt": sql.OP8,
     "op11_line_bloom": sql.OP11,
+    "op12_path_repair": sql.OP12,
 }

@@ -97,3 +97,85 @@ OP11 = f"""WITH l AS MATERIALIZED (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id"""
+
+
+def _op12() -> str:
+    """The states' best paths as strings: six digits of cost, then the audit, so
+    that the least string is the cheapest and then ASCII-least path; ``~`` is no path."""
+    def step(state, cost, letter):
+        return (f"CASE WHEN {state} = '~' THEN '~' ELSE lpad((substr({state}, 1, 6)::INT + {cost})::VARCHAR, 6, '0') "
+                f"|| substr({state}, 7) || '{letter}' END")
+
+    def put(n, s, u, a):
+        """After the insertions that can pay."""
+        once = f"least({u}, {step(n, 2, 'I')}, {step(s, 2, 'I')}, {step(a, 2, 'I')})"
+        return once, f"least({a}, {step(once, 2, 'I')})"
+
+    def may(test, x):
+        return f"CASE WHEN {test} THEN {x} ELSE '~' END"
+
+    kept = {
+        "n0": step("n", 3, "D"),
+        "s0": f"least({step('s', 3, 'D')}, {may('ok AND c = ' + repr('s'), step('n', 't', 'K'))})",
+        "u0": "least({}, {})".format(step("u", 3, "D"), ", ".join(
+            may("ok AND c = 'u'", step(x, "t", "K")) + ", " + may("ok", step(x, "(2 + t)", "R")) for x in "nsa")),
+        "a0": f"least({step('a', 3, 'D')}, {may('ok AND c = ' + repr('a'), step('u', 't', 'K'))}, {may('ok', step('u', '(2 + t)', 'R'))})",
+    }
+    u1, a1 = put("n0", "s0", "u0", "a0")
+    space = _SPACE
+    return f"""WITH RECURSIVE base AS MATERIALIZED (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), crc AS (
+  SELECT DISTINCT key, 0 AS i, 4294967295::BIGINT AS c FROM base
+  UNION ALL
+  SELECT key, i + 1, xor(x >> 1, 3988292384 * (x & 1)) FROM (
+    SELECT key, i, CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(key, 1 + i // 8, 1))) ELSE c END AS x FROM crc WHERE i < 8 * length(key))
+), damaged AS MATERIALIZED (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT b.*, xor(c, 4294967295) % 20 AS k FROM base b JOIN crc ON crc.key = b.key AND crc.i = 8 * length(b.key)),
+    LATERAL (SELECT unnest(CASE k WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy)
+), m AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, substr(role, 1, 1) AS c,
+    trim(text, {space}) AS body, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS c_before
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged)
+), f AS MATERIALIZED (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM m
+), sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE c_before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+), dp AS (
+  SELECT conv_id, 0 AS i, '000000' AS n, '~' AS s, '000002I' AS u, '000004II' AS a FROM sums
+  UNION ALL
+  SELECT conv_id, i, n0, s0, u1, a1 FROM (SELECT *, {a1.replace(u1, 'u1')} AS a1 FROM (SELECT *, {u1} AS u1 FROM (
+    SELECT conv_id, i, {', '.join(f'{v} AS {k}' for k, v in kept.items())} FROM (
+      SELECT d.conv_id, f.i, d.n, d.s, d.u, d.a, f.c, f.fault NOT IN ('blank', 'duplicate') AS ok,
+        CASE WHEN f.fault = 'truncated' THEN 1 ELSE 0 END AS t
+      FROM dp d JOIN f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.i = d.i + 1))))
+), best AS (
+  SELECT d.conv_id, substr(least(d.n, d.a), 1, 6)::BIGINT AS cost, substr(least(d.n, d.a), 7) AS audit
+  FROM dp d JOIN sums x ON x.conv_id IS NOT DISTINCT FROM d.conv_id AND d.i = x.n
+), fixed AS (
+  SELECT conv_id, audit, 0 AS p, 0 AS i, '' AS now, '' AS body FROM best
+  UNION ALL
+  SELECT conv_id, audit, p, i, CASE WHEN e = 'D' THEN now ELSE role[1:1] END,
+    CASE WHEN e = 'D' THEN body ELSE body || CASE WHEN now = '' THEN '' ELSE chr(10) END || role || ':' || text END
+  FROM (
+    SELECT x.conv_id, audit, p + 1 AS p, CASE WHEN e = 'I' THEN x.i ELSE x.i + 1 END AS i, now, x.body, e,
+      CASE WHEN e = 'K' THEN f.role WHEN now = 'u' THEN 'assistant' ELSE 'user' END AS role, CASE WHEN e = 'I' THEN '' ELSE f.text END AS text
+    FROM (SELECT *, audit[p + 1:p + 1] AS e FROM fixed WHERE p < length(audit)) x
+    LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.i = x.i + 1)
+)
+SELECT o.conv_id, coalesce(x.gaps, 0) AS gaps, coalesce(x.blank, 0) AS blank, coalesce(x.duplicate, 0) AS duplicate,
+  coalesce(x.truncated, 0) AS truncated, coalesce(x.illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit,
+  sha256(coalesce(r.body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN sums x ON x.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN fixed r ON r.conv_id IS NOT DISTINCT FROM o.conv_id AND r.p = length(r.audit)"""
+
+
+OP12 = _op12()
