@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bcr, bpe, bytecnn, fmindex, hnsw, imatch, langid, linededup, packing, repair, sql, superminhash, warc
+from textlab.llm import bcr, bpe, bytecnn, fmindex, hnsw, imatch, langid, linededup, orchard, packing, repair, sql, superminhash, warc
 from textlab.llm.common import read
 from textlab.session import tables_dir
 
@@ -78,6 +78,10 @@ def op12_path_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(rows), rows)
 
 
+def op13_orchard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.with_inertia(*orchard.cluster(read(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
 QUERIES = {
     "op1_hnsw": op1_hnsw,
     "op2_warc": op2_warc,
@@ -91,6 +95,7 @@ QUERIES = {
     "op10_byte_cnn": op10_byte_cnn,
     "op11_line_bloom": op11_line_bloom,
     "op12_path_repair": op12_path_repair,
+    "op13_orchard": op13_orchard,
 }
 
 SQL: dict[str, str] = {
@@ -101,4 +106,5 @@ SQL: dict[str, str] = {
     "op8_column_bwt": sql.OP8,
     "op11_line_bloom": sql.OP11,
     "op12_path_repair": sql.OP12,
+    "op13_orchard": sql.OP13,
 }

@@ -179,3 +179,33 @@ LEFT JOIN fixed r ON r.conv_id IS NOT DISTINCT FROM o.conv_id AND r.p = length(r
 
 
 OP12 = _op12()
+
+
+def _op13(rounds: int = 10) -> str:
+    """Every round in full: all distances, then sums by component."""
+    def assigned(i):
+        return f"""a{i} AS MATERIALIZED (
+  SELECT r, vec_id, v, min(struct_pack(d := d, c := c)) AS best FROM (
+    SELECT x.r, x.vec_id, x.v, y.c, list_sum(list_transform(range(1, 65), lambda j: (x.v[j] - y.v[j]) * (x.v[j] - y.v[j])))::BIGINT AS d
+    FROM kept x, c{i} y) GROUP BY ALL)"""
+
+    def moved(i):
+        return f"""c{i} AS MATERIALIZED (
+  SELECT y.c, coalesce(m.v, y.v) AS v FROM c{i - 1} y LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM (
+      SELECT best.c AS c, j, sum(v[j]) AS s, count(*) AS n FROM a{i - 1}, range(1, 65) t(j) GROUP BY 1, 2) GROUP BY c) m ON m.c = y.c)"""
+
+    steps = ", ".join(f"{assigned(i)}, {moved(i + 1)}" for i in range(rounds))
+    return f"""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (
+    SELECT sha256('3:' || vec_id) AS h, v FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 8)
+), {steps}, {assigned(rounds)}
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia,
+  sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(y.v, ',')) AS centroid_sha256
+FROM a{rounds} x JOIN c{rounds} y ON y.c = x.best.c"""
+
+
+OP13 = _op13()
