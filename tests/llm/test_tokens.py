@@ -35,6 +35,25 @@ def test_long_runs_and_added_tokens(text):
     assert packing.token_ids(text, PATH).tolist() == ids(text)
 
 
+@pytest.mark.parametrize("gap", [" ", "\t", "\n", " \n\t"])
+def test_more_than_a_million_white_space_characters(gap):
+    run = gap * (1_100_000 // len(gap))
+    body = f"{run}some{run}words<|endoftext|>{run}"
+    assert packing.token_ids(body, PATH).tolist() == ids(body)
+
+
+def test_runs_at_the_border(monkeypatch):
+    monkeypatch.setattr(packing, "LONG_RUN", 300)
+    for body in (" " * 299 + "x", "a" + " " * 300 + "x y", "\n" * 301, "b " * 400):
+        assert packing.token_ids(body, PATH).tolist() == ids(body)
+
+
+def test_packing_of_a_long_run(spark):
+    rows = [(1, " " * 1_200_000, *(None,) * 7), (2, "a b", *(None,) * 7)]
+    got = packing.pack_documents(frame(spark, rows), PATH).collect()
+    assert sum(r.length for r in got if r.doc_id == 1) == len(ids(rows[0][1])) + 1
+
+
 def test_cuts_are_certain():
     enc = bpe.encoder(PATH)
     piece = "naïveté§ßx".encode()

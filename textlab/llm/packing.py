@@ -10,8 +10,8 @@ the open bins of the tasks before it."""
 
 from __future__ import annotations
 
-import base64
 import functools
+import re
 import zlib
 from array import array
 
@@ -42,9 +42,22 @@ def _fast(path: str):
                              mergeable_ranks={b: i for b, i in enc.id.items() if b.decode("utf-8", "replace") not in added})
 
 
+#: Runs of white space from this length on are not given to the compiled encoder: its
+#: pattern steps back through them and runs out of stack at about a million.
+LONG_RUN = 1 << 16
+
+
+def _has_long_run(text: str) -> bool:
+    return (len(text) >= LONG_RUN and re.search(r"\s{256}", text) is not None
+            and any(m.end() - m.start() >= LONG_RUN for m in re.finditer(r"\s+", text)))
+
+
 def token_ids(text: str, path: str) -> np.ndarray:
-    """Ids of a text as unsigned 32-bit integers; added tokens in it are themselves."""
+    """Ids of a text as unsigned 32-bit integers; added tokens in it are themselves.
+    A text with a very long run of white space is encoded by op5's encoder."""
     enc, fast = encoder(path), _fast(path)
+    if _has_long_run(text):
+        return np.array(enc.encode(text).split(","), "<u4")
     parts, at = [], 0
     for m in enc.split.finditer(text) if enc.split else ():
         parts += [array("I", fast.encode_ordinary(text[at:m.start()])), array("I", [enc.added[m.group()]])]
