@@ -15,6 +15,7 @@ from textlab.operators import classify as K
 from textlab.operators import clustering as CL
 from textlab.operators import coherence as H
 from textlab.operators import lda as LD
+from textlab.operators import lda_vb as VB
 from textlab.operators import stats as S
 from textlab.operators import topics as TP
 from textlab.operators.lexicon import signed_score
@@ -67,21 +68,35 @@ def q_batch_score(spark, sf):
 
 def q_lda_topics(spark, sf):
     """T3 + K2: LDA with k = 5 on the composed corpus, one text line per topic."""
-    docs = cut_lineage(lda_corpus(spark, sf))
-    cvm, vec = LD.count_vectors(docs, "toks")
-    return LD.topic_lines(LD.topic_terms(spark, LD.fit_lda(vec, 5), cvm.vocabulary, 10))
+    fit = VB.fit(cut_lineage(lda_corpus(spark, sf)), "doc_id", "toks", [5])
+    return LD.topic_lines(VB.topic_terms(fit, 10))
+
+
+def q_lda_perplexity(spark, sf):
+    """Log perplexity of every pass of the models with 2, 5 and 10 topics, fitted together."""
+    fit = VB.fit(cut_lineage(lda_corpus(spark, sf)), "doc_id", "toks", [2, 5, 10])
+    fit.close()
+    return VB.perplexity_curve(spark, fit).withColumn("log_perplexity", r6("log_perplexity"))
+
+
+def q_lda_mixtures(spark, sf):
+    """Every document's mixture of the model with k = 5."""
+    fit = VB.fit(cut_lineage(lda_corpus(spark, sf)), "doc_id", "toks", [5])
+    return VB.mixtures(fit, 5).select(F.col("id").alias("doc_id"), "n_tokens", F.transform("mixture", r6).alias("mixture"))
 
 
 def q_lda_intertopic(spark, sf):
     """T8 on an LDA model with k = 5: prevalence, Jensen-Shannon distances as
     two coordinates and the mean distance of each topic to the others."""
-    docs = cut_lineage(lda_corpus(spark, sf))
-    _, vec = LD.count_vectors(docs, "toks")
-    return LD.intertopic(spark, LD.fit_lda(vec, 5), vec, "toks")
+    fit = VB.fit(cut_lineage(lda_corpus(spark, sf)), "doc_id", "toks", [5])
+    out = VB.intertopic(spark, fit, 5)
+    fit.close()
+    return out
 
 
 def q_lda_sweep(spark, sf):
-    """T4 + T9: k = 1..10 with mean c_v and log perplexity; best and local maxima."""
+    """T4 + T9: k = 1..10 with mean c_v and log perplexity, all models in the same
+    passes; best and local maxima (T7)."""
     docs = cut_lineage(lda_corpus(spark, sf))
     curve = LD.lda_sweep(docs, "toks", range(1, 11))
     flags = H.select_best(curve.where(F.col("coherence").isNotNull()), "k", "coherence")
@@ -200,6 +215,8 @@ QUERIES = {
     "batch_score": q_batch_score,
     "lda_topics": q_lda_topics,
     "lda_sweep": q_lda_sweep,
+    "lda_perplexity": q_lda_perplexity,
+    "lda_mixtures": q_lda_mixtures,
     "doc_embedding": q_doc_embedding,
     "topic_cluster": q_topic_cluster,
     "topic_reduce": q_topic_reduce,
