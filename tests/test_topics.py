@@ -226,3 +226,46 @@ def test_term_relevance(spark):
     want = 0.6 * math.log(0.75) + 0.4 * math.log(0.75 / 0.3)
     assert got[(0, "a")] == pytest.approx(want)
     assert got[(1, "b")] == pytest.approx(0.6 * math.log(1.0) + 0.4 * math.log(1.0 / 0.7))
+
+
+def joined_hash(s):
+    h = 0
+    for c in s:
+        h = (h * TP.HASH_BASE + ord(c)) % TP.HASH_MOD
+    return h
+
+
+@pytest.mark.parametrize("sep,buckets", [(" ", 1024), ("", 4), (" || ", 2)])
+def test_hash_of_joined_texts(spark, sep, buckets):
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["a", "b", None]), i * 7 % 101, "".join(rnd.choice("xyzé中 \U0001F600") for _ in range(rnd.randint(0, 30)))) for i in range(101)]
+    rows += [("c", 1, None), ("d", 5, "only"), ("e", 1, "L" * 200_000), ("e", 2, "é" * 70_000)]
+    df = spark.createDataFrame(rows, "topic string, id long, text string").repartition(4)
+    got = {r["topic"]: r for r in TP.concat_stats(df, "topic", "text", "id", sep, buckets).collect()}
+    for t in {r[0] for r in rows}:
+        mine = sorted((r[1], r[2] or "") for r in rows if r[0] == t)
+        s = sep.join(x for _, x in mine)
+        assert (got[t]["n_docs"], got[t]["n_chars"], got[t]["text_hash"]) == (len(mine), len(s), joined_hash(s))
+
+
+def test_probability_vector(spark):
+    emb = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.9, 0.1], 0), (3, [0.0, 1.0], 1)], "id int, v array<double>, label int")
+    labels, mat = TP.collect_centroids(TP.centroids(emb, "label", "v"), "label")
+    more = emb.select("id", "v").unionByName(spark.createDataFrame([(4, None), (5, [0.0, 0.0])], "id int, v array<double>"))
+    for r in TP.assign_topics(more, "v", labels, mat).collect():
+        if r["id"] > 3:
+            assert r["probabilities"] == [0.0, 0.0] and r["topic"] is None
+        else:
+            assert sum(r["probabilities"]) == pytest.approx(1.0) and max(r["probabilities"]) == pytest.approx(r["probability"])
+            assert int(np.argmax(r["probabilities"])) == r["topic"]
+
+
+def test_many_models_equal_one_at_a_time(spark):
+    rnd = random.Random(8)
+    df = spark.createDataFrame([(i, [rnd.choice("abcdefgh") for _ in range(9)]) for i in range(40)], "id int, toks array<string>")
+    both = df.selectExpr("toks", "id % 2 t2", "id % 5 t5")
+    got = {(r["model"], r["topic"], r["word"]): r["weight"] for r in TP.model_ctfidf(TP.model_term_counts(both, {2: "t2", 5: "t5"}, "toks")).collect()}
+    for k in (2, 5):
+        for r in TP.ctfidf(df.withColumn("t", F.col("id") % k), "t", "toks").collect():
+            assert got.pop((k, r["t"], r["word"])) == pytest.approx(r["weight"])
+    assert not got

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textlab.functions.clean import _c, map_literal
 from textlab.functions.stats_fn import normal_two_sided_p
+from textlab.session import cut_lineage
 
 SENTIMENT_NAMES = {-1: "Negative", 0: "Neutral", 1: "Positive"}
 USER_GROUPS = {"y": "vapers", "n": "non-vapers"}
@@ -61,22 +62,23 @@ def two_prop_ztest(df: DataFrame, group: str, cat: str, categories: list | None
     every non-null category.  ``categories`` picks and completes the rows of the
     result (one absent from the data counts 0); None reports every category of
     the data.  Output: (cat, count_1, nobs_1, count_2, nobs_2, z, p)."""
-    n = (df.groupBy(group, cat).agg(F.count(F.lit(1)).alias("n"))
-           .where(F.col(group).isNotNull() & F.col(cat).isNotNull()))
-    # The aggregated table (#groups x #categories rows) as one row: no join is
-    # needed to bring every category together with both group totals.
-    one = n.agg(F.collect_list(F.struct(F.col(group).alias("g"), F.col(cat).alias("c"), "n")).alias("t"))
-    one = one.withColumn("gs", F.array_sort(F.array_distinct(F.transform("t", lambda x: x["g"]))))
-
-    def count(i: int, which=None) -> Column:
-        rows = F.filter("t", lambda x: (x["g"] == F.get("gs", F.lit(i))) & (which(x) if which else F.lit(True)))
-        return F.aggregate(rows, F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
-
-    cats = F.array(*[F.lit(c) for c in categories]) if categories is not None else F.array_distinct(F.transform("t", lambda x: x["c"]))
-    one = one.select("t", "gs", count(0).alias("nobs_1"), count(1).alias("nobs_2"), cats.alias("cats"))
-    each = one.select("t", "gs", "nobs_1", "nobs_2", F.explode("cats").alias(cat))
-    g = each.select(cat, count(0, lambda x: x["c"] == F.col(cat)).alias("count_1"), "nobs_1",
-                    count(1, lambda x: x["c"] == F.col(cat)).alias("count_2"), "nobs_2", F.size("gs").alias("n_groups"))
+    n = cut_lineage(df.groupBy(group, cat).agg(F.count(F.lit(1)).alias("n"))
+                    .where(F.col(group).isNotNull() & F.col(cat).isNotNull()))
+    # Long form: the two group totals are two numbers, the counts conditional sums of each
+    # category, so an open category column stays spread over its keys.
+    totals = n.groupBy(group).agg(F.sum("n").alias("n")).orderBy(group).limit(3).collect()
+    names, nobs = [r[0] for r in totals] + [None] * 2, [r["n"] for r in totals] + [0, 0]
+
+    def count(i: int) -> Column:
+        own = F.col(group) == F.lit(names[i]) if names[i] is not None else F.lit(False)
+        return F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).cast("bigint").alias(f"count_{i + 1}")
+
+    g = n.groupBy(cat).agg(count(0), count(1))
+    if categories is not None:
+        listed = df.sparkSession.createDataFrame([(c,) for c in categories], [cat]).select(F.col(cat).cast(df.schema[cat].dataType).alias(cat))
+        g = listed.join(g, cat, "left").select(cat, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("count_1", "count_2")])
+    g = g.select(cat, "count_1", F.lit(nobs[0]).cast("bigint").alias("nobs_1"), "count_2", F.lit(nobs[1]).cast("bigint").alias("nobs_2"),
+                 F.lit(len(totals)).alias("n_groups"))
     p1 = F.try_divide(F.col("count_1").cast("double"), F.col("nobs_1"))
     p2 = F.try_divide(F.col("count_2").cast("double"), F.col("nobs_2"))
     pooled = F.try_divide((F.col("count_1") + F.col("count_2")).cast("double"),

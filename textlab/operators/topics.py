@@ -7,6 +7,8 @@ it is joined, so joins only ever see ``#topics`` or ``#topics x #words`` rows.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -50,6 +52,25 @@ def ctfidf_from_counts(tf: DataFrame, topic: str, truncate_mean: bool = True) ->
     return j.select(topic, "word", "tf", w.alias("weight"))
 
 
+def model_term_counts(df: DataFrame, models: dict, tokens: str) -> DataFrame:
+    """(model, topic, word, tf) of several topic models on the same documents in one
+    pass: ``models`` is model -> topic column.  A document's bag of words is made once."""
+    from textlab.operators.phrases import bag_of_words
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("topic")) for m, c in models.items()])
+    return (df.select(each.alias("ms"), bag_of_words(tokens).alias("bag")).select(F.explode("ms").alias("m"), "bag")
+              .select("m.model", "m.topic", F.explode("bag").alias("b")).groupBy("model", "topic", F.col("b.token").alias("word")).agg(F.sum("b.n").alias("tf")))
+
+
+def model_ctfidf(tf: DataFrame) -> DataFrame:
+    """B5 for every model of a (model, topic, word, tf) table: each model has its own
+    class totals, mean number of tokens and word totals.  (model, topic, word, tf, weight)."""
+    totals = tf.groupBy("model", "topic").agg(F.sum("tf").alias("class_total"))
+    totals = totals.withColumn("avg_tokens", F.floor(F.avg("class_total").over(Window.partitionBy("model"))))
+    freq = tf.groupBy("model", "word").agg(F.sum("tf").alias("word_total"))
+    w = (F.col("tf") / F.col("class_total")) * F.log(1.0 + F.col("avg_tokens") / F.col("word_total"))
+    return tf.join(totals, ["model", "topic"]).join(freq, ["model", "word"]).select("model", "topic", "word", "tf", w.alias("weight"))
+
+
 def top_words(weights: DataFrame, topic: str, n: int = 10) -> DataFrame:
     """The ``n`` heaviest words per topic (ties: word ascending) as
     (topic, rank, word, weight).  ``row_number() <= n`` is planned with a
@@ -86,12 +107,77 @@ def topic_info(docs: DataFrame, topic: str, doc_id: str, text: str, words: DataF
                           "Representation", "Representative_Docs"))
 
 
-def concat_stats(df: DataFrame, topic: str, text: str, sep: str = " ") -> DataFrame:
-    """A5 re-aimed: size of the per-topic concatenated text without building it
-    (n_docs, n_chars of the joined text)."""
-    return df.groupBy(topic).agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        (F.sum(F.length(text)) + (F.count(F.lit(1)) - 1) * len(sep)).cast("bigint").alias("n_chars"))
+#: Modulus and base of the hash of a joined text; products stay below 2**63.
+HASH_MOD, HASH_BASE = 2_147_483_647, 1_000_003
+#: Code points that are hashed together.
+_STEP = 1 << 16
+
+
+def _text_hash(text: str) -> int:
+    """``sum(c_i * BASE**(n - 1 - i)) % MOD`` over the code points, in pieces of bounded size."""
+    powers, out = _powers(), 0
+    for at in range(0, len(text), _STEP):
+        c = np.frombuffer(text[at:at + _STEP].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        out = (out * int(powers[len(c)]) + int(((c * powers[len(c) - 1::-1][:len(c)]) % HASH_MOD).sum())) % HASH_MOD
+    return out
+
+
+@functools.lru_cache(maxsize=1)
+def _powers() -> np.ndarray:
+    """BASE**0 .. BASE**_STEP modulo MOD."""
+    out = np.ones(1, np.int64)
+    while len(out) <= _STEP:
+        out = np.concatenate([out, out * pow(HASH_BASE, len(out), HASH_MOD) % HASH_MOD])
+    return out[:_STEP + 1]
+
+
+def _power_mod(n: np.ndarray) -> np.ndarray:
+    """BASE**n modulo MOD by repeated squaring."""
+    left, out, square = n.astype(np.int64), np.ones(len(n), np.int64), HASH_BASE
+    while left.any():
+        out = np.where(left & 1, out * square % HASH_MOD, out)
+        left, square = left >> 1, square * square % HASH_MOD
+    return out
+
+
+def concat_stats(df: DataFrame, topic: str, text: str, order: str, sep: str = " ", buckets: int = 1024) -> DataFrame:
+    """A5/U4: size and hash of each topic's texts joined by ``sep`` in ascending ``order``
+    (a number; ties by length, then hash): (topic, n_docs, n_chars, text_hash), without joining them.
+
+    The hash is polynomial, so a text adds its own hash times the base to the power of the
+    code points behind it.  Those are found in two steps: a window over the sums of the
+    ranges of ``order`` between its quantiles, and one inside each range.  The terms are then
+    added with map-side combining: a topic is never one string, one group or one window.
+    Null texts count as empty, null orders come first."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    cuts = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
+    bounds = np.unique(np.array(cuts, float))
+
+    @F.pandas_udf("b int, n long, h long")
+    def hashed(texts: pd.Series, orders: pd.Series) -> pd.DataFrame:
+        o = pd.to_numeric(orders).to_numpy(float, na_value=-np.inf)
+        return pd.DataFrame({"b": np.searchsorted(bounds, o, side="right").astype(np.int32), "n": [len(x) for x in texts],
+                             "h": [_text_hash(x) for x in texts]})
+
+    rows = cut_lineage(df.select(F.col(topic).alias("t"), F.col(order).alias("o"), hashed(t, F.col(order)).alias("s"))
+                       .select("t", "o", "s.*"))  # numbers only
+    gap = len(sep)
+    behind = Window.unboundedPreceding, -1
+    ranges = rows.groupBy("t", "b").agg(F.sum(F.col("n") + gap).alias("size"))
+    after = ranges.select(F.col("t").alias("t2"), F.col("b").alias("b2"), F.coalesce(F.sum("size").over(
+        Window.partitionBy("t").orderBy(F.desc("b")).rowsBetween(*behind)), F.lit(0)).alias("after"))
+    own = F.coalesce(F.sum(F.col("n") + gap).over(
+        Window.partitionBy("t", "b").orderBy(F.desc_nulls_last("o"), F.desc("n"), F.desc("h")).rowsBetween(*behind)), F.lit(0))
+    placed = rows.withColumn("own", own).join(after, F.col("t").eqNullSafe(F.col("t2")) & (F.col("b") == F.col("b2")))
+    at = F.col("own") + F.col("after")
+    power = F.pandas_udf(lambda n: pd.Series(_power_mod(n.to_numpy())), "long")
+    # the separator in front of a text; the first text has none
+    sep_term = F.lit(_text_hash(sep)) * power(at + F.col("n")) % HASH_MOD
+    g = placed.select("t", "n", (F.col("h") * power(at) % HASH_MOD).alias("x"), sep_term.alias("y"), (at + F.col("n")).alias("front")) \
+        .groupBy("t").agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("n") + (F.count(F.lit(1)) - 1) * gap).cast("bigint").alias("n_chars"),
+                          F.sum("x").alias("x"), F.sum("y").alias("y"), F.max_by("y", "front").alias("first"))
+    return g.select(F.col("t").alias(topic), "n_docs", "n_chars",
+                    F.pmod(F.col("x") + F.col("y") - F.col("first"), F.lit(HASH_MOD)).cast("bigint").alias("text_hash"))
 
 
 # ------------------------------------------------------------ embeddings side
@@ -115,14 +201,15 @@ def collect_centroids(cent: DataFrame, label: str):
 
 def assign_topics(df: DataFrame, vec: str, labels, mat) -> DataFrame:
     """Nearest centroid by cosine (ties: smaller topic id) and, B6/F18,
-    the largest softmax probability over the centroid similarities.  A vector
-    without direction (null, zero) gets no topic and probability 0.
+    ``probabilities``, the softmax over the centroid similarities in the order of
+    ``labels``, with its maximum ``probability``.  A vector without direction (null,
+    zero) gets no topic, probability 0 and 0 for every topic.
 
     One matrix product per Arrow batch; the model is broadcast."""
     norm = np.linalg.norm(mat, axis=1)
     shared = df.sparkSession.sparkContext.broadcast((np.asarray(labels), mat / np.where(norm == 0, 1.0, norm)[:, None]))
 
-    @F.pandas_udf("topic int, similarity double, probability double")
+    @F.pandas_udf("topic int, similarity double, probability double, probabilities array<double>")
     def nearest(vectors: pd.Series) -> pd.DataFrame:
         names, unit = shared.value
         v = np.array([x if x is not None else np.zeros(unit.shape[1]) for x in vectors], dtype=float).reshape(len(vectors), -1)
@@ -130,8 +217,10 @@ def assign_topics(df: DataFrame, vec: str, labels, mat) -> DataFrame:
         sim = (v @ unit.T) / np.where(n == 0, 1.0, n)[:, None]
         best = sim.argmax(axis=1)
         top = sim[np.arange(len(sim)), best]
-        p = 1.0 / np.exp(sim - top[:, None]).sum(axis=1)
-        out = pd.DataFrame({"topic": pd.array(names[best], dtype="Int32"), "similarity": top, "probability": p})
+        each = np.exp(sim - top[:, None])
+        p = 1.0 / each.sum(axis=1)
+        each = np.where((n == 0)[:, None], 0.0, each * p[:, None])
+        out = pd.DataFrame({"topic": pd.array(names[best], dtype="Int32"), "similarity": top, "probability": p, "probabilities": list(each)})
         out.loc[n == 0, ["topic", "similarity"]] = None
         out.loc[n == 0, "probability"] = 0.0
         return out
@@ -152,10 +241,13 @@ def topic_cosine(weights: DataFrame, topic: str) -> DataFrame:
         F.slice("ts", i + 1, F.size("ts")), lambda y: F.struct(x["t"].alias("a"), y["t"].alias("b"), (x["w"] * y["w"]).alias("p")))))
     g = (per_word.select(F.explode(pairs).alias("s")).groupBy("s.a", "s.b").agg(F.sum("s.p").alias("dot")))
     norms = g.where("a = b").select(F.col("a").alias("t"), F.sqrt("dot").alias("n"))
-    # every pair, also those without a common word: #topics squared rows
-    every = (norms.agg(F.collect_list(F.struct("t", "n")).alias("x"))
-             .select(F.explode("x").alias("l"), "x").select("l", F.explode("x").alias("r")).where("l.t < r.t"))
-    out = every.select(F.col("l.t").alias("a"), F.col("r.t").alias("b"), (F.col("l.n") * F.col("r.n")).alias("nn")).join(g, ["a", "b"], "left")
+    # every pair, also those without a common word: each topic is numbered (one row a topic) and
+    # asks for the numbers behind its own, so the pairs come from joins by number on many tasks
+    numbered = cut_lineage(norms.withColumn("i", F.row_number().over(Window.orderBy("t"))))
+    k = numbered.count()
+    left = numbered.where(F.col("i") < k).select(F.col("t").alias("a"), F.col("n").alias("na"), F.explode(F.sequence(F.col("i") + 1, F.lit(k))).alias("i"))
+    every = left.join(numbered.select("i", F.col("t").alias("b"), F.col("n").alias("nb")), "i")
+    out = every.select("a", "b", (F.col("na") * F.col("nb")).alias("nn")).join(g, ["a", "b"], "left")
     cos = F.try_divide(F.coalesce("dot", F.lit(0.0)), F.col("nn"))
     return out.select(F.col("a").alias("topic_a"), F.col("b").alias("topic_b"), cos.alias("cosine"), (1.0 - cos).alias("distance"))
 

@@ -56,7 +56,8 @@ def q_topic_first_docs(spark, sf):
 
 
 def q_docs_per_topic(spark, sf):
-    return TP.concat_stats(topic_docs(spark, sf), "topic", "text")
+    """A5/U4: size and hash of each topic's texts joined by a space in the order of the ids."""
+    return TP.concat_stats(topic_docs(spark, sf).select("topic", "doc_id", "text"), "topic", "text", "doc_id")
 
 
 def q_topic_distance(spark, sf):
@@ -102,11 +103,10 @@ def q_best_k(spark, sf):
     """A15/T7 over a sweep of models k = 2..10 (topic = doc_id mod k): mean
     u_mass per k, best k and local maxima of the curve."""
     base = _materialized_docs(spark, sf).select("doc_id", "toks")
-    topics = {}
-    for k in SWEEP:
-        docs = base.withColumn("topic", (F.col("doc_id") % k).cast("int"))
-        top = TP.top_words(TP.ctfidf(docs, "topic", "toks"), "topic", TOP_N)
-        topics |= {f"{k}:{t}": ws for t, ws in H.collect_topic_words(top).items()}
+    docs = base.select("toks", *[(F.col("doc_id") % k).cast("int").alias(f"t{k}") for k in SWEEP])
+    tf = cut_lineage(TP.model_term_counts(docs, {k: f"t{k}" for k in SWEEP}, "toks"))  # one pass for all models
+    named = TP.model_ctfidf(tf).select(F.concat_ws(":", "model", "topic").alias("topic"), "word", "weight")
+    topics = H.collect_topic_words(TP.top_words(named, "topic", TOP_N))
     # the words of all models are counted in one pass
     u = H.umass(base, "toks", topics).withColumn("k", F.substring_index("topic", ":", 1).cast("int"))
     curve = u.groupBy("k").agg(F.avg("umass").alias("coherence")).select("k", r6(F.col("coherence")).alias("coherence"))
@@ -127,6 +127,15 @@ def q_doc_topic_probability(spark, sf):
     return _assigned(spark, sf).select("vec_id", "topic", r6(F.col("probability")).alias("probability"))
 
 
+def q_doc_topic_vector(spark, sf):
+    """The probability of every topic for every vector, one row each."""
+    labels, mat = TP.collect_centroids(TP.centroids(load_table(spark, sf, "embeddings"), "label", "embedding"), "label")
+    emb = load_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    names = F.array(*[F.lit(int(x)) for x in labels])
+    long = TP.assign_topics(emb, "embedding", labels, mat).select("vec_id", F.posexplode("probabilities").alias("i", "p"))
+    return long.select("vec_id", F.get(names, F.col("i")).alias("topic"), r6(F.col("p")).alias("probability"))
+
+
 # ---------------------------------------------------------------- oracle SQL
 
 def _base_sql(topic_expr: str = r"CAST(regexp_extract(source, '\d+') AS INTEGER)") -> str:
@@ -232,6 +241,9 @@ _CENT = """
   SELECT b.vec_id, b.topic, b.smax AS similarity, 1.0 / sum(exp(s.sim - b.smax)) AS probability
   FROM b JOIN s USING (vec_id) GROUP BY ALL"""
 
+_VECTOR = _CENT[:_CENT.index("  b AS (")].rstrip().rstrip(",") + f"""
+  SELECT vec_id, topic, {Q.r6('exp(sim) / sum(exp(sim)) OVER (PARTITION BY vec_id)')} AS probability FROM s"""
+
 SQL = {
     "ctfidf": f"SELECT topic, word, tf, {Q.r6('weight')} AS weight FROM ({_W})",
     "topic_top_words": f"SELECT topic, rank, word, {Q.r6('weight')} AS weight FROM ({_TOPW})",
@@ -252,8 +264,10 @@ SQL = {
         SELECT topic, doc_id, row_number() OVER (PARTITION BY topic ORDER BY doc_id) AS rn FROM ({_base_sql()}))
       WHERE rn <= 3""",
     "docs_per_topic": f"""
-      SELECT topic, count(*) AS n_docs, CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS n_chars
-      FROM ({_base_sql()}) GROUP BY topic""",
+      SELECT topic, n AS n_docs, CAST(length(s) AS BIGINT) AS n_chars,
+             list_reduce(list_transform(string_split(s, ''), lambda c: CAST(unicode(c) AS BIGINT)),
+                         lambda h, c: (h * {TP.HASH_BASE} + c) % {TP.HASH_MOD}) AS text_hash
+      FROM (SELECT topic, count(*) AS n, string_agg(coalesce(text, ''), ' ' ORDER BY doc_id) AS s FROM ({_base_sql()}) GROUP BY topic)""",
     "topic_distance": f"""
       WITH w AS ({_W}),
       dots AS (SELECT x.topic AS topic_a, y.topic AS topic_b, sum(x.weight * y.weight) AS dot
@@ -279,6 +293,7 @@ SQL = {
     "coherence_cv": _CV,
     "best_k": _BEST,
     "topic_assign": f"SELECT vec_id, topic, {Q.r6('similarity')} AS similarity FROM ({_CENT})",
+    "doc_topic_vector": _VECTOR,
     "doc_topic_probability": f"SELECT vec_id, topic, {Q.r6('probability')} AS probability FROM ({_CENT})",
 }
 
@@ -295,4 +310,5 @@ QUERIES = {
     "best_k": q_best_k,
     "topic_assign": q_topic_assign,
     "doc_topic_probability": q_doc_topic_probability,
+    "doc_topic_vector": q_doc_topic_vector,
 }
