@@ -11,6 +11,7 @@ relabelled once with a literal map.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -51,6 +52,8 @@ def cluster_topics(df: DataFrame, features: str, k: int, seed: int = 42, min_top
     array = dict(df.dtypes)[features].startswith("array")
     if not (array or tokens):
         raise ValueError("sparse features need the tokens they were made from")
+    if min_similarity is not None and not array:
+        raise ValueError("min_similarity needs features as an array")
     some = F.size(tokens) > 0 if tokens else F.exists(features, lambda x: x != 0)
     d = df.withColumn("__v", array_to_vector(F.col(features)) if array else F.col(features))
     fit_on = d.where(F.coalesce(some, F.lit(False)))
@@ -60,14 +63,16 @@ def cluster_topics(df: DataFrame, features: str, k: int, seed: int = 42, min_top
         centres = np.array([c / (np.linalg.norm(c) or 1.0) for c in model.clusterCenters()])
         shared = df.sparkSession.sparkContext.broadcast(centres)  # the model, k x dimensions
 
-        @F.udf("double")
-        def similarity(v, c):
-            if c < 0:
-                return None
-            n = float(v.norm(2))
-            return float(v.dot(shared.value[c])) / n if n else None
+        @F.pandas_udf("double")
+        def similarity(vectors: pd.Series, cluster: pd.Series) -> pd.Series:
+            unit, c = shared.value, cluster.to_numpy()
+            v = np.array([x if i >= 0 else np.zeros(unit.shape[1]) for x, i in zip(vectors, c)], float).reshape(len(c), -1)
+            n = np.sqrt((v * v).sum(axis=1))
+            sim = np.einsum("ij,ij->i", v, unit[np.maximum(c, 0)]) / np.where(n == 0, 1.0, n)
+            return pd.Series(np.where((n == 0) | (c < 0), np.nan, sim))
 
-        far = ~F.coalesce(similarity("__v", "__c") >= min_similarity, F.lit(False))
+        s = similarity(F.col(features), F.col("__c"))
+        far = ~F.coalesce(~F.isnan(s) & (s >= min_similarity), F.lit(False))
     else:
         far = F.lit(False)
     pred = pred.withColumn("__far", far)

@@ -14,9 +14,11 @@ from textlab.functions.wordlists import LEXICON
 from textlab.operators import classify as K
 from textlab.operators import clustering as CL
 from textlab.operators import coherence as H
+from textlab.operators import density as DE
 from textlab.operators import lda as LD
 from textlab.operators import lda_vb as VB
 from textlab.operators import stats as S
+from textlab.operators import svd as SV
 from textlab.operators import topics as TP
 from textlab.operators.lexicon import signed_score
 from textlab.plans import sql as Q
@@ -122,6 +124,29 @@ def q_topic_cluster(spark, sf):
         "vec_id", "label", "topic")
 
 
+def q_topic_density(spark, sf):
+    """B2 + B3: embeddings reduced to 5 components, density clusters, outliers -1."""
+    emb = load_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return DE.density_clusters(CL.reduce_dimensions(emb, "embedding", 5), "vec_id", "reduced", m=10, min_size=10).select("vec_id", "topic")
+
+
+def _reduced_texts(spark, sf, k: int = 5):
+    docs = cut_lineage(topic_docs(spark, sf).select("doc_id", "toks"))
+    return SV.reduce_texts(docs, "doc_id", "toks", k)
+
+
+def q_text_embedding_reduced(spark, sf):
+    """B1 + B2 on texts: TF-IDF over the whole vocabulary, randomised SVD to 5 directions."""
+    out, _ = _reduced_texts(spark, sf)
+    return out.select(F.col("id").alias("doc_id"), F.transform("reduced", r6).alias("reduced"))
+
+
+def q_text_density(spark, sf):
+    """B1-B3 on texts: reduced texts, density clusters, outliers -1."""
+    out, _ = _reduced_texts(spark, sf)
+    return DE.density_clusters(out, "id", "reduced", m=10, min_size=10).select(F.col("id").alias("doc_id"), "topic")
+
+
 def _doc_clusters(spark, sf, k: int = 20):
     docs = topic_docs(spark, sf).select("doc_id", "text", "toks")
     emb = CL.tfidf_embedding(docs, "toks")
@@ -219,6 +244,9 @@ QUERIES = {
     "lda_mixtures": q_lda_mixtures,
     "doc_embedding": q_doc_embedding,
     "topic_cluster": q_topic_cluster,
+    "topic_density": q_topic_density,
+    "text_embedding_reduced": q_text_embedding_reduced,
+    "text_density": q_text_density,
     "topic_reduce": q_topic_reduce,
     "topic_sweep": q_topic_sweep,
     "topic_merge_path": q_topic_merge_path,
