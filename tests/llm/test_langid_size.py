@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -72,3 +74,29 @@ def test_rare_n_grams_follow_the_total(spark, monkeypatch):
     monkeypatch.setattr(langid, "RARE", 1e-3)
     assert langid.predict(noise, langid.learn(docs)).first().score == 0.0
     assert langid.predict(docs.where(F.col("doc_id") == 1), langid.learn(docs)).first().score > 0.9
+
+
+def test_pieces_give_what_whole_texts_give(monkeypatch):
+    rng = random.Random(12)
+    texts = ["", " ", "a", "a b", "a. b. c", "ab", "ΑΣ ΣΑΣ " * 9, "İstanbul " * 5, "x" * 40, " " * 90 + "word" + "." * 70 + "other"]
+    texts += ["".join(rng.choice("abcé Σ.  12\n") for _ in range(rng.randrange(1, 200))) for _ in range(300)]
+    whole = [langid.grams(t) for t in texts]
+    for piece in (1, 2, 3, 16):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        for t, (h, letter) in zip(texts, whole):
+            got, any_letter = langid.grams(t)
+            assert any_letter == letter and sorted(got.tolist()) == sorted(h.tolist())
+
+
+def test_grams_equal_a_plain_count():
+    rng = random.Random(3)
+    for _ in range(100):
+        t = "".join(rng.choice("abc  .d1") for _ in range(rng.randrange(1, 60)))
+        s = "".join(c if c.isalpha() else " " for c in f" {t.lower()} ")
+        while "  " in s:
+            s = s.replace("  ", " ")
+        s = s.ljust(langid.N)
+        every = [s[i:i + langid.N] for i in range(len(s) - langid.N + 1)]
+        strong = [g for g in every if sum(c != " " for c in g) >= 2]
+        got, letter = langid.grams(t)
+        assert len(got) == len(strong or every) and len(set(got.tolist())) == len(set(strong or every)) and letter == bool(s.strip())

@@ -60,19 +60,20 @@ def grams(text: str) -> tuple[np.ndarray, bool]:
     global _letters
     if _letters is None:
         _letters = _alphabet()
-    out, any_letter = [], False
+    text, out, weak, any_letter = text.lower(), [], [], False
+    held = np.zeros(1, np.uint32)  # the symbols before a piece that its first n-grams begin with
     for at in range(0, max(len(text), 1), PIECE):
-        # n - 1 characters overlap, so that no n-gram is lost between pieces
-        points = np.frombuffer(text[max(0, at - N + 1):at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        s = np.concatenate([np.zeros(int(at == 0), np.uint32), _letters[points],
-                            np.zeros(int(at + PIECE >= len(text)), np.uint32)])
+        last = at + PIECE >= len(text)
+        points = np.frombuffer(text[at:at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        s = np.concatenate([held, _letters[points], np.zeros(int(last), np.uint32)])
         gap = s == 0
-        s = s[~(gap & np.r_[False, gap[:-1]])] if len(s) else s
+        s = s[~(gap & np.r_[False, gap[:-1]])]  # gaps are merged first, so pieces overlap by symbols that count
         any_letter = any_letter or bool(s.any())
-        if len(s) < N:
+        if last and len(s) < N and not (out or weak):
             # a text shorter than an n-gram is one n-gram, filled up with gaps
-            s = np.concatenate([s, np.zeros(N - len(s), np.uint32)]) if at == 0 else s[:0]
-        if not len(s):
+            s = np.concatenate([s, np.zeros(N - len(s), np.uint32)])
+        held = s[-(N - 1):]
+        if len(s) < N:
             continue
         h = np.zeros(len(s) - N + 1, np.uint64)
         k = np.zeros(len(h), np.int8)
@@ -80,7 +81,11 @@ def grams(text: str) -> tuple[np.ndarray, bool]:
             part = s[i:len(h) + i]
             h = (h << np.uint64(16)) * np.uint64(0x9E3779B97F4A7C15) + h + part
             k += part != 0
-        out.append(mix64(h[k >= 2] if (k >= 2).any() else h))
+        if (k >= 2).any():
+            out.append(mix64(h[k >= 2]))
+        elif not out:
+            weak.append(mix64(h))  # count only where the whole text has no other
+    out = out or weak
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), any_letter
 
 
