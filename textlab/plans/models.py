@@ -71,6 +71,7 @@ def q_batch_score(spark, sf):
 def q_lda_topics(spark, sf):
     """T3 + K2: LDA with k = 5 on the composed corpus, one text line per topic."""
     fit = VB.fit(cut_lineage(lda_corpus(spark, sf)), "doc_id", "toks", [5])
+    fit.close()
     return LD.topic_lines(VB.topic_terms(fit, 10))
 
 
