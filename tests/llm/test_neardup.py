@@ -109,6 +109,19 @@ def test_hnsw_links_equal_all_pairs(spark):
     assert hnsw.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_hnsw_wide_components_are_compared_as_doubles(spark):
+    """Tiny and huge doubles are no zero vectors and no infinities, and a cosine just below the
+    threshold, which floats would round up to it, is no link."""
+    edge = np.arccos(0.95)
+    rows = [(1, [1e-50, 0.0]), (2, [3e-50, 1e-52]), (3, [0.0, 1e300]), (4, [1e298, 1e300]), (5, [5e-324, 0.0]), (6, [0.0, 0.0]),
+            (10, [-1.0, 0.0]), (11, [-np.cos(edge + 1e-10), -np.sin(edge + 1e-10)]), (12, [-np.cos(edge - 1e-10), np.sin(edge - 1e-10)])]
+    rows = [(i, [float(x) for x in v]) for i, v in rows]
+    got = {g.vec_id: (g.n_links, g.component_id) for g in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 5: (2, 1), 3: (1, 3), 4: (1, 3), 6: (0, 6), 10: (1, 10), 11: (0, 11), 12: (1, 10)}
+    whole = spark.createDataFrame([(1, [3, 4]), (2, [30, 41]), (3, [-4, 3])], "vec_id long, embedding array<int>")
+    assert {g.vec_id: g.component_id for g in hnsw.near_duplicates(whole, 0.95).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_hnsw_recall_and_audit():
     rng = np.random.default_rng(4)
     v = hnsw.unit(rng.normal(size=(3000, 48)))

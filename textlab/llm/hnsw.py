@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from textlab.llm.common import components, cut_lineage, runs
 from textlab.llm.rolling import mix64
@@ -242,7 +243,7 @@ class HNSW:
         return out
 
 
-def _build(at_least: float):
+def _build(at_least: float, kind: str = "float32"):
     def work(batches):
         at, held = None, []
 
@@ -251,7 +252,7 @@ def _build(at_least: float):
             g = HNSW(unit(np.stack(p["embedding"].to_numpy())), p["node"].to_numpy())
             recall = g.audit(at_least)
             return pd.DataFrame({"shard": [at[0]], "nodes": [p["node"].to_numpy().tobytes()], "w": [p["w"].to_numpy().tobytes()],
-                                 "raw": [np.stack(p["embedding"].to_numpy()).astype(np.float32).tobytes()],
+                                 "raw": [np.stack(p["embedding"].to_numpy()).astype(kind).tobytes()],
                                  "graph": [g.dump()], "beam": [g.beam], "recall": [recall]})
 
         for key, part in runs(batches, ["shard"]):
@@ -265,7 +266,7 @@ def _build(at_least: float):
     return work
 
 
-def _query(at_least: float):
+def _query(at_least: float, kind: str = "float32"):
     def work(batches):
         at, g, nodes, w, own, root = None, None, None, None, None, {}
 
@@ -287,7 +288,7 @@ def _query(at_least: float):
                 row = part.iloc[0]
                 g = HNSW.load(row["graph"])
                 nodes, w = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["w"], np.int64)
-                own = unit(np.frombuffer(row["raw"], np.float32).reshape(len(nodes), -1))
+                own = unit(np.frombuffer(row["raw"], kind).reshape(len(nodes), -1))
                 part = part.iloc[1:]
             if g is None or not len(part):
                 continue
@@ -306,11 +307,11 @@ def _query(at_least: float):
     return work
 
 
-def graphs(vectors: DataFrame, at_least: float, shards: int) -> DataFrame:
+def graphs(vectors: DataFrame, at_least: float, shards: int, kind: str = "float32") -> DataFrame:
     """One graph per shard of (node, embedding, w): shard, nodes, w, raw, graph, beam, recall."""
     n = shards
     return cut_lineage(vectors.repartition(n, "shard").sortWithinPartitions("shard", "node")
-                       .mapInPandas(_build(at_least), "shard long, nodes binary, w binary, raw binary, graph binary, beam int, recall double"))
+                       .mapInPandas(_build(at_least, kind), "shard long, nodes binary, w binary, raw binary, graph binary, beam int, recall double"))
 
 
 def near_duplicates(rows: DataFrame, at_least: float = 0.95, vec: str = "embedding", vec_id: str = "vec_id",
@@ -322,12 +323,16 @@ def near_duplicates(rows: DataFrame, at_least: float = 0.95, vec: str = "embeddi
     Equal vectors are one node with a weight.  Vectors that are null, empty, zero
     or hold null or non-finite components, and rows without an id, link with
     nothing (without an id component_id is null and kept false).  Vectors of
-    different lengths are not compared.  A repeated row is another vector.  An
+    different lengths are not compared.  Components wider than float are compared
+    as doubles: only the graph holds floats, of vectors already of length one; the
+    smallest and largest doubles count as any other.  A repeated row is another vector.  An
     empty table gives an empty result; other columns are not read."""
     v = F.col(vec)
+    kept = "float" if rows.schema[vec].dataType.elementType == FloatType() else "double"  # wider ones are not narrowed
+    kind = "float32" if kept == "float" else "float64"
     fine = (F.col(vec_id).isNotNull() & v.isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
             & F.exists(vec, lambda x: x != 0))
-    src = rows.select(F.col(vec_id).cast("long").alias("vec_id"), v.cast("array<float>").alias("embedding"), F.coalesce(fine, F.lit(False)).alias("fine"))
+    src = rows.select(F.col(vec_id).cast("long").alias("vec_id"), v.cast(f"array<{kept}>").alias("embedding"), F.coalesce(fine, F.lit(False)).alias("fine"))
     nodes = (src.where("fine").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("w"))
              .withColumn("node", F.xxhash64("embedding")))
     nodes = cut_lineage(nodes)
@@ -335,16 +340,16 @@ def near_duplicates(rows: DataFrame, at_least: float = 0.95, vec: str = "embeddi
     shards, blocks = max(SHARDS, -(-n // capacity)), max(1, -(-n // block))
     base = F.size("embedding").cast("long") * shards
     placed = nodes.withColumn("shard", base + F.expr(f"pmod(node, {shards}L)"))
-    index = graphs(placed.select("shard", "node", "embedding", "w"), at_least, shards)
+    index = graphs(placed.select("shard", "node", "embedding", "w"), at_least, shards, kind)
     none = F.lit(None)
     left = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"),
-                        F.lit(0).cast("long").alias("node"), none.cast("array<float>").alias("embedding"), "nodes", "w", "raw", "graph")
+                        F.lit(0).cast("long").alias("node"), none.cast(f"array<{kept}>").alias("embedding"), "nodes", "w", "raw", "graph")
     right = nodes.select(F.explode(F.sequence(base, base + (shards - 1))).alias("shard"),
                          F.expr(f"cast(pmod(xxhash64(node), {blocks}) as int)").alias("block"), F.lit(1).alias("kind"),
                          "node", "embedding", *[none.cast("binary").alias(c) for c in ("nodes", "w", "raw", "graph")])
     found = cut_lineage(left.unionByName(right).repartition(2 * shards * blocks, "shard", "block")
                         .sortWithinPartitions("shard", "block", "kind", "node")
-                        .mapInPandas(_query(at_least), "kind int, a long, b long"))
+                        .mapInPandas(_query(at_least, kind), "kind int, a long, b long"))
     counts = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     comps = components(found.where("kind = 1").select("a", "b")).select(F.col("id").alias("node"), F.col("component_id").alias("comp"))
     named = (nodes.join(counts, "node", "left").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
