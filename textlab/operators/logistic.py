@@ -32,8 +32,9 @@ from textlab.session import cut_lineage
 NUM_FEATURES = 1 << 16
 #: Entries of a block (a longer text is a block of its own) and features of a piece.
 BLOCK, PIECE = 1 << 16, 1 << 12
-#: Steps, passes, pairs that L-BFGS remembers, and the relative change of the loss that ends a fit.
-STEPS, PASSES, MEMORY, TOLERANCE = 100, 200, 10, 1e-6
+#: Steps at most (as :func:`textlab.operators.classify.text_pipeline`), passes, pairs that L-BFGS remembers, and the
+#: relative change of the loss that ends a fit before.
+STEPS, PASSES, MEMORY, TOLERANCE = 30, 400, 10, 1e-6
 
 
 def _blocks(df: DataFrame, id_col: str, tokens: str, label: str, part: str, classes: list, features: int) -> DataFrame:
@@ -218,6 +219,12 @@ def fit_models(blocks: DataFrame, classes: list, held_out: list, binary: bool, f
     variance = np.maximum(s[:, :, 2] - s[:, :, 1] ** 2 / np.maximum(n, 1), 0) / np.maximum(n - 1, 1)
     keep = (s[:, :, 0] > 0) & (s[:, :, 0] < n) & (variance > 1e-14)
     scale = np.where(keep, 1.0 / np.sqrt(np.where(keep, variance, 1.0)), 0.0)
+    used = np.flatnonzero(keep.any(axis=1))  # passes handle the features that some model weighs
+    size, pieces = len(used), -(-len(used) // PIECE) + 1
+    lookup = np.full(features, -1, np.int32)
+    lookup[used] = np.arange(size)
+    places = spark.sparkContext.broadcast(lookup)
+    s, keep, scale = s[used], keep[used], scale[used]
     centre = s[:, :, 1] / np.maximum(n, 1) * scale  # features are centred in the search, which shifts the intercepts only
 
     share = np.maximum(counts, 0.5) / np.maximum(n, 1)[:, None]
@@ -227,7 +234,7 @@ def fit_models(blocks: DataFrame, classes: list, held_out: list, binary: bool, f
     fits = [_Fit(np.concatenate([np.zeros(len(place[m]) * margins), start[m]]), steps, tolerance) for m in range(many)]
 
     def unpack(m, x):
-        w = np.zeros((features, margins))
+        w = np.zeros((size, margins))
         w[place[m]] = x[:-margins].reshape(-1, margins)
         return w, x[-margins:] - centre[:, m] @ w
 
@@ -246,6 +253,9 @@ def fit_models(blocks: DataFrame, classes: list, held_out: list, binary: bool, f
             for pdf in batches:
                 for r in pdf.to_dict("records"):
                     y, part, row, feature, x = _arrays(r)
+                    feature = places.value[feature]
+                    known = feature >= 0
+                    row, feature, x = row[known], feature[known], x[known]
                     at = _rows_times(row, feature, x, len(y), weights).reshape(len(y), len(out), margins) + intercepts
                     loss, rest = _loss(at, y, part[:, None] != out, binary)
                     end[:, 0] += loss
@@ -258,7 +268,7 @@ def fit_models(blocks: DataFrame, classes: list, held_out: list, binary: bool, f
         got = _summed(blocks.mapInPandas(gradient, schema), pieces)
         shared.unpersist()
         passes += 1
-        grad, end = _whole(got, features, len(live) * margins), got[-1].reshape(len(live), margins + 1)
+        grad, end = _whole(got, size, len(live) * margins), got[-1].reshape(len(live), margins + 1)
         for i, m in enumerate(live):
             x = fits[m].next()
             w = x[:-margins]
@@ -266,8 +276,10 @@ def fit_models(blocks: DataFrame, classes: list, held_out: list, binary: bool, f
             g = (g / n[m])[place[m]].ravel()
             fits[m].tell(end[i, 0] / n[m] + reg / 2 * (w @ w), np.concatenate([g + reg * w, end[i, 1:] / n[m]]))
     both = [unpack(m, fits[m].x) for m in range(many)]
-    return Models(classes, held_out, binary, np.stack([w * scale[:, [m]] for m, (w, _) in enumerate(both)], axis=1),
-                  np.stack([b for _, b in both]), [f.f for f in fits], passes)
+    weights = np.zeros((features, many, margins))
+    weights[used] = np.stack([w * scale[:, [m]] for m, (w, _) in enumerate(both)], axis=1)
+    return Models(classes, held_out, binary, weights, np.stack([b for _, b in both]),
+                  [f.f for f in fits], passes)
 
 
 def predict(blocks: DataFrame, models: Models, kind: str) -> DataFrame:

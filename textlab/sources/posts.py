@@ -119,10 +119,39 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append to an existing result."""
+    """Append to an existing result (a second run appends again; see :func:`append_new`)."""
     df.write.mode("append").format(fmt).save(path)
 
 
+def append_new(df: DataFrame, path: str, batch: str, key: str) -> bool:
+    """S5, resumable: add the rows of a batch whose key is not in the table yet.
+
+    The batch is written beside the table, in a folder that readers skip, and renamed to
+    ``batch=<name>``: the rename commits it (where the file system renames folders in one
+    step, as HDFS and local disks do).  A run stopped before leaves nothing that counts and
+    is simply run again; a batch that is there is not written again (False).  Of rows of one
+    key in the batch the smallest by its other columns stays; rows without a key all stay.
+    One writer at a time.  Read the table with ``spark.read.parquet(path)``; it has the
+    column ``batch``."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    table = hadoop(path)
+    fs = table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done, staged = hadoop(table, f"batch={batch}"), hadoop(table, f"_staged-{batch}")
+    if fs.exists(done):
+        return False
+    others = [c for c in df.columns if c != key]
+    named = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(F.lit(0).alias("__0"), *others)).alias("__row"))
+    rows = named.select(key, *[F.col("__row")[c].alias(c) for c in others])
+    if fs.exists(table) and any(f.getPath().getName().startswith("batch=") for f in fs.listStatus(table)):
+        rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
+    rows = rows.unionByName(df.where(F.col(key).isNull()))
+    rows.select(*df.columns).write.mode("overwrite").parquet(staged.toString())
+    if not fs.rename(staged, done):
+        raise RuntimeError(f"{done.toString()} could not be committed")
+    return True
+
+
 def write_by_key(df: DataFrame, key: str, path: str, fmt: str = "csv") -> None:
     """One output folder per key value, written by the executors in one
     job (never a driver loop over keys).  The rebalance hint gathers a key's rows
