@@ -94,6 +94,15 @@ LEXICON = {
     "and": 0.2, "the": -0.1, "on": 0.2, "by": -0.2, "for": 0.4,
 }
 
+# Idioms and special cases published with the rule-based sentiment scorer (fixed values).
+IDIOMS = {
+    "the bomb": 3.0, "bad ass": 1.5, "bus stop": 0.0, "yeah right": -2.0, "kiss of death": -1.5,
+    "to die for": 3.0, "beating heart": 3.1, "broken heart": -2.9,
+    "cut the mustard": 2.0, "hand to mouth": -2.0, "back handed": -2.0, "blow smoke": -2.0,
+    "upper hand": 1.0, "break a leg": 2.0, "cooking with gas": 2.0, "in the black": 2.0,
+    "in the red": -2.0, "on the ball": 2.0, "under the weather": -2.0,
+}
+
 # The minimum-slice lexicon (a subset of the one above), used by the fixture test.
 SLICE_LEXICON = {
     "trash": -2.0, "clown": -1.5, "idiot": -2.0, "scum": -2.5, "worthless": -2.0,

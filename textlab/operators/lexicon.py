@@ -115,7 +115,7 @@ def lexicon_compound(text, lexicon: dict = LEXICON, negations=NEGATIONS,
     boosters and dampeners add (scaled 1, 0.95, 0.9 by distance), a negation
     multiplies what has come together by -0.74.  Around the first "but" hits
     before count half and hits after one and a half.  The sum gets "!" and "?"
-    emphasis and is normalised by s / sqrt(s^2 + 15)."""
+    emphasis and is normalised by s / sqrt(s^2 + 15).  A null text has no score."""
     raw = _c(text)
     lex = word_table({k: float(v) for k, v in lexicon.items()})
     boost = word_table({k: float(v) for k, v in boosters.items()})
@@ -178,7 +178,7 @@ def lexicon_compound(text, lexicon: dict = LEXICON, negations=NEGATIONS,
         return let(agg, lambda g: let(F.struct(g["n"].alias("n"), g["s"].alias("s"), (n_ex + q).alias("emph")),
                                       finish))
 
-    return let(raw, body)
+    return F.when(raw.isNotNull(), let(raw, body))
 
 
 def score_to_class(score, pos: float = 0.05, neg: float = -0.05) -> Column:

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlab.functions.clean import is_retweet, strip_normal
+from textlab.operators import incremental as N
 from textlab.operators import ingest as I
 from textlab.operators.joins import keep_members
 from textlab.plans import sql as Q
+from textlab.session import table_path
 from textlab.sources.posts import load_table
 
 PREFIX = "The "
@@ -59,6 +61,18 @@ def q_unique_retweets(spark, sf):
     return I.first_and_count(d, "text_key", "doc_id", count_name="n_copies")
 
 
+def q_unique_retweets_by_crawl(spark, sf):
+    """A4 over crawls that arrive one after the other (stand-in: a document's crawl is its position among three
+    days); the state is compacted after the second."""
+    path = table_path(spark)
+    d = load_table(spark, sf, "documents").select(F.md5("text").alias("text_key"), "doc_id", "source", F.coalesce(F.col("doc_id") % 3, F.lit(0)).alias("day"))
+    for day in range(3):
+        N.add_crawl(d.where(F.col("day") == day).drop("day"), path, f"day{day}", "text_key", "doc_id")
+        if day == 1:
+            N.compact(spark, path)
+    return N.first_and_count_state(spark, path, "text_key", "n_copies")
+
+
 def _face_json(c):
     """A face-service response per customer: 0, 1 or 2 faces; one segment gets
     a truncated (malformed) body."""
@@ -122,12 +136,15 @@ SQL = {
       FROM pages""",
 }
 
+SQL["unique_retweets_by_crawl"] = SQL["unique_retweets"]
+
 QUERIES = {
     "json_flatten": q_json_flatten,
     "prefix_filter": q_prefix_filter,
     "community_filter": q_community_filter,
     "resolve_text": q_resolve_text,
     "unique_retweets": q_unique_retweets,
+    "unique_retweets_by_crawl": q_unique_retweets_by_crawl,
     "face_flatten": q_face_flatten,
     "url_normalise": q_url_normalise,
 }

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from textlab.functions import clean as C
 from textlab.functions.slang import expand_slang
-from textlab.functions.wordlists import (BOOSTERS, ENGLISH_STOP_WORDS, INTENSIFIERS, LEXICON, NEGATIONS,
+from textlab.functions.wordlists import (BOOSTERS, ENGLISH_STOP_WORDS, IDIOMS, INTENSIFIERS, LEXICON, NEGATIONS,
                                          slang_pairs)
 from textlab.operators import lexicon as L
+from textlab.operators import lexicon_table as T
 from textlab.plans import sql as Q
 from textlab.sources.posts import load_table
 
@@ -93,6 +94,32 @@ def _no_apostrophes(x: str) -> str:
     return f"replace(replace({x}, chr(39), ''), chr(8217), '')"
 
 
+def _lexicon_table(spark, sf):
+    """Stand-in lexicon table: the scorer's words and idioms, and the first two, three and five words of
+    every benchmark text with a valence from -2 to 2."""
+    fixed = spark.createDataFrame([(k, float(v)) for k, v in (LEXICON | IDIOMS).items()], "phrase string, valence double")
+    b = load_table(spark, sf, "benchmark").select("item_id", F.split("text", r"\s+").alias("w"))
+    heads = [b.select(F.array_join(F.slice("w", 1, n), " ").alias("phrase"), ((F.col("item_id") % 9 - 4) / 2.0).alias("valence"))
+             for n in (2, 3, 5)]
+    for h in heads:
+        fixed = fixed.unionByName(h)
+    return fixed
+
+
+def q_lexicon_table_hits(spark, sf):
+    """J3 with words and phrases of a lexicon table."""
+    d = _docs(spark, sf).select("doc_id", L.compound_tokens(C.collapse_ws("text")).alias("toks"))
+    h = T.lexicon_hits_table(d, "toks", T.entries(_lexicon_table(spark, sf)))
+    return h.select("doc_id", "n_hits", "n_idioms", r6(F.col("sum_valence")).alias("sum_valence"))
+
+
+def q_lexicon_idiom_compound(spark, sf):
+    """M1 with words, idioms and phrases of a lexicon table, emoji read as their names."""
+    d = _docs(spark, sf).select("doc_id", C.collapse_ws(T.describe_emoji("text")).alias("post"))
+    s = T.lexicon_compound_table(d, "post", T.entries(_lexicon_table(spark, sf)))
+    return s.select("doc_id", r6(F.col("compound")).alias("compound"))
+
+
 def _negation_sql(x: str, neg: str) -> str:
     return f"coalesce(list_contains({neg}, {x}) OR contains({x}, 'n''t') OR contains({x}, 'n\u2019t'), false)"
 
@@ -141,7 +168,70 @@ def _compound_from_tokens(tk: str, raw: str) -> str:
     qa = f"(CASE WHEN {nq} <= 1 THEN 0.0 WHEN {nq} <= 3 THEN {nq} * {L.QUESTION_INCR} ELSE {L.QUESTION_MAX} END)"
     s2 = f"(CASE WHEN {s} > 0 THEN {s} + {nex} + {qa} WHEN {s} < 0 THEN {s} - ({nex} + {qa}) ELSE {s} END)"
     comp = f"{s2} / sqrt({s2} * {s2} + {L.ALPHA})"
-    return f"(CASE WHEN len({vals}) = 0 THEN 0.0 ELSE greatest(-1.0, least(1.0, {comp})) END)"
+    return f"(CASE WHEN {raw} IS NULL THEN NULL WHEN len({vals}) = 0 THEN 0.0 ELSE greatest(-1.0, least(1.0, {comp})) END)"
+
+
+def _words_sql(raw: str) -> str:
+    """Tokens of the compound scorer."""
+    bare = f"regexp_replace(t, '^\\p{{P}}+|\\p{{P}}+$', '', 'g')"
+    return (f"list_filter(list_transform({Q.split_ws(raw)}, lambda t: CASE WHEN length({bare}) <= 2 THEN t ELSE {bare} END), "
+            f"lambda t: length(t) > 1)")
+
+
+def _entries_sql() -> str:
+    """CTEs from the lexicon table to ``kept``: the runs that count, each row with its post's words."""
+    fixed = ", ".join(f"({Q.q(k)}, {float(v)!r})" for k, v in (LEXICON | IDIOMS).items())
+    heads = " UNION ALL ".join(
+        f"SELECT array_to_string(regexp_split_to_array(text, '\\s+')[1:{n}], ' '), (item_id % 9 - 4) / 2.0 FROM benchmark" for n in (2, 3, 5))
+    return f"""
+      lex(phrase, valence) AS (SELECT phrase, CAST(valence AS DOUBLE) FROM
+        (SELECT * FROM (VALUES {fixed}) v(phrase, valence) UNION ALL {heads}) u(phrase, valence)),
+      ent AS (SELECT phrase, n, CASE WHEN max(valence) >= -min(valence) THEN max(valence) ELSE min(valence) END AS valence
+              FROM (SELECT lower(array_to_string(w, ' ')) AS phrase, len(w) AS n, valence
+                    FROM (SELECT {_words_sql('phrase')} AS w, valence FROM lex) WHERE len(w) > 0) GROUP BY phrase, n),
+      post AS (SELECT *, len(list_filter(tk, lambda t: upper(t) = t AND lower(t) <> t)) AS n_caps,
+                      n_caps > 0 AND n_caps < len(tk) AS cap_diff,
+                      coalesce(list_position(list_transform(tk, lambda t: lower(t)), 'but'), 0) AS but_pos
+               FROM (SELECT doc_id, raw, {_words_sql('raw')} AS tk
+                     FROM (SELECT doc_id, {Q.collapse_ws('text')} AS raw FROM documents))),
+      run AS (SELECT doc_id, i, n, array_to_string(tk[i:i + n - 1], ' ') AS said
+              FROM (SELECT doc_id, tk, unnest(generate_series(1, len(tk))) AS i FROM post), (SELECT DISTINCT n FROM ent)
+              WHERE i + n - 1 <= len(tk)),
+      hit AS (SELECT run.*, valence, upper(said) = said AND lower(said) <> said AS caps
+              FROM run JOIN ent ON lower(said) = phrase),
+      kept AS (SELECT * FROM hit h WHERE NOT EXISTS
+               (SELECT 1 FROM hit g WHERE g.doc_id = h.doc_id AND g.i <= h.i AND g.i + g.n >= h.i + h.n AND g.n > h.n))"""
+
+
+def _idiom_compound_sql() -> str:
+    boost, neg = Q.dbl_map(BOOSTERS), Q.str_list(sorted(set(NEGATIONS)))
+    v = f"valence + CASE WHEN cap_diff AND caps THEN CASE WHEN valence >= 0 THEN 1.0 ELSE -1.0 END * {L.CAPS_INCR} ELSE 0.0 END"
+    word = lambda j: f"lower(CASE WHEN i > {j} THEN tk[i - {j}] END)"
+    step = f"SELECT *, {v} AS v0 FROM ctx"
+    for k, scale in L.BOOST_DISTANCE.items():
+        prev, low, x = f"(CASE WHEN i > {k} THEN tk[i - {k}] END)", word(k), f"v{k - 1}"
+        emph = (f"CASE WHEN cap_diff AND upper({prev}) = {prev} AND lower({prev}) <> {prev} "
+                f"THEN CASE WHEN {x} > 0 THEN {L.CAPS_INCR} ELSE -{L.CAPS_INCR} END ELSE 0.0 END")
+        inc = f"coalesce(({boost}[{low}] * {L.BOOST_INCR} * CASE WHEN {x} < 0 THEN -1.0 ELSE 1.0 END + {emph}) * {scale}, 0.0)"
+        nearer = [word(j) for j in range(1, k)]
+        so = " OR ".join(f"coalesce({w} IN ('so', 'this'), false)" for w in nearer) or "false"
+        doubt = " OR ".join(f"coalesce({w} = 'doubt', false)" for w in nearer) or "false"
+        factor = (f"CASE WHEN {low} = 'never' AND ({so}) THEN {T.NEVER_SO} WHEN {low} = 'without' AND ({doubt}) THEN 1.0 "
+                  f"WHEN {_negation_sql(low, neg)} THEN {L.NEGATION_SCALAR} ELSE 1.0 END")
+        step = f"SELECT *, CASE WHEN {prev} IS NULL OR in{k} THEN {x} ELSE ({x} + {inc}) * {factor} END AS v{k} FROM ({step})"
+    covered = " ".join(f"LEFT JOIN inside c{k} ON c{k}.doc_id = kept.doc_id AND c{k}.q = kept.i - {k}" for k in L.BOOST_DISTANCE)
+    flags = ", ".join(f"c{k}.q IS NOT NULL AS in{k}" for k in L.BOOST_DISTANCE)
+    but = f"CASE WHEN but_pos = 0 THEN 1.0 WHEN i < but_pos THEN {L.BUT_BEFORE} WHEN i > but_pos THEN {L.BUT_AFTER} ELSE 1.0 END"
+    nq = "(length(raw) - length(replace(raw, '?', '')))"
+    emph = (f"(least(length(raw) - length(replace(raw, '!', '')), {L.EXCLAIM_MAX}) * {L.EXCLAIM_INCR} + CASE WHEN {nq} <= 1 THEN 0.0 "
+            f"WHEN {nq} <= 3 THEN {nq} * {L.QUESTION_INCR} ELSE {L.QUESTION_MAX} END)")
+    return f"""WITH {_entries_sql()},
+      inside AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + n - 1)) AS q FROM kept),
+      ctx AS (SELECT kept.*, tk, cap_diff, but_pos, {flags} FROM kept JOIN post ON post.doc_id = kept.doc_id {covered}),
+      total AS (SELECT doc_id, sum(v{max(L.BOOST_DISTANCE)} * {but}) AS s FROM ({step}) GROUP BY doc_id)
+      SELECT doc_id, {Q.r6(f'CASE WHEN raw IS NULL THEN NULL WHEN s IS NULL THEN 0.0 ELSE greatest(-1.0, least(1.0, x / sqrt(x * x + {L.ALPHA}))) END')} AS compound
+      FROM (SELECT post.doc_id, raw, s, CASE WHEN s > 0 THEN s + {emph} WHEN s < 0 THEN s - {emph} ELSE s END AS x
+            FROM post LEFT JOIN total ON total.doc_id = post.doc_id)"""
 
 
 _TOK = Q.tokenize("text")
@@ -170,6 +260,11 @@ SQL = {
                               FROM (SELECT doc_id, {_TOK} AS toks FROM documents))""",
     "lexicon_polarity": f"""SELECT doc_id, {Q.r6(_polarity_sql('toks'))} AS polarity
                             FROM (SELECT doc_id, {Q.tokenize(_no_apostrophes(_slang_sql('text')))} AS toks FROM documents)""",
+    "lexicon_table_hits": f"""WITH {_entries_sql()}
+      SELECT post.doc_id, CAST(count(kept.i) AS BIGINT) AS n_hits, CAST(count(*) FILTER (WHERE n > 1) AS BIGINT) AS n_idioms,
+             {Q.r6('coalesce(sum(valence), 0.0)')} AS sum_valence
+      FROM post LEFT JOIN kept ON kept.doc_id = post.doc_id GROUP BY post.doc_id""",
+    "lexicon_idiom_compound": _idiom_compound_sql(),
     "lexicon_compound": f"""SELECT doc_id, {Q.r6('compound')} AS compound FROM (
                               SELECT doc_id, {_compound_from_tokens('tk', 'raw')} AS compound FROM (
                                 SELECT *, len(list_filter(tk, lambda t: upper(t) = t AND lower(t) <> t)) AS n_caps,
@@ -194,4 +289,6 @@ QUERIES = {
     "lexicon_hits": q_lexicon_hits,
     "lexicon_polarity": q_lexicon_polarity,
     "lexicon_compound": q_lexicon_compound,
+    "lexicon_table_hits": q_lexicon_table_hits,
+    "lexicon_idiom_compound": q_lexicon_idiom_compound,
 }

@@ -64,13 +64,17 @@ def cut_lineage(df):
     survives lost executors; unlike an RDD checkpoint it computes ``df`` only
     once (no second pass to write) and reads back columnar, with pruning.
     :func:`drop_tables` deletes the tables; it also runs when the program ends."""
-    spark = df.sparkSession
-    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
+    path = table_path(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def table_path(spark: SparkSession) -> str:
+    """A new path for an intermediate table, deleted as those of :func:`cut_lineage`."""
     if spark.sparkContext.applicationId not in _registered:
         _registered.add(spark.sparkContext.applicationId)
         atexit.register(_drop_at_exit, spark)
-    return spark.read.parquet(path)
+    return f"{tables_dir(spark)}/{uuid.uuid4().hex}"
 
 
 _registered: set[str] = set()
