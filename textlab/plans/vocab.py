@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textlab.functions import clean as C
 from textlab.functions.wordlists import ALLOWED_POS, ENGLISH_STOP_WORDS, LDA_EXTRA_STOP_WORDS, LEMMAS
+from textlab.operators import morphology as MO
 from textlab.operators import phrases as P
 from textlab.plans import sql as Q
 from textlab.session import cut_lineage
@@ -113,6 +114,23 @@ def q_lemmatize(spark, sf):
     return d.select("doc_id", F.size("lem").cast("bigint").alias("n_kept"), F.array_join("lem", " ").alias("lemmas"))
 
 
+def _forms(spark, sf):
+    toks = cut_lineage(_lda_tokens(spark, sf).select("doc_id", "toks"))
+    return toks, MO.word_forms(toks, "toks")
+
+
+def q_word_forms(spark, sf):
+    """lemma and part of speech of every word of the corpus."""
+    return _forms(spark, sf)[1]
+
+
+def q_lemmatize_forms(spark, sf):
+    """F15 with the corpus's own word forms: the lemmas of the allowed parts of speech."""
+    toks, forms = _forms(spark, sf)
+    d = MO.apply_forms(toks, "toks", cut_lineage(forms))
+    return d.select("doc_id", F.size("lemmas").cast("bigint").alias("n_kept"), F.array_join("lemmas", " ").alias("lemmas"))
+
+
 # ---------------------------------------------------------------- oracle SQL
 
 _LDA_TOK = f"SELECT doc_id, {Q.lda_tokens('text')} AS toks FROM documents"
@@ -199,6 +217,44 @@ SQL = {
                      FROM ({lemmas_sql(_LDA_TOK)})""",
 }
 
+
+
+def _forms_sql() -> str:
+    """CTEs up to ``form``: the rules as a table that every word is held against."""
+    cell = lambda x: "NULL" if x is None else Q.q(x)
+    rules = ", ".join(f"({i}, {', '.join(map(cell, r))})" for i, r in enumerate(MO.INFLECTIONS))
+    ends = ", ".join(f"({Q.q(s)}, {Q.q(p)})" for p, ss in MO.SUFFIXES.items() for s in ss)
+    table = ", ".join(f"({Q.q(w)}, {Q.q(l)}, {Q.q(p)})" for w, l, p in LEMMAS)
+    doubled = " OR ".join(f"stem LIKE '%{c}{c}'" for c in "bdfglmnprt")
+    return f"""
+      rule(id, suffix, ending, rpos, also) AS (VALUES {rules}), fixed(word, lemma, pos) AS (VALUES {table}),
+      deriv(suffix, pos) AS (VALUES {ends}),
+      vocab AS (SELECT word, count(*) AS n FROM (SELECT unnest(toks) AS word FROM ({_LDA_TOK})) GROUP BY word),
+      fit AS (SELECT word, rule.*, left(word, length(word) - length(suffix)) AS stem FROM vocab JOIN rule ON ends_with(word, suffix)),
+      cand AS (SELECT *, CASE WHEN ending = '~' THEN left(stem, length(stem) - 1) ELSE stem || ending END AS base
+               FROM fit WHERE ending <> '~' OR {doubled}),
+      best AS (SELECT * FROM (SELECT cand.*, row_number() OVER (PARTITION BY cand.word ORDER BY v.n DESC, id) AS k
+                              FROM cand JOIN vocab v ON v.word = cand.base
+                              WHERE length(base) >= {MO.SHORTEST} AND regexp_matches(base, '[aeiouy]')
+                                AND (also IS NULL OR stem || also IN (SELECT word FROM vocab))) WHERE k = 1),
+      verb AS (SELECT base FROM best WHERE rpos = 'VERB' GROUP BY base HAVING count(DISTINCT suffix = 'ing') = 2),
+      ended AS (SELECT word, arg_max(pos, length(suffix)) AS pos FROM vocab JOIN deriv
+                ON ends_with(word, suffix) AND length(word) >= length(suffix) + {MO.SHORTEST} GROUP BY word),
+      form AS (SELECT v.word, v.n, coalesce(t.lemma, b.base, v.word) AS lemma,
+                      coalesce(t.pos, b.rpos, CASE WHEN verb.base IS NOT NULL THEN 'VERB' END, e.pos, 'NOUN') AS pos,
+                      CASE WHEN t.pos IS NOT NULL THEN 'table' WHEN b.base IS NOT NULL THEN 'inflection'
+                           WHEN verb.base IS NOT NULL THEN 'paradigm' WHEN e.pos IS NOT NULL THEN 'suffix' ELSE 'none' END AS known_by
+               FROM vocab v LEFT JOIN fixed t ON t.word = v.word LEFT JOIN best b ON b.word = v.word
+               LEFT JOIN verb ON verb.base = coalesce(b.base, v.word) LEFT JOIN ended e ON e.word = coalesce(b.base, v.word))"""
+
+
+SQL["word_forms"] = f"WITH {_forms_sql()} SELECT * FROM form"
+SQL["lemmatize_forms"] = f"""WITH {_forms_sql()},
+    tok AS (SELECT doc_id, unnest(toks) AS word, unnest(range(len(toks))) AS i FROM ({_LDA_TOK})),
+    said AS (SELECT doc_id, count(*) AS n_kept, string_agg(lemma, ' ' ORDER BY i) AS lemmas FROM tok JOIN form USING (word)
+             WHERE list_contains({Q.str_list(ALLOWED_POS)}, pos) GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(n_kept, 0) AS BIGINT) AS n_kept, coalesce(lemmas, '') AS lemmas FROM documents LEFT JOIN said USING (doc_id)"""
+
 QUERIES = {
     "doc_bow": q_doc_bow,
     "vocabulary": q_vocabulary,
@@ -210,4 +266,6 @@ QUERIES = {
     "lda_corpus": q_lda_corpus,
     "clean_template": q_clean_template,
     "lemmatize": q_lemmatize,
+    "word_forms": q_word_forms,
+    "lemmatize_forms": q_lemmatize_forms,
 }
