@@ -41,18 +41,37 @@ def test_filter_grows_with_the_n_grams(spark, monkeypatch):
     check(spark, model, docs)
 
 
-def test_too_many_n_grams_are_joined(spark, monkeypatch):
+def test_a_filter_above_its_bound_is_sliced(spark, monkeypatch):
     docs = corpus(spark, 60)
-    want = {(r.doc_id, r.lang_pred, r.n_grams) for r in langid.predict(docs, langid.learn(docs)).collect()}
+    awkward = docs.unionByName(foreign(spark))
+    whole = langid.learn(docs)
+    want = {(r.doc_id, r.lang_pred, r.n_grams) for r in langid.predict(docs, whole).collect()}
+    scores = {(r.doc_id, r.text): r for r in langid.predict(awkward, whole).collect()}
+    monkeypatch.setattr(langid, "SLOTS", 1 << 16)
     monkeypatch.setattr(langid, "MOST_BYTES", 1 << 16)
-    monkeypatch.setattr(langid, "COMMON", 1000)
     model = langid.learn(docs)
-    assert model.bits is None
+    assert model.bits is None and model.slices >= 4 and model.size <= langid.MOST_BYTES
     check(spark, model, docs)
     got = langid.predict(docs, model)
-    assert got.columns == [*docs.columns, "lang_pred", "score", "n_grams"] and got.where("score < 1").count() == 0
+    assert got.columns == [*docs.columns, "lang_pred", "score", "n_grams"] and got.where("score < 0.999999").count() == 0
     assert {(r.doc_id, r.lang_pred, r.n_grams) for r in got.collect()} == want
     assert langid.predict(docs.limit(0), model).count() == 0
+    again = langid.predict(awkward, model).collect()
+    assert len(again) == awkward.count()
+    for r in again:
+        one = scores[r.doc_id, r.text]
+        assert r.n_grams == one.n_grams and abs(r.score - one.score) < 0.1  # other slots, other false positives
+
+
+def test_slices_of_hashes(spark):
+    h = langid.mix64(np.arange(3000, dtype=np.uint64))
+    d = spark.createDataFrame([(int(x),) for x in h.view(np.int64)], "gram long")
+    for n in (1, 2, 8, 1 << 11):
+        assert [r[0] for r in d.select(langid.slice_column(n)).collect()] == langid.slice_of(h, n).tolist()
+    for keys in (10, 8192, 9_000_000, 400_000_000):
+        n = langid.slices_for(lambda n: keys // n, 17)
+        assert langid.slots_for(keys // n, 17) * 17 <= langid.MOST_BYTES
+        assert n == 1 or langid.slots_for(keys // (n // 2), 17) * 17 > langid.MOST_BYTES
 
 
 def test_slots():

@@ -9,8 +9,10 @@ Learning counts the n-grams of all training texts per language (no sample); an
 n-gram belongs to every language in which it is at least ``1 / NEAR`` as frequent
 as in the language where it is most frequent and not rarer than ``RARE`` of that
 language's n-grams.  The filter has ``SPARE`` slots for each n-gram of the largest
-language, counted before.  It is broadcast; where it would exceed ``MOST_BYTES``
-there is none, and texts meet the n-grams in an exact join."""
+language, counted before.  It is broadcast; where it would exceed ``MOST_BYTES`` it is
+cut into slices by the n-grams' first hash bits, which are built and broadcast one
+after the other: each answers the n-grams of its slice, corrected for its own false
+positives, and a text's answers add up."""
 
 from __future__ import annotations
 
@@ -29,8 +31,6 @@ N = 4
 SLOTS = 1 << 22
 SPARE = 8
 MOST_BYTES = 1 << 26
-#: n-grams that an exact join looks up in memory, the most frequent ones.
-COMMON = 1 << 19
 HASHES = 2
 NEAR = 4.0
 #: Least count of an n-gram in all languages, and its least share of a language's
@@ -106,20 +106,59 @@ def slots_for(keys: int, planes: int = 1) -> int:
     return size
 
 
+def slices_for(most, planes: int) -> int:
+    """Slices (a power of two) that keep a filter within MOST_BYTES; ``most(n)`` gives the
+    n-grams of one language in the fullest of n slices."""
+    n = 1
+    while (size := slots_for(most(n), planes)) * planes > MOST_BYTES and size > CHUNK:
+        n *= 2
+    return n
+
+
+def slice_of(h: np.ndarray, n: int) -> np.ndarray:
+    """The slice of each hash: its first bits.  Slots of a filter of up to 2**26 take bits below the first 11."""
+    return h >> np.uint64(64 - (n.bit_length() - 1)) if n > 1 else np.zeros(len(h), np.uint64)
+
+
+def slice_column(n: int) -> Column:
+    """:func:`slice_of` for a column of signed hashes."""
+    return F.shiftrightunsigned(F.col("gram"), 64 - (n.bit_length() - 1)) if n > 1 else F.lit(0).cast("long")
+
+
+def found(bits: np.ndarray, h: np.ndarray, languages: int) -> np.ndarray:
+    """How many of the n-grams each language's filter holds."""
+    mask = None
+    for s in slots(h, len(bits)):
+        mask = bits[s] if mask is None else mask & bits[s]
+    counts = np.array([np.bincount(mask[:, p], minlength=256) for p in range(mask.shape[1])])
+    values = np.arange(256)
+    return np.array([counts[i // 8][(values >> (i % 8)) & 1 == 1].sum() for i in range(languages)])
+
+
+def false_rates(bits: np.ndarray, languages: int) -> np.ndarray:
+    return np.array([(bits[:, i // 8] >> (i % 8) & 1).mean() for i in range(languages)]) ** HASHES
+
+
+def corrected(got: np.ndarray, n: int, false: np.ndarray) -> np.ndarray:
+    """The n-grams that languages hold, without the filters' expected false positives."""
+    # a full filter says nothing
+    return np.where(false < 0.999, (got - n * false) / np.maximum(1 - false, 0.001), 0.0)
+
+
 @dataclass
 class LanguageModel:
-    """Bit-sliced filters: ``bits[slot, l // 8]`` has bit l % 8 for language l.  A
-    model too large for them has ``bits`` None and the n-grams as ``table`` (gram,
-    n, ls), which :func:`predict` joins."""
+    """Bit-sliced filters: ``bits[slot, l // 8]`` has bit l % 8 for language l.  A model
+    of several slices has ``bits`` None and the n-grams as ``table`` (gram, ls), of which
+    :func:`predict` makes one filter of ``size`` slots after the other."""
     languages: list[str]
     bits: np.ndarray | None
     totals: list[int]
     table: DataFrame | None = None
+    slices: int = 1
+    size: int = 0
 
     def __post_init__(self):
-        fill = np.array([(self.bits[:, i // 8] >> (i % 8) & 1).mean() if self.bits is not None else 0.0
-                         for i in range(len(self.languages))])
-        self.false = fill ** HASHES
+        self.false = false_rates(self.bits, len(self.languages)) if self.bits is not None else None
 
     def decide(self, text: str) -> tuple[str, float, int]:
         """Language, score (the corrected share of n-grams that its filter holds)
@@ -129,24 +168,55 @@ class LanguageModel:
         if not letter or not self.languages:
             return UNKNOWN, 0.0, 0
         if self.bits is None:
-            raise ValueError("this model has no filter: predict() joins its n-grams")
-        mask = None
-        for s in slots(h, len(self.bits)):
-            mask = self.bits[s] if mask is None else mask & self.bits[s]
-        counts = np.array([np.bincount(mask[:, p], minlength=256) for p in range(mask.shape[1])])
-        values = np.arange(256)
-        got = np.array([counts[i // 8][(values >> (i % 8)) & 1 == 1].sum() for i in range(len(self.languages))])
-        return self.choose(got, len(h))
-
-    def choose(self, got: np.ndarray, n: int) -> tuple[str, float, int]:
-        """The answer for a text of which each language holds ``got`` of n n-grams."""
-        # a full filter says nothing
-        true = np.where(self.false < 0.999, (got / n - self.false) / np.maximum(1 - self.false, 0.001), 0.0)
-        true = np.maximum(true, 0)
+            raise ValueError("this model has several slices: predict() goes through them")
+        return self.choose(corrected(found(self.bits, h, len(self.languages)), len(h), self.false), len(h))
+
+    def choose(self, true: np.ndarray, n: int) -> tuple[str, float, int]:
+        """The answer for a text of which each language holds ``true`` of n n-grams."""
+        true = np.maximum(true / n, 0)
         best = max(range(len(true)), key=lambda i: (true[i], self.totals[i], -i))
         return self.languages[best], float(min(1.0, true[best])), n
 
 
+def _filter(kept: DataFrame, size: int, planes: int) -> np.ndarray:
+    """The bit-sliced filter of some n-grams; size x planes bytes come to the driver, MOST_BYTES at most."""
+    def fill(batches):
+        part = np.zeros((size, planes), np.uint8)
+        for pdf in batches:
+            h = pdf["gram"].to_numpy().view(np.uint64)
+            mask = np.zeros((len(h), planes), np.uint8)
+            sizes = pdf["ls"].map(len).to_numpy()
+            ls = np.concatenate(pdf["ls"].to_list()) if len(pdf) else np.zeros(0, int)
+            np.bitwise_or.at(mask, (np.repeat(np.arange(len(h)), sizes), ls // 8), (1 << (ls % 8)).astype(np.uint8))
+            for s in slots(h, size):
+                np.bitwise_or.at(part, s, mask)
+        for c in range(size // CHUNK):
+            block = part[c * CHUNK:(c + 1) * CHUNK]
+            if block.any():
+                yield pd.DataFrame({"chunk": [c], "block": [block.tobytes()]})
+
+    def union(batches):
+        held, block = None, None
+        for (c,), part in runs(batches, ["chunk"]):
+            if held is not None and c != held:
+                yield pd.DataFrame({"chunk": [held], "block": [block.tobytes()]})
+                block = None
+            held = c
+            for raw in part["block"]:
+                b = np.frombuffer(raw, np.uint8)
+                block = b.copy() if block is None else block | b
+        if held is not None:
+            yield pd.DataFrame({"chunk": [held], "block": [block.tobytes()]})
+
+    schema = "chunk int, block binary"
+    bits = np.zeros((size, planes), np.uint8)
+    rows = (kept.select("gram", "ls").mapInPandas(fill, schema).repartition("chunk").sortWithinPartitions("chunk")
+            .mapInPandas(union, schema))
+    for r in rows.toLocalIterator():
+        bits[r["chunk"] * CHUNK:(r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["block"]), np.uint8).reshape(-1, planes)
+    return bits
+
+
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Learn from every row with text and language; other rows are left out.
     No such row: a model without languages, which answers ``und``."""
@@ -183,100 +253,55 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
     # at most one entry per language in "by"
     kept = cut_lineage(top.where((F.col("n") >= MIN_COUNT) & (F.col("top") >= RARE))
                        .select("gram", "n", F.filter("by", lambda x: (x["f"] * NEAR >= F.col("top")) & (x["f"] >= RARE))["l"].alias("ls")))
-    most = kept.select(F.explode("ls").alias("l")).groupBy("l").count().agg(F.max("count")).first()[0] or 0
-    size = slots_for(most, planes)
-    totals = [int(totals.get(i, 0)) for i in range(len(languages))]
-    if most and size * planes > MOST_BYTES:
-        return LanguageModel(languages, None, totals, kept)
-    bits = np.zeros((size, planes), np.uint8)
 
-    def fill(batches):
-        part = np.zeros((size, planes), np.uint8)
-        for pdf in batches:
-            h = pdf["gram"].to_numpy().view(np.uint64)
-            mask = np.zeros((len(h), planes), np.uint8)
-            sizes = pdf["ls"].map(len).to_numpy()
-            ls = np.concatenate(pdf["ls"].to_list()) if len(pdf) else np.zeros(0, int)
-            np.bitwise_or.at(mask, (np.repeat(np.arange(len(h)), sizes), ls // 8), (1 << (ls % 8)).astype(np.uint8))
-            for s in slots(h, size):
-                np.bitwise_or.at(part, s, mask)
-        for c in range(size // CHUNK):
-            block = part[c * CHUNK:(c + 1) * CHUNK]
-            if block.any():
-                yield pd.DataFrame({"chunk": [c], "block": [block.tobytes()]})
-
-    def union(batches):
-        held, block = None, None
-        for (c,), part in runs(batches, ["chunk"]):
-            if held is not None and c != held:
-                yield pd.DataFrame({"chunk": [held], "block": [block.tobytes()]})
-                block = None
-            held = c
-            for raw in part["block"]:
-                b = np.frombuffer(raw, np.uint8)
-                block = b.copy() if block is None else block | b
-        if held is not None:
-            yield pd.DataFrame({"chunk": [held], "block": [block.tobytes()]})
-
-    schema = "chunk int, block binary"
-    rows = (kept.mapInPandas(fill, schema).repartition("chunk").sortWithinPartitions("chunk").mapInPandas(union, schema))
-    for r in rows.toLocalIterator():  # MOST_BYTES at most
-        bits[r["chunk"] * CHUNK:(r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["block"]), np.uint8).reshape(-1, planes)
-    return LanguageModel(languages, bits, totals)
+    def most(n):
+        per = kept.select(slice_column(n).alias("s"), F.explode("ls").alias("l")).groupBy("s", "l").count()
+        return per.agg(F.max("count")).first()[0] or 0
 
+    slices = slices_for(most, planes)
+    size = slots_for(most(slices), planes)
+    totals = [int(totals.get(i, 0)) for i in range(len(languages))]
+    if slices > 1:
+        return LanguageModel(languages, None, totals, kept, slices, size)
+    return LanguageModel(languages, _filter(kept, size, planes), totals)
 
-def _joined(docs: DataFrame, model: LanguageModel, text: str) -> DataFrame:
-    """(key, p) for every distinct text's md5: the answer by an exact join of its n-grams.
 
-    The most frequent n-grams are looked up in memory, so that none of them is a
-    hot key of the join; the others go to it, each once a text with its count."""
+def _by_slices(docs: DataFrame, model: LanguageModel, text: str) -> DataFrame:
+    """(key, p) for every distinct text's md5: one pass over the texts for each slice of the
+    filter, whose corrected counts add up.  Every pass is written."""
     spark, many = docs.sparkSession, len(model.languages)
-    common = model.table.orderBy(F.desc("n"), "gram").limit(max(1, min(COMMON, MOST_BYTES // many))).toPandas()
-    known = np.sort(common["gram"].to_numpy().view(np.uint64))
-    member = np.zeros((len(known), many), bool)
-    at = np.searchsorted(known, common["gram"].to_numpy().view(np.uint64))
-    sizes = common["ls"].map(len).to_numpy()
-    member[np.repeat(at, sizes), np.concatenate([np.asarray(x) for x in common["ls"]])] = True
-    lookup = spark.sparkContext.broadcast((known, member))
-    plain = LanguageModel(model.languages, None, model.totals)
-
-    def split(batches):
-        """A text's counts by language with its number of n-grams (gram null), and its other n-grams."""
-        known, member = lookup.value
-        for pdf in batches:
-            held, size = [], 0
-            for key, body in zip(pdf["key"], pdf["body"]):
-                h, letter = grams(body)
-                u, n = np.unique(h if letter else h[:0], return_counts=True)
-                at = np.minimum(np.searchsorted(known, u), len(known) - 1)
-                here = known[at] == u
-                got = (member[at[here]] * n[here][:, None]).sum(axis=0)
-                held.append(pd.DataFrame({"key": [key], "gram": pd.array([None], "Int64"), "n": [int(n.sum())], "got": [got]}))
-                held.append(pd.DataFrame({"key": key, "gram": pd.array(u[~here].view(np.int64), "Int64"), "n": n[~here], "got": None}))
-                size += len(held[-1])
-                if size > CHUNK:
-                    yield pd.concat(held)
-                    held, size = [], 0
-            if held:
-                yield pd.concat(held)
-
-    # an equal text's rows are equal, so one of each is kept
+    planes = max(1, -(-many // 8))
     src = docs.where(F.col(text).isNotNull()).select(F.md5(text).alias("key"), F.col(text).alias("body"))
-    rows = cut_lineage(src.mapInPandas(split, "key string, gram long, n long, got array<long>"))
-    own = rows.where("gram is null").groupBy("key").agg(F.first("n").alias("n"), F.first("got").alias("got"))
-    found = (rows.where("gram is not null").select("key", "gram", "n")
-             .join(model.table.select("gram", "ls"), "gram").dropDuplicates(["key", "gram"]))
-    sums = (found.select("key", "n", F.explode("ls").alias("l")).groupBy("key")
-            .agg(*[F.sum(F.when(F.col("l") == i, F.col("n")).otherwise(0)).alias(f"s{i}") for i in range(many)])
-            .select("key", F.array(*[f"s{i}" for i in range(many)]).alias("more")))
+    answers = None
+    for s in range(model.slices):
+        bits = _filter(model.table.where(slice_column(model.slices) == s), model.size, planes)
+        shared = spark.sparkContext.broadcast((bits, false_rates(bits, many)))
+
+        def count(batches, s=s, shared=shared):
+            bits, false = shared.value
+            for pdf in batches:
+                out = []
+                for key, body in zip(pdf["key"], pdf["body"]):
+                    h, letter = grams(body)
+                    h = h[slice_of(h, model_slices) == s] if letter else h[:0]
+                    if len(h):
+                        out.append((key, len(h), corrected(found(bits, h, many), len(h), false)))
+                if out:
+                    yield pd.DataFrame(out, columns=["key", "n", "held"])
+
+        model_slices = model.slices
+        # equal texts give equal rows, of which one stays
+        rows = cut_lineage(src.mapInPandas(count, "key string, n long, held array<double>").dropDuplicates(["key"]))
+        shared.destroy()
+        answers = rows if answers is None else answers.unionByName(rows)
+    sums = answers.groupBy("key").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("held", F.lit(i))) for i in range(many)]).alias("held"))
+    plain = LanguageModel(model.languages, None, model.totals)
 
     @F.pandas_udf("lang_pred string, score double, n_grams long")
-    def decide(n: pd.Series, got: pd.Series, more: pd.Series) -> pd.DataFrame:
-        out = [plain.choose(np.asarray(g) + (0 if m is None else np.asarray(m)), k) if k else (UNKNOWN, 0.0, 0)
-               for k, g, m in zip(n, got, more)]
-        return pd.DataFrame(out, columns=["lang_pred", "score", "n_grams"])
+    def decide(n: pd.Series, held: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([plain.choose(np.asarray(h, float), int(k)) for k, h in zip(n, held)], columns=["lang_pred", "score", "n_grams"])
 
-    return own.join(sums, "key", "left").select("key", decide("n", "got", "more").alias("p"))
+    return sums.select("key", decide("n", "held").alias("p"))
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -285,7 +310,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     names = ["lang_pred", "score", "n_grams"]
     rest = [F.col(f"d.{c}") for c in docs.columns if c not in names]
     if model.table is not None:
-        answers = _joined(docs, model, text)
+        answers = _by_slices(docs, model, text)
         p = F.coalesce("p", F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_grams")))
         return (docs.select(F.struct(*docs.columns).alias("d"), F.md5(text).alias("key")).join(answers, "key", "left")
                 .select("d", p.alias("p")).select(*rest, *[F.col(f"p.{c}") for c in names]))
