@@ -7,9 +7,11 @@ al. 2004).  Subsets come at several rates, each a quarter of the one before, so
 that some keep about one term of a short text and others of a long one: where
 few terms are left, the share of equal hashes follows the share of common terms.
 
-Document frequencies are counted over all documents.  Terms are counted in
-``2**TERM_BITS`` hash classes, so the table, and the band bitmap that is broadcast
-(512 KB), have a fixed size whatever the vocabulary."""
+Document frequencies are counted over all documents, by the terms' 64-bit hashes:
+tasks add up what they read, and each range of hashes is summed by one task.  The
+terms in the band become a bitmap of ``SPARE`` slots a term (512 KB at least, 64 MB at
+most), which is broadcast; where a term outside the band shares a slot with one inside
+it counts as inside, in all texts alike."""
 
 from __future__ import annotations
 
@@ -23,13 +25,18 @@ from pyspark.sql import functions as F
 from textlab.llm.common import cut_lineage, partitions_for, runs
 from textlab.llm.rolling import mix64, word_hashes
 
-TERM_BITS = 22
+#: Bits of the smallest and the largest band bitmap, and slots for each term in the band.
+TERM_BITS, MOST_BITS = 22, 29
+SPARE = 16
+#: Terms that a task counts at a time, bytes of text for each range of hashes, terms that a fingerprint handles at a time.
+HELD = 1 << 22
+RANGE_BYTES = 32 << 20
+STEP = 1 << 15
 SERIES = 32
 LEVELS = 6
 MIN_DF = 2
 MAX_SHARE = 0.2
 PART_BYTES = 16 << 20
-CHUNK = 1 << 16
 U = np.uint64
 #: Bytes that do not belong to a term.
 GAP = np.ones(256, bool)
@@ -43,69 +50,128 @@ def terms(text: str) -> np.ndarray:
     return np.unique(word_hashes(text.encode().lower(), GAP))
 
 
-def classes(t: np.ndarray) -> np.ndarray:
-    return (t >> U(64 - TERM_BITS)).astype(np.int64)
+def planes(a: np.ndarray) -> bytes:
+    """The bytes of sorted numbers by place, which compress."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
 
 
-def frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
-    """(documents that hold each term class, documents).  Null texts count as empty."""
+def from_planes(raw: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def summed(hashes: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, with the sums of their counts."""
+    h, n = np.concatenate(hashes), np.concatenate(counts)
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
+    return h[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def band_terms(docs: DataFrame, text: str, min_df: int, max_share: float) -> tuple[DataFrame, int]:
+    """((range, terms, n): the hashes with ln(1 / max_share) <= idf <= ln(documents / min_df) in each range of hashes,
+    by :func:`planes`, and their number), bits of a range's number).  Null texts count as empty."""
+    spark = docs.sparkSession
+    src = docs.select(F.coalesce(F.col(text), F.lit("")).alias("body"))
+    documents, size = src.agg(F.count(F.lit(1)), F.sum(F.octet_length("body"))).first()
+    bits = min(16, (partitions_for(spark, size or 0, RANGE_BYTES) - 1).bit_length())
+    starts = np.arange(1, 1 << bits, dtype=U) << U(64 - bits) if bits else np.zeros(0, U)
+
     def count(batches):
+        held, size = [], 0
+
+        def rows():
+            u, n = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(u, starts)
+            return pd.DataFrame([(r, planes(h[c == 1]), planes(h[c > 1]), c[c > 1].astype(np.uint32).tobytes())
+                                 for r, (h, c) in enumerate(zip(np.split(u, cuts), np.split(n, cuts))) if len(h)],
+                                columns=["range", "once", "more", "n"])
+
         for pdf in batches:
-            total = np.bincount(np.concatenate([np.unique(classes(terms(b))) for b in pdf["body"]]), minlength=1 << TERM_BITS)
-            at = np.flatnonzero(total)
-            cuts = np.searchsorted(at, np.arange(0, (1 << TERM_BITS) + 1, CHUNK))
-            yield pd.DataFrame([(c, (at[a:b] % CHUNK).astype(np.uint16).tobytes(), total[at[a:b]].astype(np.uint32).tobytes(), len(pdf) * (c == 0))
-                                for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b or c == 0], columns=["chunk", "low", "n", "docs"])
+            for body in pdf["body"]:
+                held.append(terms(body))
+                size += len(held[-1])
+                if size > HELD:
+                    yield rows()
+                    held, size = [], 0
+        if size:
+            yield rows()
 
     def add(batches):
-        held, total, docs = None, None, 0
-        for (c,), part in runs(batches, ["chunk"]):
-            if held is not None and c != held:
-                yield pd.DataFrame({"chunk": [held], "n": [total.tobytes()], "docs": [docs]})
-                total, docs = None, 0
-            held, total = c, np.zeros(CHUNK, np.uint32) if total is None else total
-            docs += int(part["docs"].sum())
-            for low, n in zip(part["low"], part["n"]):
-                total[np.frombuffer(low, np.uint16)] += np.frombuffer(n, np.uint32)
-        if held is not None:
-            yield pd.DataFrame({"chunk": [held], "n": [total.tobytes()], "docs": [docs]})
+        at, hashes, counts, size = None, [], [], 0
+
+        def row():
+            h, n = summed(hashes, counts)
+            kept = h[(n >= min_df) & (n <= max_share * documents)]
+            return pd.DataFrame({"range": [at], "terms": [planes(kept)], "n": [len(kept)]})
+
+        for (r,), part in runs(batches, ["range"]):
+            if at is not None and r != at:
+                yield row()
+                hashes, counts, size = [], [], 0
+            at = r
+            for once, more, n in zip(part["once"], part["more"], part["n"]):
+                h = [from_planes(once, U), from_planes(more, U)]
+                hashes += h
+                counts += [np.ones(len(h[0]), np.int64), np.frombuffer(n, np.uint32).astype(np.int64)]
+                size += len(h[0]) + len(h[1])
+            if size > HELD:
+                h, n = summed(hashes, counts)
+                hashes, counts, size = [h], [n], 0
+        if at is not None:
+            yield row()
+
+    parts = src.mapInPandas(count, "range int, once binary, more binary, n binary").repartitionById(1 << bits, F.col("range"))
+    return cut_lineage(parts.sortWithinPartitions("range").mapInPandas(add, "range int, terms binary, n long")), bits
+
+
+def lexicon_of(docs: DataFrame, text: str = "text", min_df: int = MIN_DF, max_share: float = MAX_SHARE) -> np.ndarray:
+    """Bitmap of the terms in the band, by the first bits of their hashes."""
+    kept, range_bits = band_terms(docs, text, min_df, max_share)
+    n = kept.agg(F.sum("n")).first()[0] or 0
+    bits = int(min(MOST_BITS, max(TERM_BITS, (SPARE * n).bit_length())))
+    width = 1 << (bits - range_bits)
+
+    def draw(batches):
+        for pdf in batches:
+            for r, raw in zip(pdf["range"], pdf["terms"]):
+                part = np.zeros(width, bool)
+                part[classes(from_planes(raw, U), bits) - r * width] = True
+                yield pd.DataFrame({"range": [r], "bits": [np.packbits(part).tobytes()]})
 
-    src = docs.select(F.coalesce(F.col(text), F.lit("")).alias("body"))
-    out, n = np.zeros(1 << TERM_BITS, np.uint32), 0
-    for r in (src.mapInPandas(count, "chunk int, low binary, n binary, docs long").repartition("chunk").sortWithinPartitions("chunk")
-              .mapInPandas(add, "chunk int, n binary, docs long").toLocalIterator()):
-        out[r["chunk"] * CHUNK:(r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["n"]), np.uint32)
-        n += r["docs"]
-    return out, n
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in kept.where("n > 0").mapInPandas(draw, "range int, bits binary").toLocalIterator():  # the bitmap in parts
+        out[r["range"] * width // 8:(r["range"] + 1) * width // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
 
 
-def band(df: np.ndarray, n: int, min_df: int = MIN_DF, max_share: float = MAX_SHARE) -> np.ndarray:
-    """Bitmap of the term classes with ln(1 / max_share) <= idf <= ln(n / min_df)."""
-    return np.packbits((df >= min_df) & (df <= max_share * n))
+def classes(t: np.ndarray, bits: int) -> np.ndarray:
+    return (t >> U(64 - bits)).astype(np.int64)
 
 
 def fingerprint(text: str, lexicon: np.ndarray) -> np.ndarray:
     """LEVELS x SERIES 16-bit hashes, 0 where no term of the subset occurs.  A text
     without a term in the band uses all its terms, without any term itself as one."""
     t = terms(text)
-    c = classes(t)
+    c = classes(t, (8 * len(lexicon)).bit_length() - 1)
     kept = t[(lexicon[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1] if len(t) else t
     if not len(kept):
         kept = t if len(t) else np.frombuffer(hashlib.sha256(text.encode()).digest()[:8], U)
-    # one value of a term per series by double hashing; its share of a subset's hash is the same in all
-    v = mix64(kept)
-    h = v[:, None] + mix64(v)[:, None] * SEEDS[None, :]
-    out = np.zeros((LEVELS, SERIES), U)
-    for l in range(LEVELS):
-        member = h <= TOPS[l]
-        live = member.any(axis=1)
-        h, v, member = h[live], v[live], member[live]  # rarer subsets are parts of the commoner ones
-        if not len(h):
-            break
-        some = member.any(axis=0)
-        s = mix64((member * v[:, None]).sum(axis=0, dtype=U))
-        out[l] = np.where(some, s % U(65535) + U(1), U(0))
-    return out.astype(np.uint16)
+    total, some = np.zeros((LEVELS, SERIES), U), np.zeros((LEVELS, SERIES), bool)
+    for at in range(0, len(kept), STEP):
+        # one value of a term per series by double hashing; its share of a subset's hash is the same in all
+        v = mix64(kept[at:at + STEP])
+        h = v[:, None] + mix64(v)[:, None] * SEEDS[None, :]
+        for l in range(LEVELS):
+            member = h <= TOPS[l]
+            live = member.any(axis=1)
+            h, v, member = h[live], v[live], member[live]  # rarer subsets are parts of the commoner ones
+            if not len(h):
+                break
+            some[l] |= member.any(axis=0)
+            total[l] += (member * v[:, None]).sum(axis=0, dtype=U)
+    return np.where(some, mix64(total) % U(65535) + U(1), U(0)).astype(np.uint16)
 
 
 def shown(fp: np.ndarray) -> str:
@@ -136,7 +202,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
     without an id come last, repeated ids in order of their texts' hash; a table
     of one row is its own next.  An empty table gives an empty result."""
     spark = docs.sparkSession
-    lexicon = spark.sparkContext.broadcast(band(*frequencies(docs, text), min_df, max_share))
+    lexicon = spark.sparkContext.broadcast(lexicon_of(docs, text, min_df, max_share))
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     size, = src.agg(F.sum(F.octet_length("body"))).first()
     parts = partitions_for(spark, size or 0, PART_BYTES)
