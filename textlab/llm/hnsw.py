@@ -309,8 +309,7 @@ def _query(at_least: float, kind: str = "float32"):
 
 def graphs(vectors: DataFrame, at_least: float, shards: int, kind: str = "float32") -> DataFrame:
     """One graph per shard of (node, embedding, w): shard, nodes, w, raw, graph, beam, recall."""
-    n = shards
-    return cut_lineage(vectors.repartition(n, "shard").sortWithinPartitions("shard", "node")
+    return cut_lineage(vectors.repartitionById(shards, F.expr(f"cast(pmod(shard, {shards}L) as int)")).sortWithinPartitions("shard", "node")
                        .mapInPandas(_build(at_least, kind), "shard long, nodes binary, w binary, raw binary, graph binary, beam int, recall double"))
 
 
@@ -347,7 +346,8 @@ def near_duplicates(rows: DataFrame, at_least: float = 0.95, vec: str = "embeddi
     right = nodes.select(F.explode(F.sequence(base, base + (shards - 1))).alias("shard"),
                          F.expr(f"cast(pmod(xxhash64(node), {blocks}) as int)").alias("block"), F.lit(1).alias("kind"),
                          "node", "embedding", *[none.cast("binary").alias(c) for c in ("nodes", "w", "raw", "graph")])
-    found = cut_lineage(left.unionByName(right).repartition(2 * shards * blocks, "shard", "block")
+    task = F.expr(f"cast(pmod(shard, {shards}L) * {blocks} + block as int)")  # every shard and block is a task of its own
+    found = cut_lineage(left.unionByName(right).repartitionById(shards * blocks, task)
                         .sortWithinPartitions("shard", "block", "kind", "node")
                         .mapInPandas(_query(at_least, kind), "kind int, a long, b long"))
     counts = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
