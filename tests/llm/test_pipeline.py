@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 def test_stages_and_registration():
     assert [n for n, _ in P.STAGES] == ["quality", "language", "near_duplicates", "passages", "sequences"]
     q = E.queries()
-    assert {x.split("_")[0] for x in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {x.split("_")[0] for x in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) < set(q) and q["pipeline"] is P.run and set(queries.SQL) <= set(E.oracle_sql())
 
 
