@@ -71,3 +71,20 @@ def test_one_class_and_no_rows(spark):
     assert all(r["accuracy"] == 1.0 for r in per_fold.collect())
     preds, per_fold, _ = L.cross_validate(spark.createDataFrame([(1, ["a"], None)], schema), "doc_id", "label", 2, binary=True)
     assert preds.collect() == [] and per_fold.collect() == []
+
+
+def test_a_pass_writes_one_gradient_for_each_core(spark, monkeypatch):
+    """A task writes a gradient as large as the models in each pass, whatever its rows: there are no more tasks than cores."""
+    rows = [(i, ["good" if i % 2 else "bad", f"w{i % 7}"], i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, toks array<string>, label int")
+    seen = []
+    fit = L.fit_models
+    monkeypatch.setattr(L, "fit_models", lambda blocks, *a, **b: (seen.append(blocks.rdd.getNumPartitions()), fit(blocks, *a, **b))[1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        preds, _, _ = L.cross_validate(df, "doc_id", "label", 3, binary=True, features=256)
+        assert preds.count() == 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen and seen[0] <= spark.sparkContext.defaultParallelism

@@ -77,6 +77,12 @@ def _blocks(df: DataFrame, id_col: str, tokens: str, label: str, part: str, clas
     return src.mapInPandas(work, f"block long, ids array<{kind}>, y binary, part binary, row binary, feature binary, n binary")
 
 
+def _tasks(spark) -> int:
+    """Tasks of a pass: one for each core.  Every task writes a gradient as large as the live models
+    in every pass, so that more tasks than run at once only cost disk."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def _arrays(r):
     """y, part, row, feature, n of a block."""
     return (*(np.frombuffer(r[c], np.int32) for c in ("y", "part", "row", "feature")), np.frombuffer(r["n"], np.float64))
@@ -324,7 +330,7 @@ def cross_validate(df: DataFrame, id_col: str, label: str, k: int, tokens: str =
         return empty, classification_metrics(empty, "label", "prediction", by=["fold"]), None
     binary = binary and len(classes) == 2
     made = cut_lineage(_blocks(folded, id_col, tokens, label, "fold", classes, features))
-    blocks = made.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").persist()
+    blocks = made.repartition(_tasks(df.sparkSession), "block").persist()
     models = fit_models(blocks, classes, list(range(k)), binary, features, reg, steps, tolerance)
     preds = cut_lineage(predict(blocks, models, made.schema["ids"].dataType.elementType.simpleString()))
     blocks.unpersist()
