@@ -117,3 +117,15 @@ def test_model_save_load(spark, tmpdir_path):
     a = [r[0] for r in model.transform(df).select("prediction").collect()]
     b = [r[0] for r in again.transform(df).select("prediction").collect()]
     assert a == b
+
+
+def test_texts_of_one_row_group_go_to_many_tasks(spark, tmpdir_path, monkeypatch):
+    """One row group is one task; a large one is dealt out, with the same rows."""
+    from pyspark.sql import functions as F
+    from textlab.sources import posts
+    spark.range(300).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).coalesce(1).write.parquet(f"{tmpdir_path}/documents.parquet")
+    assert posts.load_table(spark, tmpdir_path, "documents").rdd.getNumPartitions() == 1
+    monkeypatch.setattr(posts, "FEW_TEXTS", 100)
+    got = posts.load_table(spark, tmpdir_path, "documents")
+    held = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(held) == 4 and sum(r["count"] for r in held) == 300
