@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textlab.functions.clean import WS, _c, split_ws, tokenize, word_table
+from textlab.functions.clean import WS, _c, let, split_ws, tokenize, word_table
 from textlab.functions.wordlists import BOOSTERS, INTENSIFIERS, LEXICON, NEGATIONS
 
 # Fixed values from the rule-based sentiment paper (Hutto & Gilbert 2014).
@@ -30,13 +30,6 @@ def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
-def let(value: Column, fn) -> Column:
-    """Bind ``value`` once per row and use it in ``fn``.  Inside a lambda an
-    outer *expression* is re-evaluated for every array element; a lambda
-    variable is not, so this keeps per-token rules linear in the text."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def is_negation(token: Column, negations) -> Column:
     """A negation word, or any word with "n't" (either apostrophe); null: no."""
     return F.coalesce(token.isin(negations) | token.contains("n't") | token.contains("n\u2019t"), F.lit(False))
