@@ -81,3 +81,23 @@ def test_apply(spark):
     got = sorted(str((r["doc_id"], r["lemmas"])) for r in M.apply_forms(d, "t", f).collect())
     assert got == sorted(map(str, [(1, ["city", "walk", "xx"]), (1, ["city", "walk", "xx"]), (2, []), (3, []), (None, ["walk", "walk"])]))
     assert len(LEMMAS) > 50
+
+
+def test_apply_makes_no_row_of_a_token(spark, monkeypatch):
+    """Texts are rewritten block by block, the tokens of a block of any size equal those of a plain loop."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    table = {w: (w[:2] if i % 3 else None, ["NOUN", "DET", "VERB", None][i % 4]) for i, w in enumerate(words[:40])}
+    rows = [(i, rnd.choices(words + [None], k=rnd.randint(0, 30))) for i in range(200)] + [(7, None), (None, ["w1"])]
+    f = spark.createDataFrame([(w, *x) for w, x in table.items()], "word string, lemma string, pos string")
+    d = spark.createDataFrame(rows, "doc_id int, t array<string>").repartition(3)
+
+    def said(ws):
+        known = [(table.get(w, (None, None)), w) for w in ws or [] if w is not None]
+        return [lem or w for (lem, pos), w in known if (pos or "NOUN") in M.ALLOWED_POS]
+
+    for size in (1 << 18, 50):
+        monkeypatch.setattr(M, "BLOCK", size)
+        out = M.apply_forms(d, "t", f)
+        assert sorted(map(str, [(r[0], r[1]) for r in out.collect()])) == sorted(str((i, said(ws))) for i, ws in rows)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()

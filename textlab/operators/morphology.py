@@ -11,11 +11,15 @@ of speech wherever it stands.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textlab.functions.wordlists import ALLOWED_POS, LEMMAS
-from textlab.operators.lexicon_table import token_key
 from textlab.session import cut_lineage
 
 #: (suffix, what takes its place, part of speech, ending that must occur on the same stem), the preferred first.
@@ -37,6 +41,8 @@ SUFFIXES = {
 #: Letters of a base, and of a stem with a derivational suffix, at least.
 SHORTEST = 3
 DOUBLED = r"([bdfglmnprt])\1$"
+#: Tokens of a block of documents; a longer document is a block of its own.
+BLOCK = 1 << 18
 
 
 def _candidates(word):
@@ -95,14 +101,57 @@ def word_forms(docs: DataFrame, tokens: str, lemmas=LEMMAS) -> DataFrame:
                     F.coalesce("t_pos", F.when(F.col("base").isNotNull(), by_rule).otherwise(alone)).alias("pos"), known.alias("known_by"))
 
 
+def _token_blocks(docs: DataFrame, tokens: str, keep: tuple) -> DataFrame:
+    """block, at (place in it), ``keep`` and the tokens: consecutive rows of about ``BLOCK`` tokens."""
+    def work(batches):
+        task, made, size = TaskContext.get().partitionId() << 32, 0, 0
+        for b in batches:
+            lengths = pc.fill_null(pc.list_value_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+            block = np.empty(b.num_rows, np.int64)
+            for i, n in enumerate(lengths):
+                if size and size + n > BLOCK:
+                    made, size = made + 1, 0
+                block[i], size = task + made, size + n
+            yield pa.RecordBatch.from_arrays([pa.array(block), *b.columns], ["block", *b.schema.names])
+
+    src = docs.select(*keep, F.col(tokens).alias("__t"))
+    return src.mapInArrow(work, T.StructType([T.StructField("block", T.LongType()), *src.schema.fields]))
+
+
 def apply_forms(docs: DataFrame, tokens: str, forms: DataFrame, allowed=ALLOWED_POS, keep: tuple = ("doc_id",), out: str = "lemmas") -> DataFrame:
     """``keep`` columns and the lemmas of the tokens of the ``allowed`` parts of speech, in order.  A word that is not in
-    ``forms`` keeps its form and counts as a noun.  Documents of equal tokens are put together once; null and empty
-    arrays give an empty one."""
-    at = docs.select(token_key(tokens).alias("key"), F.posexplode(tokens).alias("at", "word")).where(F.col("word").isNotNull())
-    at = at.join(forms.select("word", "lemma", "pos"), "word", "left")
-    at = at.where(F.coalesce("pos", F.lit("NOUN")).isin(list(allowed)))
-    rows = at.groupBy("key").agg(F.collect_set(F.struct("at", F.coalesce("lemma", "word").alias("lemma"))).alias("s"))
-    rows = rows.select("key", F.transform(F.sort_array("s"), lambda s: s["lemma"]).alias(out))
-    got = docs.select(*keep, token_key(tokens).alias("key")).join(rows, "key", "left")
-    return got.select(*keep, F.coalesce(out, F.array().cast("array<string>")).alias(out))
+    ``forms`` keeps its form and counts as a noun.  Null and empty arrays give an empty one.
+
+    Documents lie in blocks of about ``BLOCK`` tokens.  A block asks for the forms of its distinct words, only those
+    that change a word or drop it are sent, and its texts are rewritten in one task: no token is a row of its own."""
+    blocks = cut_lineage(_token_blocks(docs, tokens, keep))  # read by the words and by the texts
+
+    def distinct(batches):
+        for b in batches:
+            words, parent = b.column(1), pc.list_parent_indices(b.column(1)).to_numpy(zero_copy_only=False)
+            flat, block = pc.list_flatten(words), b.column(0).to_numpy()[parent]
+            for one in np.unique(block):
+                own = pc.drop_null(pc.unique(flat.filter(pa.array(block == one))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), one)), own], ["at", "word"])
+
+    other = forms.where(~F.coalesce("pos", F.lit("NOUN")).isin(list(allowed)) | (F.coalesce("lemma", "word") != F.col("word")))
+    other = other.select("word", F.when(F.coalesce("pos", F.lit("NOUN")).isin(list(allowed)), F.coalesce("lemma", "word")).alias("lemma"))
+    needs = blocks.select("block", "__t").mapInArrow(distinct, "at long, word string").distinct().join(other, "word").select("at", "word", "lemma")
+    kept = T.StructType([*docs.select(*keep).schema.fields, T.StructField(out, T.ArrayType(T.StringType()))])
+    names = list(keep)
+
+    def rewrite(block: pa.Table, changed: pa.Table) -> pa.Table:
+        texts = block.column("__t").combine_chunks()
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        flat, parent = pc.list_flatten(texts), pc.list_parent_indices(texts).to_numpy(zero_copy_only=False)
+        coded = flat.dictionary_encode()
+        words = coded.dictionary
+        place = pc.index_in(words, value_set=changed.column("word").combine_chunks())  # null: as it is
+        said = pc.if_else(place.is_valid(), changed.column("lemma").combine_chunks().take(pc.fill_null(place, 0)), words) if changed.num_rows else words
+        lemmas = said.take(coded.indices)
+        stays = lemmas.is_valid()
+        lemmas, parent = lemmas.filter(stays), parent[stays.to_numpy(zero_copy_only=False)]
+        ends = np.searchsorted(parent, np.arange(len(texts) + 1)).astype(np.int32)
+        return pa.table([*[block.column(c) for c in names], pa.ListArray.from_arrays(pa.array(ends), lemmas)], [*names, out])
+
+    return blocks.groupBy("block").cogroup(needs.groupBy("at")).applyInArrow(rewrite, kept)
