@@ -11,6 +11,8 @@ import functools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -230,15 +232,54 @@ def assign_topics(df: DataFrame, vec: str, labels, mat) -> DataFrame:
 
 # ------------------------------------------------------------ topic x topic
 
+#: Numbers of the words x topics piece that a task multiplies at once.
+_PIECE = 1 << 21
+
+
+def _topic_products(per_word: DataFrame, kind: str) -> DataFrame:
+    """(a, b, dot), a <= b: the products of the topics' weights, summed over the words.  ``per_word`` has one
+    array ``ts`` of (t, w) a word; a task adds its words up in one topics x topics matrix."""
+    def work(batches):
+        place, names, total, met = {}, [], np.zeros((0, 0)), np.zeros((0, 0), bool)
+        for batch in batches:
+            ts = batch.column(0)
+            entries, word = pc.list_flatten(ts), pc.list_parent_indices(ts).to_numpy(zero_copy_only=False)
+            if not len(entries):
+                continue
+            coded = pc.struct_field(entries, "t").dictionary_encode()
+            for t in coded.dictionary.to_pylist():
+                if t not in place:
+                    place[t] = len(names)
+                    names.append(t)
+            topic = np.array([place[t] for t in coded.dictionary.to_pylist()])[coded.indices.to_numpy(zero_copy_only=False)]
+            w = pc.struct_field(entries, "w").to_numpy(zero_copy_only=False)
+            k = len(names)
+            if k > len(total):
+                pad = ((0, k - len(total)),) * 2
+                total, met = np.pad(total, pad), np.pad(met, pad)
+            step = max(1, _PIECE // k)
+            for at in range(0, len(ts), step):
+                some = slice(*np.searchsorted(word, [at, at + step]))
+                m, has = np.zeros((2, min(step, len(ts) - at), k))
+                m[word[some] - at, topic[some]], has[word[some] - at, topic[some]] = w[some], 1.0
+                total += m.T @ m
+                met |= has.T @ has > 0
+        rows = [(names[i], names[j], float(total[i, j])) for i, j in zip(*np.nonzero(met)) if names[i] <= names[j]]
+        yield pa.RecordBatch.from_pylist([dict(zip("abp", r)) for r in rows], schema=pa.schema([("a", arrow), ("b", arrow), ("p", pa.float64())]))
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    arrow = to_arrow_type(per_word.schema["ts"].dataType.elementType["t"].dataType)
+    return per_word.select("ts").mapInArrow(work, f"a {kind}, b {kind}, p double").groupBy("a", "b").agg(F.sum("p").alias("dot"))
+
+
 def topic_cosine(weights: DataFrame, topic: str) -> DataFrame:
     """Cosine between topic word-weight vectors as (topic_a, topic_b,
-    cosine, distance), a < b.  The topics of a word meet in an array, its
-    products are summed per pair with map-side combining."""
+    cosine, distance), a < b.  The topics of a word meet in an array, whose
+    products a task adds up before a row for each pair is shuffled."""
     t = F.col(topic)
-    per_word = weights.groupBy("word").agg(F.array_sort(F.collect_list(F.struct(t.alias("t"), F.col("weight").alias("w")))).alias("ts"))
-    pairs = F.flatten(F.transform("ts", lambda x, i: F.transform(
-        F.slice("ts", i + 1, F.size("ts")), lambda y: F.struct(x["t"].alias("a"), y["t"].alias("b"), (x["w"] * y["w"]).alias("p")))))
-    g = (per_word.select(F.explode(pairs).alias("s")).groupBy("s.a", "s.b").agg(F.sum("s.p").alias("dot")))
+    per_word = (weights.where(t.isNotNull()).groupBy("word")
+                .agg(F.collect_list(F.struct(t.alias("t"), F.col("weight").alias("w"))).alias("ts")))
+    g = _topic_products(per_word, weights.schema[topic].dataType.simpleString())
     norms = g.where("a = b").select(F.col("a").alias("t"), F.sqrt("dot").alias("n"))
     # every pair, also those without a common word: each topic is numbered (one row a topic) and
     # asks for the numbers behind its own, so the pairs come from joins by number on many tasks
