@@ -23,6 +23,8 @@ from textlab.operators import topics as TP
 from textlab.session import cut_lineage
 
 NUM_FEATURES = 1 << 18
+#: Tasks of a KMeans step for each core, at most.
+FIT_TASKS = 4
 
 
 def reduce_dimensions(df: DataFrame, vec: str, k: int = 5, out: str = "reduced") -> DataFrame:
@@ -57,7 +59,9 @@ def cluster_topics(df: DataFrame, features: str, k: int, seed: int = 42, min_top
     some = F.size(tokens) > 0 if tokens else F.exists(features, lambda x: x != 0)
     d = df.withColumn("__v", array_to_vector(F.col(features)) if array else F.col(features))
     fit_on = d.where(F.coalesce(some, F.lit(False)))
-    model = KMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="__v", predictionCol="__c").fit(fit_on)
+    # a task sends k dense centres in every step, so the number of tasks follows the cores, not the rows
+    few = fit_on.coalesce(FIT_TASKS * df.sparkSession.sparkContext.defaultParallelism)
+    model = KMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="__v", predictionCol="__c").fit(few)
     pred = model.transform(fit_on).unionByName(d.where(~F.coalesce(some, F.lit(False))).withColumn("__c", F.lit(-1)))
     if min_similarity is not None:
         centres = np.array([c / (np.linalg.norm(c) or 1.0) for c in model.clusterCenters()])
@@ -121,12 +125,13 @@ def merge_path(topics: list, sizes: dict, sim: np.ndarray, targets) -> dict:
         mapping = {old: (into if new == small else new) for old, new in mapping.items()}
 
 
-def reduce_topics(docs: DataFrame, topic: str, tokens: str, targets, outlier: int = -1) -> dict:
+def reduce_topics(docs: DataFrame, topic: str, tokens: str, targets, outlier: int = -1, counts: DataFrame | None = None) -> dict:
     """One pass over the documents (term counts and sizes), one similarity
     table, then :func:`merge_path` on the driver; c-TF-IDF of a merged table is
-    computed by the caller, once per target.  The outlier topic stays itself."""
+    computed by the caller, once per target.  The outlier topic stays itself.
+    ``counts`` are the term counts without the outliers, if they are there already."""
     known = docs.where(F.col(topic) != outlier)
-    topics, sim = topic_similarity(cut_lineage(TP.term_counts(known, topic, tokens)), topic)
+    topics, sim = topic_similarity(cut_lineage(TP.term_counts(known, topic, tokens)) if counts is None else counts, topic)
     sizes = {r[0]: r[1] for r in known.groupBy(topic).count().collect()}
     missing = sorted(set(sizes) - set(topics))  # topics whose documents have no token
     n = len(topics)
