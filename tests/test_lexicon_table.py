@@ -109,3 +109,17 @@ def test_two_hundred_thousand_entries_by_shuffle(spark):
         finally:
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert got[0] == got[1] == [(0, 3, 1, 5.9), (1, 2, 0, 2.9)]
+
+
+def test_words_that_start_no_entry_leave_in_the_row(spark, monkeypatch):
+    """The same hits with the filter in the row and, for lexicons of many first words, without it."""
+    lex = T.entries(spark.createDataFrame([("good", 1.0), ("Not good", -1.0), ("very very bad", -2.0)], "phrase string, valence double"))
+    d = spark.createDataFrame([(1, ["so", "Good", None, "not", "good"]), (2, ["very", "very", "very", "bad", "x"]), (3, []), (4, None)], "doc_id int, t array<string>")
+    got = {}
+    for heads in (10_000, 2):
+        monkeypatch.setattr(T, "HEADS", heads)
+        hits = T.phrase_hits(d, "t", lex, before=2)
+        got[heads] = sorted(map(str, hits.collect()))
+        plan = hits._jdf.queryExecution().analyzed().toString()
+        assert ("filter(sequence" in plan) == (heads > 2)
+    assert got[10_000] == got[2] and len(got[2]) == 3

@@ -24,6 +24,8 @@ from textlab.operators.lexicon import (ALPHA, BOOST_DISTANCE, BOOST_INCR, BUT_AF
 from textlab.session import cut_lineage
 
 PIECE = 4096
+#: First words of entries that are looked for inside a post's row; with more of them every word goes to the join.
+HEADS = 10_000
 #: Words before a hit that its context rules read.
 BEFORE = max(BOOST_DISTANCE)
 #: "never so good", "never this good" (fixed value of the published rules).
@@ -71,6 +73,7 @@ def phrase_hits(posts: DataFrame, tokens: str, lexicon: DataFrame, carry: tuple
     longest = lexicon.agg(F.max("n_words")).first()[0] or 1
     heads = (lexicon.groupBy(F.substring_index("phrase", " ", 1).alias("head"))
                     .agg(F.sort_array(F.collect_set("n_words")).alias("lengths")))
+    few = [r["head"] for r in heads.select("head").limit(HEADS + 1).collect()]
     t = F.col(tokens)
     # no filter on the size: it would go below the tokenizer and run it twice
     froms = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1, F.lit(PIECE)))
@@ -86,7 +89,10 @@ def phrase_hits(posts: DataFrame, tokens: str, lexicon: DataFrame, carry: tuple
                         F.slice(p["t"], i + 1, longest).alias("ahead"), *near)
 
     def places(p):
-        return F.transform(F.sequence(p["lead"], F.least(p["lead"] + PIECE, F.size(p["t"])) - 1), lambda i: place(p, i))
+        at = F.sequence(p["lead"], F.least(p["lead"] + PIECE, F.size(p["t"])) - 1)
+        if 0 < len(few) <= HEADS:  # words that start no entry leave inside the row; the join below finds the same ones
+            at = F.filter(at, lambda i: F.lower(F.get(p["t"], i)).isin(few))
+        return F.transform(at, lambda i: place(p, i))
 
     bound = F.struct(F.col("__t").alias("t"), F.col("__from").alias("from"), F.col("__lead").alias("lead"))
     at = src.select("key", *carry, F.explode(let(bound, places)).alias("r")).select("key", *carry, "r.*").join(heads, "head")
