@@ -54,3 +54,16 @@ def test_batch_scorer_equals_the_python_model(spark):
     got = [tuple(r["r"]) for r in df.select(scorer("t").alias("r")).collect()]
     want = K.lexicon_model_factory(LEXICON)()(np.array(texts, dtype=object))
     assert [g[0] for g in got] == list(want["label"]) and [g[1] for g in got] == pytest.approx(list(want["score"]))
+
+
+def test_saved_models_read_tokens_that_are_written_once(spark, tmpdir_path, monkeypatch):
+    from textlab.plans import models as M
+    words = ["up good sun", "down bad rain", "so so then"]
+    spark.createDataFrame([(i, f"{words[i % 3]} {i}") for i in range(30)], "doc_id long, text string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 == 1), int(i % 3 == 0)) for i in range(24)], "doc_id long, toxic int, quality int").write.parquet(f"{tmpdir_path}/labels.parquet")
+    fitted, fit = [], K.fit_all
+    monkeypatch.setattr(M.K, "fit_all", lambda df, pipeline: (fitted.append(df), fit(df, pipeline))[1])
+    out = M.q_saved_model_scores(spark, tmpdir_path)
+    rows = {r["doc_id"]: (r["sentiment_score"], r["vape_user"]) for r in out.collect()}
+    assert rows == {i: [(1, "y"), (-1, "n"), (0, "n")][i % 3] for i in range(30)}
+    assert len(fitted) == 2 and not any("regexp" in d._jdf.queryExecution().toString() for d in [*fitted, out])

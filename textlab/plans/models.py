@@ -34,11 +34,14 @@ def r6(c):
 
 
 def _labelled(spark, sf):
-    docs = load_table(spark, sf, "documents").select("doc_id", "text")
+    return _with_labels(spark, sf, load_table(spark, sf, "documents").select("doc_id", C.tokenize("text").alias("toks")))
+
+
+def _with_labels(spark, sf, posts):
+    """``posts`` (doc_id, toks) that have a row of labels."""
     lab = load_table(spark, sf, "labels")
     senti = F.when(F.col("toxic") == 1, F.lit(0)).when(F.col("quality") == 1, F.lit(2)).otherwise(F.lit(1))
-    return docs.join(lab, "doc_id").select("doc_id", C.tokenize("text").alias("toks"),
-                                           senti.alias("sentiment"), F.col("quality").alias("vape_user"))
+    return posts.join(lab, "doc_id").select("doc_id", "toks", senti.alias("sentiment"), F.col("quality").alias("vape_user"))
 
 
 def _cv_output(per_fold):
@@ -201,11 +204,12 @@ def q_topic_sweep(spark, sf):
 def q_saved_model_scores(spark, sf):
     """M4 + M8 with saved models: fit a sentiment and a user pipeline, save, load,
     score every post's sentiment, then the user type of the scored posts."""
-    d = _labelled(spark, sf)
+    # written once: a fit reads its rows several times, each time with all the regular expressions of the tokens
+    posts = cut_lineage(load_table(spark, sf, "documents").select("doc_id", C.tokenize("text").alias("toks")))
+    d = cut_lineage(_with_labels(spark, sf, posts))
     folder = f"{tables_dir(spark)}/models/{uuid.uuid4().hex}"
     K.save_model(K.fit_all(d.withColumnRenamed("sentiment", "label"), K.text_pipeline("toks", "label")), f"{folder}/sentiment")
     K.save_model(K.fit_all(d.withColumnRenamed("vape_user", "label"), K.text_pipeline("toks", "label", binary=True)), f"{folder}/user")
-    posts = load_table(spark, sf, "documents").select("doc_id", C.tokenize("text").alias("toks"))
     first = K.load_model(f"{folder}/sentiment").transform(posts).select(
         "doc_id", "toks", (F.col("prediction").cast("int") - 1).alias("sentiment_score"))
     return K.load_model(f"{folder}/user").transform(first).select(
