@@ -70,3 +70,37 @@ def test_bigram_and_bow(spark):
 def test_lemmatize_pos(spark):
     df = spark.createDataFrame([(["people", "were", "running", "the"],)], "t array<string>")
     assert df.select(P.lemmatize_pos("t")).first()[0] == ["person", "running"]
+
+
+def test_merging_neither_shuffles_texts_nor_depends_on_the_way(spark, monkeypatch):
+    """Bounded phrase tables are merged in the tasks, in parts of a batch; larger ones are joined."""
+    rnd = random.Random(9)
+    vocab = ["a", "b", "c", "a_b", "ä"]
+    phrases = sorted({f"{a}_{b}" for a in vocab for b in vocab if rnd.random() < 0.4})
+    docs = [(i, [rnd.choice(vocab) for _ in range(rnd.randint(0, 12))]) for i in range(80)] + [(None, ["a", "b"]), (90, None), (91, []), (92, ["a"])]
+    df = spark.createDataFrame(docs, "id long, toks array<string>")
+    ph = spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    monkeypatch.setattr(P, "TOKENS", 7)
+    inside = P.apply_phrases_df(df, "id", "toks", ph)
+    assert "Exchange" not in inside._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(P, "MOST_PHRASES", 0)
+    joined = P.apply_phrases_df(df, "id", "toks", ph)
+    got = {r["id"]: r["phrased"] for r in inside.collect()}
+    assert inside.columns == joined.columns and got == {r["id"]: r["phrased"] for r in joined.collect()}
+    assert got[None] == ["a", "b"] and got[90] is None and got[91] == []
+    assert all(got[i] == greedy(ws, set(phrases)) for i, ws in docs if i is not None and ws)
+    none = P.apply_phrases_df(df, "id", "toks", ph.limit(0)).collect()
+    assert all(r["phrased"] == r["toks"] for r in none)
+
+
+def test_slices_of_pairs_count_the_same_and_leave_no_files(spark, monkeypatch):
+    import os
+
+    from textlab.session import tables_dir
+    docs = [["new", "york", "is", "big"]] * 8 + [["york", "is", "old"]] * 2 + [["x"], [], None]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id long, toks array<string>")
+    one = sorted(map(tuple, P.phrase_learn(df, "toks", 2, 0.5).collect()))
+    before = set(os.listdir(tables_dir(spark).removeprefix("file:")))
+    monkeypatch.setattr(P, "SLICE", 10)
+    assert one and sorted(map(tuple, P.phrase_learn(df, "toks", 2, 0.5).collect())) == one
+    assert len(set(os.listdir(tables_dir(spark).removeprefix("file:"))) - before) == 1  # the phrases only

@@ -72,3 +72,16 @@ def test_intermediate_tables_are_deleted(spark):
     assert glob.glob(folder + "/*")
     drop_tables(spark)
     assert not glob.glob(folder + "/*")
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from textlab.session import cut_lineage, drop_table
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    tracker = env.mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    out = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "k"))
+    assert tracker.shuffleStatuses().size() <= before and out.count() == 7
+    drop_table(out)
+    assert not os.path.exists(out._table.removeprefix("file:"))

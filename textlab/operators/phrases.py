@@ -8,13 +8,19 @@ counts are plain grouped aggregations with map-side combining.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textlab.functions.clean import _c, lookup
 from textlab.functions.wordlists import ALLOWED_POS, LEMMAS
 from textlab.operators.lexicon import let
-from textlab.session import cut_lineage
+from textlab.session import cut_lineage, drop_table
 
 DELIM = "_"
 
@@ -63,17 +69,21 @@ def bigram_counts(df: DataFrame, tokens: str) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("n")))
 
 
-def ngram_counts(df: DataFrame, tokens: str) -> DataFrame:
-    """Unigram (w1, null) and bigram (w1, w2) counts in one pass and one shuffle."""
-    def items(t):
-        uni = F.transform(t, lambda w: F.struct(w.alias("w1"), F.lit(None).cast("string").alias("w2")))
-        bi = F.filter(F.zip_with(t, F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
-                                 lambda a, b: F.struct(a.alias("w1"), b.alias("w2"))),
-                      lambda p: p["w2"].isNotNull())
-        return F.concat(uni, bi)
-    return (df.select(F.explode(let(F.col(tokens), items)).alias("g"))
-              .groupBy(F.col("g.w1").alias("w1"), F.col("g.w2").alias("w2"))
-              .agg(F.count(F.lit(1)).alias("n")))
+#: Tokens whose pairs are counted, and so shuffled, at once.
+SLICE = 1 << 29
+
+
+def ngram_counts(df: DataFrame, tokens: str) -> list[DataFrame]:
+    """(w1, w2, n): every token with the one after it, null at the end of a text, as written tables of
+    different pairs.  The counts of a token's rows add up to its own.  Each table is made in one pass and
+    one shuffle; there are more than one only beyond ``SLICE`` tokens, so that the shuffles need not be on
+    disk at one time."""
+    t = F.col(tokens)
+    pairs = df.select(F.explode(F.arrays_zip(t.alias("w1"), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))).alias("w2"))).alias("g")).select("g.w1", "g.w2")
+    slices = max(1, -(-(df.agg(F.sum(F.size(tokens).cast("long"))).first()[0] or 0) // SLICE))
+    which = F.pmod(F.xxhash64("w1", "w2"), F.lit(slices))
+    return [cut_lineage((pairs.where(which == i) if slices > 1 else pairs).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")))
+            for i in range(slices)]
 
 
 def phrase_learn(df: DataFrame, tokens: str, min_count: int = 5, threshold: float = 100.0) -> DataFrame:
@@ -81,20 +91,25 @@ def phrase_learn(df: DataFrame, tokens: str, min_count: int = 5, threshold: floa
     number of distinct unigrams plus distinct bigrams; a phrase scores above
     ``threshold``.  Returns (w1, w2, n, score, phrase).
 
-    Unigram and bigram counts come from one pass over the tokens and are
-    written once to the checkpoint folder; V (a corpus-wide scalar) is the row
-    count of that table, and the scoring joins read it back."""
-    counts = cut_lineage(ngram_counts(df, tokens))
-    vocab_size = counts.count()
-    uni = counts.where(F.col("w2").isNull()).select("w1", F.col("n").alias("c"))
-    cand = counts.where(F.col("w2").isNotNull() & (F.col("n") > min_count))
-    # uni is an aggregate: AQE picks broadcast or shuffle from its real size.
+    Bigram counts come from one pass over the tokens and are written to the
+    checkpoint folder, unigram counts are summed from them; V (a corpus-wide
+    scalar) is the row count of both, and the scoring joins read the two tables."""
+    tables = ngram_counts(df, tokens)
+    counts = reduce(DataFrame.unionAll, tables)
+    uni = cut_lineage(counts.groupBy("w1").agg(F.sum("n").alias("c")))
+    bigrams = counts.where(F.col("w2").isNotNull())
+    vocab_size = uni.count() + bigrams.count()
+    cand = bigrams.where(F.col("n") > min_count)
+    # AQE picks broadcast or shuffle from the real size of uni
     a = uni.select("w1", F.col("c").alias("n1"))
     b = uni.select(F.col("w1").alias("w2"), F.col("c").alias("n2"))
     scored = cand.join(a, "w1").join(b, "w2").withColumn(
         "score", (F.col("n") - min_count).cast("double") / F.col("n1") / F.col("n2") * F.lit(float(vocab_size)))
-    return (scored.where(F.col("score") > threshold)
-                  .select("w1", "w2", "n", "score", F.concat_ws(DELIM, "w1", "w2").alias("phrase")))
+    out = cut_lineage(scored.where(F.col("score") > threshold)
+                            .select("w1", "w2", "n", "score", F.concat_ws(DELIM, "w1", "w2").alias("phrase")))
+    for made in (*tables, uni):
+        drop_table(made)
+    return out
 
 
 def _merge_starts(flags: Column) -> Column:
@@ -134,11 +149,59 @@ def apply_phrases(tokens, phrases: list[str]) -> Column:
     return let(_c(tokens), per_doc)
 
 
+#: Phrases that a task holds at most, and tokens that it merges at once, about.
+MOST_PHRASES, TOKENS = 1 << 21, 1 << 20
+
+
+def merge_phrases(column: pa.Array, phrases: pa.Array, known: pa.Array) -> pa.Array:
+    """Greedy left-to-right merging in a column of token lists; rows that are not
+    ``known`` stay unmerged, null tokens are left out."""
+    flags = lambda x: x.to_numpy(zero_copy_only=False).astype(bool)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words, ends = column.flatten(), np.cumsum(lengths)
+    n = len(words)
+    if n:
+        joined = pa.concat_arrays([pc.binary_join_element_wise(words.slice(0, n - 1), words.slice(1), DELIM), pa.nulls(1, words.type)])
+        hit = flags(pc.is_in(joined, value_set=phrases)) & flags(joined.is_valid()) & np.repeat(flags(known), lengths)
+        hit[ends[ends > 0] - 1] = False  # the last token of a text has none after it
+        place = np.arange(n)
+        first = hit & ~np.r_[False, hit[:-1]]
+        starts = hit & ((place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0)
+        keep = ~np.r_[False, starts[:-1]] & flags(words.is_valid())
+        words = pc.if_else(pa.array(starts), joined, words).filter(pa.array(keep))
+        ends = np.r_[0, np.cumsum(keep)][ends]
+    offsets = pa.array(np.r_[0, ends].astype(np.int32), pa.int32(), mask=np.r_[~flags(column.is_valid()), False])
+    return pa.ListArray.from_arrays(offsets, words)
+
+
 def apply_phrases_df(df: DataFrame, id_col: str, tokens: str, phrases: DataFrame, out: str = "phrased") -> DataFrame:
-    """T2 for any phrase table: a join of (doc, position, pair) with the phrase
-    table; only the matched positions travel back to their document.  ``id_col``
-    is unique."""
-    keys = phrases.select("phrase").distinct()
+    """T2 for any phrase table.  ``id_col`` is unique.
+
+    Up to ``MOST_PHRASES`` phrases go to the tasks, which merge them in whole columns
+    of tokens: no token and no text is shuffled.  A larger table, and texts with
+    repeated ids, go through :func:`_join_phrases`."""
+    keys = phrases.select("phrase").where(F.col("phrase").isNotNull()).distinct()
+    if keys.count() > MOST_PHRASES or df.groupBy(id_col).agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count():
+        return _join_phrases(df, id_col, tokens, keys, out)
+    held = keys.toArrow().column("phrase").combine_chunks()
+    shared = df.sparkSession.sparkContext.broadcast(held)
+
+    def work(batches):
+        for b in batches:
+            at, ids = (b.schema.get_field_index(c) for c in (tokens, id_col))
+            size = np.cumsum(pc.fill_null(pc.list_value_length(b.column(at)), 0).to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(np.diff(size // TOKENS)) + 1 if len(size) else []
+            for start, end in zip([0, *cuts], [*cuts, b.num_rows]):
+                part = b.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([*part.columns, merge_phrases(part.column(at), shared.value, part.column(ids).is_valid())],
+                                                 names=[*b.schema.names, out])
+
+    return df.mapInArrow(work, T.StructType([*df.schema.fields, T.StructField(out, df.schema[tokens].dataType)]))
+
+
+def _join_phrases(df: DataFrame, id_col: str, tokens: str, keys: DataFrame, out: str) -> DataFrame:
+    """A join of (doc, position, pair) with the phrases; only the matched positions
+    travel back to their document."""
     pairs = df.select(id_col, F.posexplode(adjacent_pairs(tokens)).alias("k", "p"))
     hits = (pairs.select(id_col, "k", F.concat_ws(DELIM, "p.w1", "p.w2").alias("phrase"))
                  .join(keys, "phrase", "left_semi")

@@ -74,28 +74,28 @@ def q_batch_score(spark, sf):
 
 def q_lda_topics(spark, sf):
     """T3 + K2: LDA with k = 5 on the composed corpus, one text line per topic."""
-    fit = VB.fit(cut_lineage(lda_corpus(spark, sf)), "doc_id", "toks", [5])
+    fit = VB.fit(written_corpus(spark, sf), "doc_id", "toks", [5])
     fit.close()
     return LD.topic_lines(VB.topic_terms(fit, 10))
 
 
 def q_lda_perplexity(spark, sf):
     """Log perplexity of every pass of the models with 2, 5 and 10 topics, fitted together."""
-    fit = VB.fit(cut_lineage(lda_corpus(spark, sf)), "doc_id", "toks", [2, 5, 10])
+    fit = VB.fit(written_corpus(spark, sf), "doc_id", "toks", [2, 5, 10])
     fit.close()
     return VB.perplexity_curve(spark, fit).withColumn("log_perplexity", r6("log_perplexity"))
 
 
 def q_lda_mixtures(spark, sf):
     """Every document's mixture of the model with k = 5."""
-    fit = VB.fit(cut_lineage(lda_corpus(spark, sf)), "doc_id", "toks", [5])
+    fit = VB.fit(written_corpus(spark, sf), "doc_id", "toks", [5])
     return VB.mixtures(fit, 5).select(F.col("id").alias("doc_id"), "n_tokens", F.transform("mixture", r6).alias("mixture"))
 
 
 def q_lda_intertopic(spark, sf):
     """T8 on an LDA model with k = 5: prevalence, Jensen-Shannon distances as
     two coordinates and the mean distance of each topic to the others."""
-    fit = VB.fit(cut_lineage(lda_corpus(spark, sf)), "doc_id", "toks", [5])
+    fit = VB.fit(written_corpus(spark, sf), "doc_id", "toks", [5])
     out = VB.intertopic(spark, fit, 5)
     fit.close()
     return out
@@ -104,7 +104,7 @@ def q_lda_intertopic(spark, sf):
 def q_lda_sweep(spark, sf):
     """T4 + T9: k = 1..10 with mean c_v and log perplexity, all models in the same
     passes; best and local maxima (T7)."""
-    docs = cut_lineage(lda_corpus(spark, sf))
+    docs = written_corpus(spark, sf)
     curve = LD.lda_sweep(docs, "toks", range(1, 11))
     flags = H.select_best(curve.where(F.col("coherence").isNotNull()), "k", "coherence")
     return curve.join(flags.drop("coherence"), "k", "left")
@@ -112,7 +112,7 @@ def q_lda_sweep(spark, sf):
 
 def q_lda_single_topic(spark, sf):
     """T4/T9 for k = 1, which has a closed form: its ten words and perplexity."""
-    terms, perp = LD.corpus_topic(cut_lineage(lda_corpus(spark, sf)), "toks", 10)
+    terms, perp = LD.corpus_topic(written_corpus(spark, sf), "toks", 10)
     return terms.select("topic", "rank", "word", r6(F.col("weight")).alias("weight"), r6(F.lit(perp)).alias("log_perplexity"))
 
 

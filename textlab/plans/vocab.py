@@ -9,7 +9,7 @@ from textlab.functions.wordlists import ALLOWED_POS, ENGLISH_STOP_WORDS, LDA_EXT
 from textlab.operators import morphology as MO
 from textlab.operators import phrases as P
 from textlab.plans import sql as Q
-from textlab.session import cut_lineage
+from textlab.session import cut_lineage, drop_table
 from textlab.sources.posts import load_table
 
 
@@ -68,13 +68,17 @@ def q_phrase_apply(spark, sf):
 def _two_passes(words):
     """T1 twice: phrase tables of the first pass and of the second, which reads
     the phrased tokens and so finds three- and four-word phrases."""
-    first = cut_lineage(P.phrase_learn(words, "toks", min_count=5, threshold=100.0))
+    first = P.phrase_learn(words, "toks", min_count=5, threshold=100.0)
     once = cut_lineage(P.apply_phrases_df(words, "doc_id", "toks", first).select("doc_id", F.col("phrased").alias("toks")))
-    return first, cut_lineage(P.phrase_learn(once, "toks", min_count=5, threshold=100.0))
+    second = P.phrase_learn(once, "toks", min_count=5, threshold=100.0)
+    drop_table(once)
+    return first, second
 
 
 def q_trigram_learn(spark, sf):
-    _, second = _two_passes(cut_lineage(_words(spark, sf)))
+    words = cut_lineage(_words(spark, sf))
+    _, second = _two_passes(words)
+    drop_table(words)
     return second.select("w1", "w2", "n", r6(F.col("score")).alias("score"), "phrase")
 
 
@@ -84,8 +88,8 @@ def q_trigram_apply(spark, sf):
     words = cut_lineage(_words(spark, sf))
     first, second = _two_passes(words)
     toks = words.select("doc_id", C.remove_words("toks", STOP_LDA).alias("toks"))
-    # read twice below: by the pairs and by the tokens they go back to
     once = cut_lineage(P.apply_phrases_df(toks, "doc_id", "toks", first).select("doc_id", F.col("phrased").alias("toks")))
+    drop_table(words)
     return _text(P.apply_phrases_df(once, "doc_id", "toks", second), "phrased")
 
 
@@ -93,10 +97,22 @@ def lda_corpus(spark, sf):
     """The LDA chain as one flow: noise removal, tokens, phrases learned on all
     tokens, stop words out, phrases applied, lemmas of the allowed parts of
     speech.  (doc_id, toks)"""
-    phrased = _phrased(cut_lineage(_words(spark, sf)), STOP_LDA)
+    return _corpus(cut_lineage(_words(spark, sf)))
+
+
+def _corpus(words):
+    phrased = _phrased(words, STOP_LDA)
     return phrased.select("doc_id", P.lemmatize_pos("phrased").alias("toks"))
 
 
+def written_corpus(spark, sf):
+    """:func:`lda_corpus` as a table of its own; the tokens it is made of are deleted."""
+    words = cut_lineage(_words(spark, sf))
+    out = cut_lineage(_corpus(words))
+    drop_table(words)
+    return out
+
+
 def q_lda_corpus(spark, sf):
     return _text(lda_corpus(spark, sf), "toks")
 
