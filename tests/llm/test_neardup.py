@@ -133,3 +133,26 @@ def test_hnsw_recall_and_audit():
     assert set(zip(r, c)) <= truth and len(set(zip(r, c))) >= 0.99 * len(truth)
     one = hnsw.HNSW(v[:1], np.arange(1))
     assert one.audit(0.95) == 1.0 and list(one.linked(v[:1].astype(np.float32), 0.95)[1]) == [0]
+
+
+def test_hnsw_takes_graphs_and_links_in_pieces(spark, monkeypatch):
+    """A group of near copies has a link for each pair, which are never held together; graphs move in bounded rows."""
+    rng = np.random.default_rng(5)
+    v = hnsw.unit(rng.normal(size=(600, 8)))
+    v[:300] = hnsw.unit(v[0] + rng.normal(size=(300, 8)) * 0.005)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)
+    plain = sorted(map(tuple, hnsw.near_duplicates(df, 0.95).collect()))
+    assert plain[0][1] >= 299
+    g = hnsw.HNSW(v, np.arange(600))
+    r, c = g.linked(v.astype(np.float32), 0.95)
+    for name, value in {"CELLS": 2400, "PIECE": 3000, "VERIFIED": 70}.items():
+        monkeypatch.setattr(hnsw, name, value)
+    parts = list(g.linked_parts(v.astype(np.float32), 0.95))
+    assert max(len(x) for x, _ in parts) <= 2400 < len(r)
+    assert sorted(zip(r, c)) == sorted((x, y) for rows, cols in parts for x, y in zip(rows, cols))
+    x = spark.createDataFrame([(0, i, row.tolist(), 1) for i, row in enumerate(v)], "shard long, node long, embedding array<float>, w long")
+    rows = hnsw.graphs(x, 0.95, 1).collect()
+    assert len(rows) > 10 and max(len(row["data"]) for row in rows) <= 3000
+    back = hnsw.HNSW.load([row["data"] for row in sorted(rows, key=lambda row: row["piece"])])
+    assert np.array_equal(back.v, back.own.astype(np.float32)) and back.more["nodes"].tolist() == list(range(600))
+    assert sorted(map(tuple, hnsw.near_duplicates(df, 0.95, block=200).collect())) == plain

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from textlab.llm.common import components, cut_lineage, runs
+from textlab.llm.common import BATCH_ROWS, components, cut_lineage, runs
 from textlab.llm.rolling import mix64
 
 LINKS = 16          # per node on the upper layers, twice as many on the lowest
@@ -30,7 +30,9 @@ CAPACITY = 100_000  # vectors of one shard
 BLOCK = 25_000      # queries of one task
 AUDIT = 128
 RECALL = 0.999
-CELLS = 6_000_000   # queries x nodes of one search
+CELLS = 6_000_000   # queries x nodes of one search, and links that are looked at at once
+PIECE = 1 << 22     # bytes of a row of a graph: whole ones would be copied many times over
+VERIFIED = 1 << 16  # links whose cosine is taken at once
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -186,22 +188,29 @@ class HNSW:
             start = self.search_layer(q, l, start, 8)[0][:, :4]
         return self.search_layer(q, 0, start, beam)
 
-    def linked(self, q: np.ndarray, at_least: float):
-        """(query row, node) of all nodes found at the similarity or above."""
-        todo, beam, out = np.arange(len(q)), self.beam, []
+    def linked_parts(self, q: np.ndarray, at_least: float):
+        """(query row, node) of all nodes found at the similarity or above, about CELLS at most at once."""
+        todo, beam = np.arange(len(q)), self.beam
         while len(todo):
-            if beam >= len(self.v) // 2:  # as wide as the shard: all of it
-                for a in range(0, len(todo), max(1, CELLS // max(1, len(self.v)))):
-                    part = todo[a:a + max(1, CELLS // max(1, len(self.v)))]
+            whole = beam >= len(self.v) // 2  # as wide as the shard: all of it
+            step, wider = max(1, CELLS // max(1, len(self.v) if whole else beam)), []
+            for at in range(0, len(todo), step):
+                part = todo[at:at + step]
+                if whole:
                     r, c = np.nonzero(q[part] @ self.v.T >= at_least)
-                    out.append((part[r], c))
-                break
-            ids, sims = self.search(q[todo], beam)
-            # a beam that holds nothing farther may have left some out
-            full = sims[:, -1] >= at_least
-            r, c = np.nonzero((sims >= at_least) & ~full[:, None])
-            out.append((todo[r], ids[r, c]))
-            todo, beam = todo[full], beam * 4
+                    yield part[r], c
+                    continue
+                ids, sims = self.search(q[part], beam)
+                # a beam that holds nothing farther may have left some out
+                full = sims[:, -1] >= at_least
+                r, c = np.nonzero((sims >= at_least) & ~full[:, None])
+                yield part[r], ids[r, c]
+                wider.append(part[full])
+            todo, beam = np.concatenate(wider) if wider else todo[:0], beam * 4
+
+    def linked(self, q: np.ndarray, at_least: float):
+        """All of :meth:`linked_parts`."""
+        out = list(self.linked_parts(q, at_least))
         return (np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])) if out else (np.zeros(0, int),) * 2
 
     def audit(self, at_least: float) -> float:
@@ -223,52 +232,64 @@ class HNSW:
                 return recall
             self.beam *= 2
 
-    def dump(self) -> bytes:
+    def dump(self, **more: np.ndarray) -> bytes:
+        """The graph and ``more`` arrays; without its vectors if ``raw`` is one, from which :func:`units` makes them."""
         out = io.BytesIO()
-        np.savez(out, v=self.v, level=self.level, beam=self.beam, top=self.members[-1][:8],
+        np.savez(out, **more, **({} if "raw" in more else {"v": self.v}), level=self.level, beam=self.beam, top=self.members[-1][:8],
                  l0=self.links[0], **{f"l{i}": x[self.level >= i] for i, x in enumerate(self.links) if i},
                  **{f"n{i}": np.flatnonzero(self.level >= i) for i in range(1, len(self.links))})
         return out.getvalue()
 
     @classmethod
-    def load(cls, raw: bytes) -> HNSW:
-        z, out = np.load(io.BytesIO(raw)), cls.__new__(cls)
-        out.v, out.level, out.beam = z["v"], z["level"], int(z["beam"])
+    def load(cls, raw: bytes | list[bytes]) -> HNSW:
+        """A graph from :meth:`dump`; ``own`` has its vectors as doubles if it was dumped with ``raw``, ``more`` the other arrays."""
+        z, out = np.load(io.BytesIO(raw if isinstance(raw, bytes) else b"".join(raw))), cls.__new__(cls)
+        out.own = units(z["raw"]) if "raw" in z else None
+        out.v, out.level, out.beam = z["v"] if out.own is None else out.own.astype(np.float32), z["level"], int(z["beam"])
         out.links = [z["l0"]]
         for i in range(1, int(out.level.max(initial=0)) + 1):
             x = np.full((len(out.v), LINKS), -1, np.int32)
             x[z[f"n{i}"]] = z[f"l{i}"]
             out.links.append(x)
         out.members = [None] * (len(out.links) - 1) + [z["top"]]
+        out.more = {c: z[c] for c in ("nodes", "w") if c in z}
         return out
 
 
+def units(v: np.ndarray, kind=np.float64) -> np.ndarray:
+    """:func:`unit`, some rows at once."""
+    out = np.empty(v.shape, kind)
+    for at in range(0, len(v), BATCH_ROWS):
+        out[at:at + BATCH_ROWS] = unit(v[at:at + BATCH_ROWS])
+    return out
+
+
 def _build(at_least: float, kind: str = "float32"):
     def work(batches):
         at, held = None, []
 
         def done():
-            p = pd.concat(held, ignore_index=True)
-            g = HNSW(unit(np.stack(p["embedding"].to_numpy())), p["node"].to_numpy())
+            nodes, w, raw = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            g = HNSW(units(raw, np.float32), nodes)
             recall = g.audit(at_least)
-            return pd.DataFrame({"shard": [at[0]], "nodes": [p["node"].to_numpy().tobytes()], "w": [p["w"].to_numpy().tobytes()],
-                                 "raw": [np.stack(p["embedding"].to_numpy()).astype(kind).tobytes()],
-                                 "graph": [g.dump()], "beam": [g.beam], "recall": [recall]})
+            data = g.dump(nodes=nodes, w=w, raw=raw)
+            for i, start in enumerate(range(0, len(data), PIECE)):
+                yield pd.DataFrame({"shard": [at[0]], "piece": [i], "data": [data[start:start + PIECE]], "beam": [g.beam], "recall": [recall]})
 
         for key, part in runs(batches, ["shard"]):
             if key != at and held:
-                yield done()
-                held = []
+                yield from done()
             at = key
-            held.append(part)
+            held.append((part["node"].to_numpy(), part["w"].to_numpy(), np.stack(part["embedding"].to_numpy()).astype(kind)))
         if held:
-            yield done()
+            yield from done()
     return work
 
 
-def _query(at_least: float, kind: str = "float32"):
+def _query(at_least: float):
     def work(batches):
-        at, g, nodes, w, own, root = None, None, None, None, None, {}
+        at, g, pieces, root = None, None, [], {}
 
         def find(x):
             while root.setdefault(x, x) != x:
@@ -283,24 +304,27 @@ def _query(at_least: float, kind: str = "float32"):
             if key != at:
                 if root:
                     yield edges()
-                at, g, root = key, None, {}
-            if part["kind"].iloc[0] == 0:
-                row = part.iloc[0]
-                g = HNSW.load(row["graph"])
-                nodes, w = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["w"], np.int64)
-                own = unit(np.frombuffer(row["raw"], kind).reshape(len(nodes), -1))
-                part = part.iloc[1:]
-            if g is None or not len(part):
+                at, g, pieces, root = key, None, [], {}
+            graph = part["kind"].to_numpy() == 0
+            pieces += part["data"][graph].tolist()
+            part = part[~graph]
+            if not len(part) or (g is None and not pieces):
                 continue
+            if g is None:
+                g, pieces = HNSW.load(pieces), []
+            nodes, w = g.more["nodes"], g.more["w"]
             q, name = unit(np.stack(part["embedding"].to_numpy())), part["node"].to_numpy()
-            r, c = g.linked(q.astype(np.float32), at_least - 1e-4)
-            ok = (np.einsum("kd,kd->k", q[r], own[c]) >= at_least) & (name[r] != nodes[c])
-            r, c = r[ok], c[ok]
-            n = np.bincount(r, weights=w[c], minlength=len(q)).astype(np.int64)
-            for x, y in zip(name[r].tolist(), nodes[c].tolist()):
-                x, y = find(x), find(y)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
+            n = np.zeros(len(q), np.int64)
+            for rows, cols in g.linked_parts(q.astype(np.float32), at_least - 1e-4):
+                for i in range(0, len(rows), VERIFIED):
+                    r, c = rows[i:i + VERIFIED], cols[i:i + VERIFIED]
+                    ok = (np.einsum("kd,kd->k", q[r], g.own[c]) >= at_least) & (name[r] != nodes[c])
+                    r, c = r[ok], c[ok]
+                    np.add.at(n, r, w[c])
+                    for x, y in zip(name[r].tolist(), nodes[c].tolist()):
+                        x, y = find(x), find(y)
+                        if x != y:
+                            root[max(x, y)] = min(x, y)
             yield pd.DataFrame({"kind": 0, "a": name[n > 0], "b": n[n > 0]})
         if root:
             yield edges()
@@ -308,9 +332,9 @@ def _query(at_least: float, kind: str = "float32"):
 
 
 def graphs(vectors: DataFrame, at_least: float, shards: int, kind: str = "float32") -> DataFrame:
-    """One graph per shard of (node, embedding, w): shard, nodes, w, raw, graph, beam, recall."""
+    """One graph per shard of (node, embedding, w) in rows of PIECE bytes: shard, piece, data, beam, recall."""
     return cut_lineage(vectors.repartitionById(shards, F.expr(f"cast(pmod(shard, {shards}L) as int)")).sortWithinPartitions("shard", "node")
-                       .mapInPandas(_build(at_least, kind), "shard long, nodes binary, w binary, raw binary, graph binary, beam int, recall double"))
+                       .mapInPandas(_build(at_least, kind), "shard long, piece long, data binary, beam int, recall double"))
 
 
 def near_duplicates(rows: DataFrame, at_least: float = 0.95, vec: str = "embedding", vec_id: str = "vec_id",
@@ -342,14 +366,14 @@ def near_duplicates(rows: DataFrame, at_least: float = 0.95, vec: str = "embeddi
     index = graphs(placed.select("shard", "node", "embedding", "w"), at_least, shards, kind)
     none = F.lit(None)
     left = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"),
-                        F.lit(0).cast("long").alias("node"), none.cast(f"array<{kept}>").alias("embedding"), "nodes", "w", "raw", "graph")
+                        F.col("piece").alias("node"), none.cast(f"array<{kept}>").alias("embedding"), "data")
     right = nodes.select(F.explode(F.sequence(base, base + (shards - 1))).alias("shard"),
                          F.expr(f"cast(pmod(xxhash64(node), {blocks}) as int)").alias("block"), F.lit(1).alias("kind"),
-                         "node", "embedding", *[none.cast("binary").alias(c) for c in ("nodes", "w", "raw", "graph")])
+                         "node", "embedding", none.cast("binary").alias("data"))
     task = F.expr(f"cast(pmod(shard, {shards}L) * {blocks} + block as int)")  # every shard and block is a task of its own
     found = cut_lineage(left.unionByName(right).repartitionById(shards * blocks, task)
                         .sortWithinPartitions("shard", "block", "kind", "node")
-                        .mapInPandas(_query(at_least, kind), "kind int, a long, b long"))
+                        .mapInPandas(_query(at_least), "kind int, a long, b long"))
     counts = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     comps = components(found.where("kind = 1").select("a", "b")).select(F.col("id").alias("node"), F.col("component_id").alias("comp"))
     named = (nodes.join(counts, "node", "left").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
